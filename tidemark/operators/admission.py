@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.operators import skew
 from tidemark.session import materialize, scratch_path
@@ -56,7 +57,7 @@ def first_arrivals(deliveries: DataFrame, arrival: Sequence[str], rows_per_task:
     first = deliveries.groupBy(*EVENT).agg(
         F.min(F.struct(*arrival, "payload_hash")).alias("__first"),
     )
-    looked = skew.lookup(deliveries, first, EVENT, list(arrival), rows_per_task=rows_per_task)
+    looked = skew.lookup(deliveries, first, EVENT, list(arrival), skew.hot_keys(deliveries, EVENT, rows_per_task))
     same = F.col("payload_hash") == F.col("__first.payload_hash")
     is_first = order == F.struct(*[F.col(f"__first.{c}").alias(c) for c in arrival])
     return looked.select(
@@ -81,7 +82,7 @@ def stored_state(rows: DataFrame, identity: DataFrame, rows_per_task: int = skew
     known = identity.select(
         *EVENT, F.col("payload_hash").alias("__hash"), F.col("received_at").alias("stored_received_at")
     )
-    looked = skew.lookup(rows, known, EVENT, ["batch_at", "batch_id", "ordinal"], rows_per_task=rows_per_task)
+    looked = skew.lookup(rows, known, EVENT, [*BATCH, "ordinal"], skew.hot_keys(rows, EVENT, rows_per_task))
     state = (
         F.when(F.col("__hash").isNull(), F.lit("new"))
         .when(F.col("__hash") == F.col("payload_hash"), F.lit("repeat"))
@@ -139,44 +140,46 @@ def admit(
         *BATCH,
         F.coalesce(F.col("__bad"), F.when(F.col("__clash"), F.lit("conflict"))).alias("reason"),
     )
-    decision_schema = "project_id STRING, batch_at TIMESTAMP_NTZ, batch_id STRING, accepted BOOLEAN, reason STRING"
-    stored_schema = (
-        "project_id STRING, event_id STRING, payload_hash STRING, occurred_at TIMESTAMP_NTZ, "
-        "received_at TIMESTAMP_NTZ, stored_bytes BIGINT, batch_id STRING, ordinal INT"
-    )
-    decisions_path, stored_path = scratch_path(spark, "decisions"), scratch_path(spark, "stored")
+    pending = materialize(per_event.drop("__high").join(early, BATCH), "pending")
+    refused = pending.where(F.col("reason").isNotNull()).select(*BATCH, F.lit(False).alias("accepted"), "reason").distinct()
+    pending = pending.where(F.col("reason").isNull()).drop("__bad", "reason")
+    # The heaviest ids of the whole input stay the reference for every round.
+    hot = skew.found_hot(pending, EVENT, rows_per_task)
+    known_before = identity.select(*EVENT, "payload_hash", "received_at")
 
-    def settled() -> DataFrame:
-        return spark.read.schema(decision_schema).parquet(decisions_path)
+    paths: list[str] = []
+    round_schema = _add(pending.schema, "fresh BOOLEAN, verdict STRING")
 
-    def stored() -> DataFrame:
-        return spark.read.schema(stored_schema).parquet(stored_path)
-
-    early.where(F.col("reason").isNotNull()).select(
-        *BATCH, F.lit(False).alias("accepted"), "reason"
-    ).write.parquet(decisions_path)
-    spark.createDataFrame([], stored_schema).write.parquet(stored_path)
-    pending = materialize(
-        per_event.drop("__high", "__bad").join(settled().select(*BATCH), BATCH, "left_anti"), "pending"
-    )
+    def rounds() -> DataFrame:
+        if not paths:
+            return spark.createDataFrame([], round_schema)
+        return spark.read.schema(round_schema).parquet(*paths)
 
-    known_before = identity.select(*EVENT, "payload_hash", "received_at")
-    while not pending.isEmpty():
-        round_table = _settle(pending, known_before, stored(), usage, limits, rows_per_task)
-        round_table = materialize(round_table, "round")
-        decided = round_table.where("verdict <> 'wait'").select(
+    def stored() -> DataFrame:
+        return rounds().where("verdict = 'accept' AND fresh")
+
+    while True:
+        path = scratch_path(spark, "round")
+        _settle(pending, known_before, stored(), usage, limits, hot).write.parquet(path)
+        paths.append(path)
+        pending = spark.read.schema(round_schema).parquet(path).where("verdict = 'wait'").drop("fresh", "verdict")
+        if pending.isEmpty():
+            break
+
+    settled = (
+        rounds()
+        .where("verdict <> 'wait'")
+        .select(
             *BATCH,
             (F.col("verdict") == "accept").alias("accepted"),
             F.when(F.col("verdict") != "accept", F.col("verdict")).alias("reason"),
         )
-        batches = decided.distinct()
-        batches.write.mode("append").parquet(decisions_path)
-        round_table.where("verdict = 'accept' AND fresh").select(
-            *EVENT, "payload_hash", "occurred_at", F.col("batch_at").alias("received_at"), "stored_bytes", "batch_id", "ordinal"
-        ).write.mode("append").parquet(stored_path)
-        pending = materialize(round_table.where("verdict = 'wait'").select(*pending.columns), "pending")
-
-    new_identity = stored()
+        .distinct()
+        .unionByName(refused)
+    )
+    new_identity = stored().select(
+        *EVENT, "payload_hash", "occurred_at", F.col("batch_at").alias("received_at"), "stored_bytes", "batch_id", "ordinal"
+    )
     sources = known_before.select(
         *EVENT, "received_at", F.lit(None).cast("string").alias("first_batch"), F.lit(None).cast("int").alias("first_ordinal")
     ).unionByName(
@@ -184,9 +187,9 @@ def admit(
             *EVENT, "received_at", F.col("batch_id").alias("first_batch"), F.col("ordinal").alias("first_ordinal")
         )
     )
-    admitted = rows.join(settled().where("accepted").select(*BATCH), BATCH, "left_semi")
+    admitted = rows.join(settled.where("accepted").select(*BATCH), BATCH, "left_semi")
     receipts = (
-        skew.lookup(admitted, sources, EVENT, [*BATCH, "ordinal"], rows_per_task=rows_per_task)
+        skew.lookup(admitted, sources, EVENT, [*BATCH, "ordinal"], hot=hot)
         .select(
             *BATCH,
             "ordinal",
@@ -200,7 +203,11 @@ def admit(
         )
         .orderBy(*BATCH, "ordinal")
     )
-    return Admission(settled(), receipts, new_identity.drop("batch_id", "ordinal"))
+    return Admission(settled, receipts, new_identity.drop("batch_id", "ordinal"))
+
+
+def _add(schema: StructType, ddl: str) -> StructType:
+    return StructType(schema.fields + StructType.fromDDL(ddl).fields)
 
 
 def _settle(
@@ -209,27 +216,27 @@ def _settle(
     stored: DataFrame,
     usage: DataFrame | None,
     limits: Limits,
-    rows_per_task: int,
+    hot: DataFrame | None,
 ) -> DataFrame:
     """One round: pending batch events with ``fresh`` and the batch's ``verdict``."""
     known = known_before.select(*EVENT, F.col("payload_hash").alias("__hash")).unionByName(
         stored.select(*EVENT, F.col("payload_hash").alias("__hash"))
     )
     spread = ["batch_at", "batch_id"]
-    looked = skew.lookup(pending, known, EVENT, spread, rows_per_task=rows_per_task)
+    looked = skew.lookup(pending, known, EVENT, spread, hot=hot)
     unknown = F.col("__hash").isNull()
     firsts = (
         looked.where(unknown)
         .groupBy(*EVENT)
         .agg(F.min(F.struct("batch_at", "batch_id")).alias("__first"))
     )
-    marked = skew.lookup(looked, firsts, EVENT, spread, rows_per_task=rows_per_task).select(
+    marked = skew.lookup(looked, firsts, EVENT, spread, hot=hot).select(
         *pending.columns,
         (unknown & (F.col("__first") == F.struct("batch_at", "batch_id"))).alias("fresh"),
         unknown.alias("unknown"),
         (~unknown & (F.col("__hash") != F.col("payload_hash"))).alias("clash"),
     )
-    marked = marked.withColumn("fresh", F.coalesce("fresh", F.lit(False)))
+    marked = materialize(marked.withColumn("fresh", F.coalesce("fresh", F.lit(False))), "marked")
     batches = marked.groupBy(*BATCH).agg(
         F.bool_or("clash").alias("clash"),
         F.bool_or(F.col("unknown") & ~F.col("fresh")).alias("echo"),

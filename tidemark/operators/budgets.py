@@ -99,7 +99,9 @@ def windowed(attempts: DataFrame, keys: Sequence[str], spread_by: Sequence[str],
     near = starts.select(*keys, slot.alias("slot"), F.col("t").alias("own"), F.lit(None).cast("bigint").alias("previous"))
     far = starts.select(*keys, (slot + 1).alias("slot"), F.lit(None).cast("bigint").alias("own"), F.col("t").alias("previous"))
     around = near.unionByName(far).groupBy(*keys, "slot").agg(F.max("own").alias("own"), F.max("previous").alias("previous"))
-    placed = skew.lookup(attempts.withColumn("slot", slot), around, [*keys, "slot"], spread_by)
+    slotted = attempts.withColumn("slot", slot)
+    place = [*keys, "slot"]
+    placed = skew.lookup(slotted, around, place, spread_by, skew.found_hot(slotted, place))
     return placed.withColumn(
         "window_start", F.when(F.col("own") <= F.col("t"), F.col("own")).otherwise(F.col("previous"))
     ).drop("slot", "own", "previous")

@@ -39,20 +39,27 @@ def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_T
     )
 
 
+def found_hot(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame | None:
+    """The hot keys written once for several joins, or None when there are none (then joins stay plain)."""
+    hot = materialize(hot_keys(df, keys, rows_per_task), "hot")
+    return None if hot.isEmpty() else hot
+
+
 def split_hot(
     big: DataFrame,
     small: DataFrame,
     keys: Sequence[str],
     spread_by: Sequence[str],
-    hot: DataFrame | None = None,
-    rows_per_task: int = ROWS_PER_TASK,
+    hot: DataFrame | None,
 ) -> tuple[DataFrame, DataFrame, list[str]]:
     """Both sides of a join with a ``__slice`` key that divides hot keys of ``big``.
 
     ``small`` has few rows per key; a hot key's rows are repeated once per slice,
     which adds at most ``rows(big) / rows_per_task`` rows per row of such a key.
     """
-    hot = F.broadcast(hot_keys(big, keys, rows_per_task) if hot is None else hot)
+    if hot is None:
+        return big, small, list(keys)
+    hot = F.broadcast(hot)
 
     def tagged(side: DataFrame) -> DataFrame:
         return side.join(hot, F.xxhash64(*[side[k] for k in keys]) == F.col("__hot"), "left").drop("__hot")
@@ -69,11 +76,11 @@ def lookup(
     small: DataFrame,
     keys: Sequence[str],
     spread_by: Sequence[str],
+    hot: DataFrame | None,
     how: str = "left",
-    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """``big`` joined to at most one row per key of ``small``, hot keys divided."""
-    left, right, on = split_hot(big, small, keys, spread_by, rows_per_task=rows_per_task)
+    left, right, on = split_hot(big, small, keys, spread_by, hot)
     return left.join(right, on, how).drop("__slice")
 
 

@@ -51,17 +51,18 @@ def payload_text(
     )
 
 
-def canonicalize(events: DataFrame) -> DataFrame:
+def canonicalize(events: DataFrame, parsed: bool = False) -> DataFrame:
     """Normalise decoded events and add ``payload``, ``payload_hash`` and ``stored_bytes``.
 
     ``properties`` is raw JSON text or NULL; anything but an object counts as ``{}``.
+    ``parsed`` says that it is canonical text already, as the wire decoder leaves it.
     """
     raw = F.col("properties")
     is_object = F.coalesce(raw.rlike(r"^\s*\{"), F.lit(False))
     normal = (
         events.withColumn("event_type", text.trim_whitespace(F.col("event_type")))
         .withColumn("event_id", F.lower(F.col("event_id")))
-        .withColumn("properties", F.when(is_object, jsondoc.canonical(raw)).otherwise(F.lit("{}")))
+        .withColumn("properties", F.when(is_object, raw if parsed else jsondoc.canonical(raw)).otherwise(F.lit("{}")))
     )
     return (
         normal.withColumn(

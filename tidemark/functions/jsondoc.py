@@ -56,9 +56,9 @@ def is_exact_number(token: Column) -> Column:
     zeros = F.when((power > 0) & (power < 30), power).otherwise(F.lit(0)).cast("int")
     whole = F.concat(core, F.repeat(F.lit("0"), zeros))
     fits = F.when(F.length(whole) <= 29, whole.try_cast("decimal(38,0)") <= F.lit(MAX_DECIMAL).cast("decimal(38,0)"))
-    return valid & (
-        (core == "") | ((power >= -MAX_SCALE) & (power < 30) & F.coalesce(fits, F.lit(False)))
-    )
+    exact = valid & ((core == "") | ((power >= -MAX_SCALE) & (power < 30) & F.coalesce(fits, F.lit(False))))
+    # Numbers of at most 28 digits without an exponent fit in any case: the usual path is one test.
+    return F.when(token.rlike(r"^-?\d{1,14}(?:\.\d{1,14})?$"), F.lit(True)).otherwise(exact)
 
 
 def plain_number(token: Column) -> Column:
@@ -77,13 +77,24 @@ def plain_number(token: Column) -> Column:
     return F.when(core == "", F.lit("0")).when(F.abs(power) <= 64, F.concat(sign, value)).otherwise(token)
 
 
+def needs_rewriting(bones: Column) -> Column:
+    """Whether the document has fractions, exponents or a negative zero outside strings."""
+    return bones.rlike(r"\d[.eE]|-0")
+
+
 def plain_numbers(raw: Column) -> Column:
-    """Rewrite the number tokens outside strings; text without such tokens passes untouched."""
+    """Rewrite the number tokens outside strings as plain decimals."""
     tokens = F.regexp_extract_all(raw, F.lit(rf'(?s){STRING}|{NUMBER}|[^"\d\-]++|.'), F.lit(0))
-    rewritten = F.array_join(
+    return F.array_join(
         F.transform(tokens, lambda t: F.when(t.rlike(r"^-?\d.*[.eE]|^-0$"), plain_number(t)).otherwise(t)), ""
     )
-    return F.when(raw.rlike(r"\d[.eE]|-0"), rewritten).otherwise(raw)
+
+
+def parsed(raw: Column, bones: Column | None = None) -> Column:
+    """VARIANT with exact numbers; NULL for invalid JSON."""
+    rewrite = needs_rewriting(skeleton(raw) if bones is None else bones)
+    exact = F.when(F.try_parse_json(raw).isNotNull(), F.try_parse_json(plain_numbers(raw)))
+    return F.when(rewrite, exact).otherwise(F.try_parse_json(raw))
 
 
 def skeleton(raw: Column) -> Column:
@@ -105,14 +116,13 @@ def entry_count(bones: Column) -> Column:
 
 def canonical(raw: Column) -> Column:
     """Sorted keys at every level, numbers by value, arrays in order; NULL for invalid JSON."""
-    valid = F.try_parse_json(raw).isNotNull()
-    return F.when(valid, F.to_json(F.try_parse_json(plain_numbers(raw))))
+    return F.to_json(parsed(raw))
 
 
-def document_ok(raw: Column) -> Column:
-    """The stored-property rule: containers, entries, keys, strings and numbers within bounds."""
-    bones = skeleton(raw)
-    tokens = F.regexp_extract_all(canonical(raw), F.lit(f"{STRING}:?"), F.lit(0))
+def document_ok(doc: Column) -> Column:
+    """The stored-property rule on canonical text: containers, entries, keys, strings and numbers within bounds."""
+    bones = skeleton(doc)
+    tokens = F.regexp_extract_all(doc, F.lit(f"{STRING}:?"), F.lit(0))
     one_char = r"\\(?:u[0-9a-fA-F]{4}|.)"
 
     def bad_key(token: Column) -> Column:
@@ -183,26 +193,26 @@ def parse_scalar(source: str):
 
 
 def member_equals(doc: Column, key: str, value_json: str) -> Column:
-    """Type-aware equality of one top-level member: 1 = 1.0, "1" <> 1, null <> missing."""
+    """Type-aware equality of one top-level member: 1 = 1.0, "1" <> 1, null <> missing.
+
+    Stored documents are canonical, so a scalar equals the argument exactly when
+    their JSON texts are equal. Keys are names: anything but a plain word is
+    looked up in a map and never becomes part of a path.
+    """
     value = parse_scalar(value_json)
-    members = top_level(doc)
-    present = F.map_contains_key(members, key)
-    member = F.element_at(members, F.lit(key))
-    kind = F.schema_of_variant(member)
-    shown = F.try_variant_get(member, "$", "string")
-    if value is None:
-        same = F.is_variant_null(member)
-    elif isinstance(value, bool):
-        same = (kind == "BOOLEAN") & (shown == str(value).lower())
-    elif isinstance(value, Decimal):
-        plain = format(value.normalize() if value else Decimal(0), "f")
-        same = F.when(kind == "DOUBLE", F.try_variant_get(member, "$", "double") == F.lit(float(value))).otherwise(
-            kind.rlike("^(BIGINT|DECIMAL)") & (shown == plain)
-        )
+    simple_key = re.fullmatch(r"[A-Za-z0-9_]+", key) is not None
+    if simple_key:
+        member = F.try_variant_get(F.try_parse_json(doc), f"$.{key}", "variant")
+    else:
+        member = F.element_at(top_level(doc), F.lit(key))
+    if isinstance(value, str) and not re.fullmatch(r'[^"\\\x00-\x1f\x7f-\x9f\u2028\u2029]*', value):
+        # The text form of such a string depends on escapes: compare the decoded value.
+        kind, shown = F.schema_of_variant(member), F.try_variant_get(member, "$", "string")
+        return F.coalesce((kind == "STRING") & (shown == value), F.lit(False))
+    if isinstance(value, Decimal):
+        wanted = format(value.normalize() if value else Decimal(0), "f")
     else:
-        same = (kind == "STRING") & (shown == value)
-    exact = F.coalesce(present & same, F.lit(False))
-    if re.fullmatch(r"[A-Za-z0-9_]+", key):
-        # Stored documents are canonical, so a plain key appears literally: a cheap test the scan can take over.
-        return doc.contains(f'"{key}"') & exact
-    return exact
+        wanted = json.dumps(value, ensure_ascii=False)
+    exact = F.coalesce(F.to_json(member) == wanted, F.lit(False))
+    # In a canonical document the member occurs literally: a cheap test before parsing.
+    return doc.contains(f'"{key}":{wanted}') & exact if simple_key else exact

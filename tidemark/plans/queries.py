@@ -186,7 +186,7 @@ def wire_canonical(spark, sf):
     """Accepted wire events with their normalised type, time and properties."""
     decoded = wire.decode_events(td.wire_frames(spark, sf))
     accepted, _ = validation.split_accepted(validation.validate(decoded, F.col("received_at")))
-    return canonical.canonicalize(accepted).select(
+    return canonical.canonicalize(accepted, parsed=True).select(
         F.col("n").alias("source_event"), "event_id", "event_type", "occurred_at", "user_id", "properties"
     )
 

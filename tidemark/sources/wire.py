@@ -43,11 +43,10 @@ def decode_events(frames: DataFrame, value: str = "value") -> DataFrame:
     raw = F.col(value)
     bones = F.col("__bones")
     single = F.regexp_replace(bones, r"^\{.*\}$", "{}") == "{}"
-    sound = single & F.try_parse_json(raw).isNotNull()
     numbers = F.regexp_extract_all(bones, F.lit(jsondoc.NUMBER), F.lit(0))
     opened = compute_once(
         compute_once(frames, __bones=jsondoc.skeleton(raw)),
-        __doc=F.when(sound, F.try_parse_json(jsondoc.plain_numbers(raw))),
+        __doc=F.when(single, jsondoc.parsed(raw, bones)),
         oversize=F.octet_length(raw) > MAX_EVENT_BYTES,
         inexact=~F.forall(numbers, jsondoc.is_exact_number),
     )
@@ -104,7 +103,7 @@ def explode_batches(batches: DataFrame, value: str = "value") -> DataFrame:
     Event text keeps exact numbers because they are made plain before parsing.
     """
     raw = F.col(value)
-    doc = F.when(F.try_parse_json(raw).isNotNull(), F.try_parse_json(jsondoc.plain_numbers(raw)))
+    doc = F.when(F.regexp_replace(jsondoc.skeleton(raw), r"^\{.*\}$", "{}") == "{}", jsondoc.parsed(raw))
     opened = compute_once(compute_once(batches, __doc=doc), __m=_members(F.col("__doc")))
     events = F.try_variant_get(F.element_at("__m", F.lit("events")), "$", "array<variant>")
     known = F.forall(F.map_keys("__m"), lambda k: k == "events")

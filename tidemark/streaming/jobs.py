@@ -209,7 +209,7 @@ def prepare_batches(batches: DataFrame, window: validation.AdmissionWindow = val
         .when(F.col("event").isNull(), F.lit("validation"))
         .otherwise(F.col("reject_reason"))
     )
-    return canonical.canonicalize(checked.withColumn("reject_reason", reason)).select(
+    return canonical.canonicalize(checked.withColumn("reject_reason", reason), parsed=True).select(
         "project_id", "batch_id", "batch_at", "ordinal", "event_id", "payload", "payload_hash", "stored_bytes",
         "occurred_at", "errors", "reject_reason",
     )

@@ -26,10 +26,10 @@ def identities(spark, rows):
     return spark.createDataFrame([(p, e, h, BASE, BASE, n) for p, e, h, n in rows], schemas.IDENTITY)
 
 
-def sequential(batches, known, max_events, max_bytes):
+def sequential(batches, known, max_events, max_bytes, max_outbox=10**9):
     """The meaning of admission, one batch after another."""
     stored, decisions, receipts = {(p, e): (h, n, None) for p, e, h, n in known}, {}, []
-    used = {}
+    used, outbox = {}, 0
     for p, e, h, n in known:
         c, b = used.get(p, (0, 0))
         used[p] = (c + 1, b + n)
@@ -43,11 +43,12 @@ def sequential(batches, known, max_events, max_bytes):
         fresh = {e: (h, n) for e, h, n in events if (p, e) not in stored}
         count, size = used.get(p, (0, 0))
         new_size = size + sum(n for _, n in fresh.values())
-        if fresh and (count + len(fresh) > max_events or new_size > max_bytes):
+        if fresh and (count + len(fresh) > max_events or new_size > max_bytes or outbox + len(fresh) > max_outbox):
             decisions[p, b] = "quota"
             continue
         decisions[p, b] = None
         used[p] = (count + len(fresh), new_size)
+        outbox += len(fresh)
         done = set()
         for i, (e, h, n) in enumerate(events):
             receipts.append((p, b, i, e, (p, e) in stored or e in done))
@@ -57,12 +58,12 @@ def sequential(batches, known, max_events, max_bytes):
     return decisions, sorted(receipts)
 
 
-def run(spark, batches, known, max_events, max_bytes, **options):
+def run(spark, batches, known, max_events, max_bytes, max_outbox=None, **options):
     usage = identities(spark, known).groupBy("project_id").agg(
         F.count("*").alias("event_count"), F.sum("stored_bytes").alias("stored_bytes")
     )
     result = admission.admit(
-        batch_rows(spark, batches), identities(spark, known), usage, admission.Limits(max_events, max_bytes), **options
+        batch_rows(spark, batches), identities(spark, known), usage, admission.Limits(max_events, max_bytes, max_outbox), **options
     )
     decisions = {(r.project_id, r.batch_id): r.reason for r in result.decisions.collect()}
     receipts = sorted((r.project_id, r.batch_id, r.ordinal, r.event_id, r.already_accepted) for r in result.receipts.collect())
@@ -112,8 +113,14 @@ def test_invalid_rows_refuse_their_batch(spark):
     assert [r.already_accepted for r in result.receipts.collect()] == [False]
 
 
-@pytest.mark.parametrize("seed,hot", [(1, False), (2, True)])
-def test_same_as_one_after_another(spark, seed, hot):
+def test_outbox_room(spark):
+    batches = [("a", "b1", 1, [("x", "h", 1)]), ("b", "b2", 2, [("y", "h", 1)]), ("a", "b3", 3, [("z", "h", 1)]), ("b", "b4", 4, [("y", "h", 1)])]
+    decisions, _, _ = run(spark, batches, [], None, None, 2)
+    assert list(decisions.values()).count("quota") == 1 and decisions["a", "b3"] == "quota"
+
+
+@pytest.mark.parametrize("seed,hot,max_outbox", [(1, False, None), (2, True, None), (3, True, 60)])
+def test_same_as_one_after_another(spark, seed, hot, max_outbox):
     rng = random.Random(seed)
     batches = []
     for i in range(90):
@@ -126,8 +133,8 @@ def test_same_as_one_after_another(spark, seed, hot):
     # One size per event and fingerprint, as canonical text has.
     batches = [(p, b, s, [(e, h, sum(map(ord, e + h)) % 9 + 1) for e, h, _ in ev]) for p, b, s, ev in batches]
     known = [("a", f"e{i}", "h", 3) for i in range(5)]
-    decisions, receipts, _ = run(spark, batches, known, 45, 190, rows_per_task=20 if hot else 1_000_000)
-    assert (decisions, receipts) == sequential(batches, known, 45, 190)
+    decisions, receipts, _ = run(spark, batches, known, 45, 190, max_outbox, rows_per_task=20 if hot else 1_000_000)
+    assert (decisions, receipts) == sequential(batches, known, 45, 190, max_outbox or 10**9)
     assert {"quota", "conflict", None} <= set(decisions.values())
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -24,15 +24,25 @@ BATCH = ["project_id", "batch_at", "batch_id"]
 
 @dataclass(frozen=True)
 class Limits:
-    """Storage limits per project; None means no limit of that kind."""
+    """Storage limits; None means no limit of that kind.
+
+    The project limits count stored events and logical bytes of each project, the
+    others the open outbox rows and logical bytes of the whole deployment.
+    """
 
     max_project_events: int | None = 100_000
     max_project_bytes: int | None = 100 * 1024 * 1024
+    max_outbox_pending: int | None = None
+    max_total_bytes: int | None = None
 
     @property
-    def bounded(self) -> bool:
+    def per_project(self) -> bool:
         return self.max_project_events is not None or self.max_project_bytes is not None
 
+    @property
+    def overall(self) -> bool:
+        return self.max_outbox_pending is not None or self.max_total_bytes is not None
+
 
 NO_LIMITS = Limits(None, None)
 
@@ -97,13 +107,17 @@ def admit(
     usage: DataFrame | None = None,
     limits: Limits = Limits(),
     mode: str = "staged",
+    outbox_pending: int = 0,
+    total_bytes: int = 0,
     rows_per_task: int = skew.ROWS_PER_TASK,
 ) -> Admission:
     """Decide all batches exactly as if they had arrived one after another.
 
     ``rows`` follows ``schemas.BATCH_EVENTS``; an optional ``reject_reason`` column
     refuses the batch of any row where it is set. ``usage`` holds ``project_id,
-    event_count, stored_bytes`` before the first batch.
+    event_count, stored_bytes`` before the first batch; ``outbox_pending`` and
+    ``total_bytes`` are the deployment's figures then. A batch holds at most a few
+    hundred events; the wire decoder refuses larger ones.
 
     Whether a batch fits depends on the batches before it, so the decision is
     iterated over all projects at once. Each round settles every batch whose
@@ -116,8 +130,7 @@ def admit(
       batches up to it fits, and none of its events waits for an earlier
       undecided batch.
 
-    The first undecided batch of a project always meets one of these, so the
-    rounds end. Usual data needs a few: one per link in chains of refused repeats.
+    The first undecided batch always meets one of these, so the rounds end. Usual data needs a few: one per link in chains of refused repeats.
     """
     spark = rows.sparkSession
     has_reason = "reject_reason" in rows.columns
@@ -145,7 +158,11 @@ def admit(
     pending = pending.where(F.col("reason").isNull()).drop("__bad", "reason")
     # The heaviest ids of the whole input stay the reference for every round.
     hot = skew.found_hot(pending, EVENT, rows_per_task)
-    known_before = identity.select(*EVENT, "payload_hash", "received_at")
+    # Only the identities these batches mention: with few batches the large table is scanned, not shuffled.
+    known_before = materialize(
+        identity.select(*EVENT, "payload_hash", "received_at").join(pending.select(*EVENT).distinct(), EVENT, "left_semi"),
+        "known",
+    )
 
     paths: list[str] = []
     round_schema = _add(pending.schema, "fresh BOOLEAN, verdict STRING")
@@ -160,7 +177,8 @@ def admit(
 
     while True:
         path = scratch_path(spark, "round")
-        _settle(pending, known_before, stored(), usage, limits, hot).write.parquet(path)
+        base = (outbox_pending, total_bytes)
+        _settle(pending, known_before, stored(), usage, base, limits, hot).write.parquet(path)
         paths.append(path)
         pending = spark.read.schema(round_schema).parquet(path).where("verdict = 'wait'").drop("fresh", "verdict")
         if pending.isEmpty():
@@ -215,6 +233,7 @@ def _settle(
     known_before: DataFrame,
     stored: DataFrame,
     usage: DataFrame | None,
+    base: tuple[int, int],
     limits: Limits,
     hot: DataFrame | None,
 ) -> DataFrame:
@@ -245,54 +264,57 @@ def _settle(
         F.count_if("unknown").alias("most_n"),
         F.coalesce(F.sum(F.when(F.col("unknown"), F.col("stored_bytes"))), F.lit(0)).alias("most_b"),
     )
-    verdict = F.when(F.col("clash"), F.lit("conflict"))
-    if not limits.bounded:
-        judged = batches.withColumn("verdict", verdict.when(~F.col("echo"), F.lit("accept")).otherwise(F.lit("wait")))
-    else:
-        live = [F.when(F.col("clash"), F.lit(0)).otherwise(F.col(c)).alias(c) for c in ("most_n", "most_b")]
-        totals = skew.running_totals(
-            batches.select(*BATCH, "clash", "echo", "new_n", "new_b", *live),
-            ["project_id"],
-            ["batch_at", "batch_id"],
-            ["most_n", "most_b"],
-        )
-        used = stored.groupBy("project_id").agg(
-            F.count("*").alias("__n"), F.sum("stored_bytes").alias("__b")
-        )
-        totals = totals.join(used, "project_id", "left")
+    # A refused batch uses nothing. A batch without new events is free even when limits are exceeded already.
+    judged = batches.withColumns(
+        {c: F.when(F.col("clash"), F.lit(0)).otherwise(F.col(c)) for c in ("most_n", "most_b")}
+    )
+    too_big, safe = F.lit(False), F.lit(True)
+    if limits.per_project:
+        judged = skew.running_totals(judged, ["project_id"], ["batch_at", "batch_id"], ["most_n", "most_b"])
+        used = stored.groupBy("project_id").agg(F.count("*").alias("__n"), F.sum("stored_bytes").alias("__b"))
+        judged = judged.join(used, "project_id", "left")
         if usage is not None:
-            base = usage.select("project_id", F.col("event_count").alias("__n0"), F.col("stored_bytes").alias("__b0"))
-            totals = totals.join(base, "project_id", "left")
+            before = usage.select("project_id", F.col("event_count").alias("__n0"), F.col("stored_bytes").alias("__b0"))
+            judged = judged.join(before, "project_id", "left")
         else:
-            totals = totals.withColumn("__n0", F.lit(0)).withColumn("__b0", F.lit(0))
-
-        def left(limit, *taken):
-            room = F.lit(limit if limit is not None else 2**62).cast("bigint")
-            for c in taken:
-                room = room - F.coalesce(F.col(c), F.lit(0))
-            return room
-
-        left_n = left(limits.max_project_events, "__n", "__n0")
-        left_b = left(limits.max_project_bytes, "__b", "__b0")
-        # A batch without new events is free even when the project is already over its limits.
-        too_big = (F.col("new_n") > 0) & ((F.col("new_n") > left_n) | (F.col("new_b") > left_b))
-        safe = ((F.col("cum_most_n") <= left_n) & (F.col("cum_most_b") <= left_b)) | (F.col("most_n") == 0)
-        judged = totals.withColumn(
-            "verdict",
-            verdict.when(too_big, F.lit("quota"))
-            .when(safe & ~F.col("echo"), F.lit("accept"))
-            .otherwise(F.lit("wait")),
+            judged = judged.withColumns({"__n0": F.lit(0), "__b0": F.lit(0)})
+        used_n = F.coalesce("__n", F.lit(0)) + F.coalesce("__n0", F.lit(0))
+        used_b = F.coalesce("__b", F.lit(0)) + F.coalesce("__b0", F.lit(0))
+        judged = judged.withColumns(
+            {
+                "__big": _exceeds("new_n", used_n, limits.max_project_events)
+                | _exceeds("new_b", used_b, limits.max_project_bytes),
+                "__safe": ~_exceeds("cum_most_n", used_n, limits.max_project_events)
+                & ~_exceeds("cum_most_b", used_b, limits.max_project_bytes),
+            }
+        ).drop("cum_most_n", "cum_most_b")
+        too_big, safe = F.col("__big"), F.col("__safe")
+    if limits.overall:
+        judged = skew.running_totals(judged, [], ["batch_at", "batch_id", "project_id"], ["most_n", "most_b"])
+        taken = stored.agg(F.count("*").alias("n"), F.coalesce(F.sum("stored_bytes"), F.lit(0)).alias("b")).first()
+        used_n, used_b = F.lit(base[0] + taken.n), F.lit(base[1] + taken.b)
+        too_big = (
+            too_big
+            | _exceeds("new_n", used_n, limits.max_outbox_pending)
+            | _exceeds("new_b", used_b, limits.max_total_bytes)
+        )
+        safe = (
+            safe
+            & ~_exceeds("cum_most_n", used_n, limits.max_outbox_pending)
+            & ~_exceeds("cum_most_b", used_b, limits.max_total_bytes)
         )
+    judged = judged.withColumn(
+        "verdict",
+        F.when(F.col("clash"), F.lit("conflict"))
+        .when((F.col("new_n") > 0) & too_big, F.lit("quota"))
+        .when((safe | (F.col("most_n") == 0)) & ~F.col("echo"), F.lit("accept"))
+        .otherwise(F.lit("wait")),
+    )
     return marked.join(judged.select(*BATCH, "verdict"), BATCH).select(*pending.columns, "fresh", "verdict")
 
 
-def outbox_quota(decisions_new: DataFrame, outbox_pending: int, max_pending: int = 10_000) -> DataFrame:
-    """Deployment-wide check of one micro-batch: total new events against the room in the outbox."""
-    return decisions_new.agg(F.count("*").alias("new_events")).select(
-        "new_events",
-        F.lit(outbox_pending).cast("bigint").alias("pending"),
-        (F.col("new_events") + outbox_pending <= max_pending).alias("fits"),
-    )
+def _exceeds(amount: str, used: Column, limit: int | None) -> Column:
+    return F.lit(False) if limit is None else F.col(amount) + used > F.lit(limit)
 
 
 def counters(decisions: DataFrame, rows: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import jsondoc, temporal, text
+from tidemark.operators import skew
 from tidemark.operators.filters import at
 
 EVENT = ["project_id", "event_id"]
@@ -72,7 +73,7 @@ def read_deliveries(messages: DataFrame, outbox: DataFrame, inbox: DataFrame, va
 
     ``error_type`` is NULL for a sound delivery, which then carries the receipt
     time of the inbox. A message may come many times, so equal messages are merged
-    first and the joins see each event a few times at most.
+    first; an event with very many different messages is divided over tasks.
     """
     envelope = F.from_json(value, ENVELOPE)
     decoded = (
@@ -85,9 +86,8 @@ def read_deliveries(messages: DataFrame, outbox: DataFrame, inbox: DataFrame, va
     checked = decoded.withColumn("__valid", F.coalesce(valid, F.lit(False))).withColumn(
         "__payload_id", F.when(F.col("__valid"), F.lower(jsondoc.text_member(F.col("payload"), "eventId")))
     )
-    known = outbox.select(*EVENT, F.lit(True).alias("__known"))
-    receipts = inbox.select(*EVENT, "received_at")
-    joined = checked.join(known, EVENT, "left").join(receipts, EVENT, "left")
+    known = outbox.select(*EVENT, F.lit(True).alias("__known")).join(inbox.select(*EVENT, "received_at"), EVENT, "left")
+    joined = skew.lookup(checked, known, EVENT, ["value"], skew.hot_keys(decoded, EVENT))
     error_type = (
         F.when(~F.col("__valid"), F.lit("JsonException"))
         .when(

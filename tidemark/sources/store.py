@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.operators import mirror
-from tidemark.session import scratch_path
+from tidemark.session import materialize
 
 EVENT = ["project_id", "event_id"]
 
@@ -53,11 +53,11 @@ def insert_absent(batch: DataFrame, path: str) -> DataFrame:
     rows = one.select(*EVENT, *[F.col(f"__row.{c}").alias(c) for c in rest]).withColumn(
         "occurred_date", F.to_date("occurred_at")
     )
-    known = read_events(spark, path).select(*EVENT, "occurred_date")
-    fresh = rows.join(known, [*EVENT, "occurred_date"], "left_anti")
-    staged = scratch_path(spark, "fresh")
-    fresh.write.parquet(staged)
-    fresh = spark.read.schema(fresh.schema).parquet(staged)
+    rows = materialize(rows, "batch")
+    # One value per UTC day in the batch, so the scan opens these folders only.
+    days = [r.occurred_date for r in rows.select("occurred_date").distinct().collect()]
+    known = read_events(spark, path).where(F.col("occurred_date").isin(days)).select(*EVENT, "occurred_date")
+    fresh = materialize(rows.join(known, [*EVENT, "occurred_date"], "left_anti"), "fresh")
     write_events(fresh, path)
     return fresh
 

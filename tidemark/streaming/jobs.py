@@ -157,16 +157,19 @@ def ingest(
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = prepare_batches(batch, window)
-        staged = rows.select(*rows.columns)
         path = f"{root}/prepared/batch={batch_id}"
-        staged.write.mode("overwrite").parquet(path)
+        rows.write.mode("overwrite").parquet(path)
         staged = spark.read.schema(rows.schema).parquet(path)
 
         earlier = store.read_table(spark, f"{root}/identity", schemas.IDENTITY + ", batch BIGINT").where(
             F.col("batch") < batch_id
         )
-        usage = earlier.groupBy("project_id").agg(
-            F.count("*").alias("event_count"), F.sum("stored_bytes").alias("stored_bytes")
+        # Totals come from one small row set per micro-batch, not from the identities.
+        used = store.read_table(
+            spark, f"{root}/usage", "project_id STRING, event_count BIGINT, stored_bytes BIGINT, batch BIGINT"
+        ).where(F.col("batch") < batch_id)
+        usage = used.groupBy("project_id").agg(
+            F.sum("event_count").alias("event_count"), F.sum("stored_bytes").alias("stored_bytes")
         )
         result = admission.admit(
             staged.select(
@@ -190,6 +193,9 @@ def ingest(
         result.receipts.write.mode("overwrite").parquet(f"{root}/receipts/batch={batch_id}")
         result.decisions.write.mode("overwrite").parquet(f"{root}/decisions/batch={batch_id}")
         staged.where(F.col("reject_reason").isNotNull()).write.mode("overwrite").parquet(f"{root}/rejects/batch={batch_id}")
+        fresh.groupBy("project_id").agg(
+            F.count("*").alias("event_count"), F.sum("stored_bytes").alias("stored_bytes")
+        ).write.mode("overwrite").parquet(f"{root}/usage/batch={batch_id}")
         # Identities last: a batch that failed half-way is decided again from the same state.
         fresh.select(*schemas.struct(schemas.IDENTITY).names).write.mode("overwrite").parquet(
             f"{root}/identity/batch={batch_id}"
@@ -236,10 +242,9 @@ def attempt_budget(
             text.account_bucket(F.col("username")).alias("bucket"),
             temporal.micros(F.col("attempted_at")).alias("t"),
         )
-        earlier = store.read_table(spark, f"{root}/open", open_schema).where(F.col("batch") < batch_id)
-        carried = earlier.groupBy("bucket").agg(
-            F.max_by(F.struct("t", "used"), "batch").alias("__w")
-        ).select("bucket", "__w.t", "__w.used")
+        earlier = store.read_table(spark, f"{root}/open", open_schema)
+        # Every micro-batch writes the state of all buckets, so the previous one suffices.
+        carried = earlier.where(F.col("batch") == batch_id - 1).select("bucket", "t", "used")
         placed = budgets.windowed(timed, ["bucket"], ["t", "attempt_id"], carried).join(
             carried.select("bucket", F.col("t").alias("window_start"), "used"), ["bucket", "window_start"], "left"
         )

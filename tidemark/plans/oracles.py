@@ -264,12 +264,14 @@ BODIES: dict[str, str] = {
         SELECT product_id, order_id, line, quantity, coalesce(price IS NOT NULL AND quantity BETWEEN 1 AND 10, false) AS valid,
           CASE WHEN price IS NOT NULL AND quantity BETWEEN 1 AND 10 THEN CAST(price * quantity AS BIGINT) END AS amount_minor,
           CASE WHEN price IS NOT NULL AND quantity BETWEEN 1 AND 10 THEN 'USD' END AS currency FROM p""",
-    "processing_status": f"""SELECT i.project_id, count(*) FILTER (WHERE processed_at IS NULL) AS pending,
-          greatest(0.0, (epoch_us({NOW}) - epoch_us(min(i.received_at) FILTER (WHERE processed_at IS NULL))) / 1e6) AS oldest_pending_seconds,
-          round(greatest(0.0, quantile_cont((epoch_us(processed_at) - epoch_us(i.received_at)) / 1e6, 0.95)
-            FILTER (WHERE processed_at >= {NOW} - INTERVAL 5 MINUTE)), 6) AS processing_p95_seconds,
+    "processing_status": f""", q AS (SELECT i.project_id, count(*) FILTER (WHERE processed_at IS NULL) AS pending,
+          (epoch_us({NOW}) - epoch_us(min(i.received_at) FILTER (WHERE processed_at IS NULL))) / 1e6 AS age,
+          quantile_cont((epoch_us(processed_at) - epoch_us(i.received_at)) / 1e6, 0.95)
+            FILTER (WHERE processed_at >= {NOW} - INTERVAL 5 MINUTE) AS p95,
           (SELECT max(received_at) FROM identity d WHERE d.project_id = i.project_id) AS last_received_at
-        FROM inbox i GROUP BY i.project_id""",
+        FROM inbox i GROUP BY i.project_id)
+        SELECT project_id, pending, CASE WHEN age IS NOT NULL THEN greatest(0.0, age) END AS oldest_pending_seconds,
+          CASE WHEN p95 IS NOT NULL THEN round(greatest(0.0, p95), 6) END AS processing_p95_seconds, last_received_at FROM q""",
     "outbox_status": f"""SELECT project_id,
           count(*) FILTER (WHERE completed_at IS NULL AND dead_lettered_at IS NULL) AS pending,
           (epoch_us({NOW}) - epoch_us(min(created_at) FILTER (WHERE completed_at IS NULL AND dead_lettered_at IS NULL))) / 1e6 AS oldest_pending_seconds,

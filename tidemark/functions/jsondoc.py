@@ -74,7 +74,14 @@ def plain_number(token: Column) -> Column:
         .otherwise(F.concat(F.substr(padded, F.lit(1), cut), F.lit("."), F.substr(padded, cut + 1)))
     )
     # Powers outside the bound cannot be exact: leave the token for the exactness rule to refuse.
-    return F.when(core == "", F.lit("0")).when(F.abs(power) <= 64, F.concat(sign, value)).otherwise(token)
+    scaled = F.when(core == "", F.lit("0")).when(F.abs(power) <= 64, F.concat(sign, value)).otherwise(token)
+    # Without an exponent only trailing zeros have to go.
+    short = F.regexp_replace(token, r"\.?0+$", "")
+    return (
+        F.when(token.rlike("[eE]"), scaled)
+        .when(token.contains("."), F.when(short.isin("-0", "0", "-"), F.lit("0")).otherwise(short))
+        .otherwise(F.when(token == "-0", F.lit("0")).otherwise(token))
+    )
 
 
 def needs_rewriting(bones: Column) -> Column:
@@ -119,9 +126,9 @@ def canonical(raw: Column) -> Column:
     return F.to_json(parsed(raw))
 
 
-def document_ok(doc: Column) -> Column:
+def document_ok(doc: Column, bones: Column | None = None) -> Column:
     """The stored-property rule on canonical text: containers, entries, keys, strings and numbers within bounds."""
-    bones = skeleton(doc)
+    bones = skeleton(doc) if bones is None else bones
     tokens = F.regexp_extract_all(doc, F.lit(f"{STRING}:?"), F.lit(0))
     one_char = r"\\(?:u[0-9a-fA-F]{4}|.)"
 

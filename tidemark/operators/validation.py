@@ -40,7 +40,7 @@ def _error(condition: Column, field: str, message: str) -> Column:
 
 
 def field_errors(received_at: Column, window: AdmissionWindow = AdmissionWindow(), browser_only: bool = False) -> Column:
-    """ARRAY<STRUCT<field, message>> for one decoded event, empty when it is valid."""
+    """ARRAY<STRUCT<field, message>> for one decoded event with ``__outline``, empty when it is valid."""
     properties = F.col("properties")
     is_object = F.coalesce(properties.rlike(r"^\s*\{"), F.lit(False))
     inexact = F.coalesce(F.col("inexact"), F.lit(False))
@@ -59,7 +59,7 @@ def field_errors(received_at: Column, window: AdmissionWindow = AdmissionWindow(
         _error(text.bad_identity(F.col("anonymous_id")), "anonymousId", identity),
         _error(text.bad_identity(F.col("session_id")), "sessionId", identity),
         _error(properties.isNotNull() & ~is_object, "properties", "Properties must be an object."),
-        _error(is_object & (inexact | ~jsondoc.document_ok(properties)), "properties", PROPERTY_RULE),
+        _error(is_object & (inexact | ~jsondoc.document_ok(properties, F.col("__outline"))), "properties", PROPERTY_RULE),
     ]
     if browser_only:
         source = F.coalesce(jsondoc.member_equals(properties, "source", '"browser"'), F.lit(False))
@@ -81,7 +81,9 @@ def validate(
     browser_only: bool = False,
 ) -> DataFrame:
     """Add ``errors`` and ``reject_reason``: size, then shape, then field rules."""
-    return compute_once(decoded, errors=field_errors(received_at, window, browser_only)).withColumn(
+    outlined = compute_once(decoded, __outline=jsondoc.skeleton(F.col("properties")))
+    checked = compute_once(outlined, errors=field_errors(received_at, window, browser_only)).drop("__outline")
+    return checked.withColumn(
         "reject_reason",
         F.when(F.col("oversize"), F.lit("size"))
         .when(F.col("malformed"), F.lit("malformed"))

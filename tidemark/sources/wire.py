@@ -30,12 +30,14 @@ MAX_BATCH_BYTES = 1024 * 1024
 MAX_BATCH_EVENTS = 100
 
 
-def _members(document: Column) -> Column:
-    """Lower-cased member map; NULL for a non-object or for names that differ only by case."""
-    found = F.try_variant_get(document, "$", "map<string,variant>")
-    names = F.transform(F.map_keys(found), lambda k: F.lower(k))
-    distinct = F.size(F.array_distinct(names)) == F.size(names)
-    return F.when(distinct, F.map_from_arrays(names, F.map_values(found)))
+def _with_members(frames: DataFrame, document: str) -> DataFrame:
+    """Add ``__m``: members by lower-cased name; NULL for a non-object or names that differ only by case."""
+    found = F.try_variant_get(F.col(document), "$", "map<string,variant>")
+    named = compute_once(frames, __found=found)
+    named = compute_once(named, __names=F.transform(F.map_keys("__found"), lambda k: F.lower(k)))
+    distinct = F.size(F.array_distinct("__names")) == F.size("__names")
+    members = F.when(distinct, F.map_from_arrays("__names", F.map_values("__found")))
+    return compute_once(named, __m=members).drop("__found", "__names")
 
 
 def decode_events(frames: DataFrame, value: str = "value") -> DataFrame:
@@ -50,24 +52,31 @@ def decode_events(frames: DataFrame, value: str = "value") -> DataFrame:
         oversize=F.octet_length(raw) > MAX_EVENT_BYTES,
         inexact=~F.forall(numbers, jsondoc.is_exact_number),
     )
-    return _typed(compute_once(opened, __m=_members(F.col("__doc")))).drop("__bones", "__doc", "__m")
+    return _typed(_with_members(opened, "__doc")).drop("__bones", "__doc", "__m")
 
 
-def _typed(members: DataFrame) -> DataFrame:
+def _typed(opened: DataFrame) -> DataFrame:
+    scalars = [name for name in MEMBERS if name != "properties"]
+
     def member(name: str) -> Column:
         return F.element_at("__m", F.lit(name))
 
+    # VOID stands for an absent member or JSON null.
+    kinds = {f"__kind_{n}": F.coalesce(F.schema_of_variant(member(n)), F.lit("VOID")) for n in scalars}
+    texts = {f"__text_{n}": F.try_variant_get(member(n), "$", "string") for n in scalars}
+    read = compute_once(opened, **kinds, **texts)
+    members = compute_once(read, __occurred=temporal.parse_instant(F.col("__text_occurredat")))
+
     def kind(name: str) -> Column:
-        """VOID for an absent member or JSON null."""
-        return F.coalesce(F.schema_of_variant(member(name)), F.lit("VOID"))
+        return F.col(f"__kind_{name}")
 
     def as_text(name: str) -> Column:
-        return F.try_variant_get(member(name), "$", "string")
+        return F.col(f"__text_{name}")
 
     def text_or_null(name: str) -> Column:
         return kind(name).isin("STRING", "VOID")
 
-    occurred = temporal.parse_instant(as_text("occurredat"))
+    occurred = F.col("__occurred")
     absent_id = ~F.map_contains_key("__m", "eventid")
     absent_version = ~F.map_contains_key("__m", "schemaversion")
     sound = (
@@ -91,8 +100,8 @@ def _typed(members: DataFrame) -> DataFrame:
         user_id=as_text("userid"),
         anonymous_id=as_text("anonymousid"),
         session_id=as_text("sessionid"),
-        properties=F.when(properties.isNotNull() & ~F.is_variant_null(properties), F.to_json(properties)),
-    )
+        properties=F.when(~F.is_variant_null(properties), F.to_json(properties)),
+    ).drop("__occurred", *kinds, *texts)
 
 
 def explode_batches(batches: DataFrame, value: str = "value") -> DataFrame:
@@ -104,7 +113,7 @@ def explode_batches(batches: DataFrame, value: str = "value") -> DataFrame:
     """
     raw = F.col(value)
     doc = F.when(F.regexp_replace(jsondoc.skeleton(raw), r"^\{.*\}$", "{}") == "{}", jsondoc.parsed(raw))
-    opened = compute_once(compute_once(batches, __doc=doc), __m=_members(F.col("__doc")))
+    opened = _with_members(compute_once(batches, __doc=doc), "__doc")
     events = F.try_variant_get(F.element_at("__m", F.lit("events")), "$", "array<variant>")
     known = F.forall(F.map_keys("__m"), lambda k: k == "events")
     count_ok = F.size("__events").between(1, MAX_BATCH_EVENTS)

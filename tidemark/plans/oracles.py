@@ -403,6 +403,19 @@ BODIES: dict[str, str] = {
         FROM attempts a LEFT JOIN b ON b.attempt_id = a.attempt_id""",
     "request_budget": """SELECT project_id, date_trunc('minute', received_at) AS minute, count(*) AS requests,
         greatest(count(*) - 2, 0) AS over FROM ev GROUP BY ALL""",
+    "synthetic_events": """, k AS (SELECT '42:' || CAST(event_id AS VARCHAR) AS key FROM events),
+        d AS (SELECT sha256(key) AS id, {picks} FROM k),
+        r AS (SELECT *, ['signup', 'view_item', 'purchase', 'refund'][CAST(kind % 4 + 1 AS INTEGER)] AS event_type FROM d)
+        SELECT concat_ws('-', substr(id, 1, 8), substr(id, 9, 4), substr(id, 13, 4), substr(id, 17, 4), substr(id, 21, 12)) AS event_id,
+          event_type, 'user-' || CAST(person % 1000 AS VARCHAR) AS user_id, 'session-' || CAST(visit % 4000 AS VARCHAR) AS session_id,
+          TIMESTAMP '2024-01-01' + to_seconds(moment % 2592000) AS occurred_at,
+          CASE event_type WHEN 'purchase' THEN concat('{{"amountMinor":', money % 9900 + 100, ',"currency":"USD"}}')
+            WHEN 'refund' THEN concat('{{"amountMinor":', money % 4900 + 100, ',"currency":"USD"}}') ELSE '{{}}' END AS properties FROM r""".format(
+        picks=", ".join(
+            f"CAST(('0x' || substr(sha256(key || ':{name}'), 1, 8)) AS BIGINT) AS {column}"
+            for name, column in (("type", "kind"), ("user", "person"), ("session", "visit"), ("time", "moment"), ("amount", "money"))
+        )
+    ),
     "stream_project_inbox": """SELECT project_id, event_id, event_type, schema_version, user_id, anonymous_id, session_id, occurred_at,
         received_at, properties FROM ev""",
     "stream_dedup": "SELECT DISTINCT project_id, event_id FROM deliv",

@@ -535,8 +535,9 @@ def request_budget(spark, sf):
 @query
 def synthetic_events(spark, sf):
     numbered = td.table(spark, sf, "events").selectExpr("event_id AS number")
-    drawn = synthetic.draw_events(numbered, "number", 42)
-    return drawn.groupBy("event_type").agg(F.count("*").alias("events"), F.count_distinct("event_id").alias("ids"))
+    return synthetic.draw_events(numbered, "number", 42).select(
+        "event_id", "event_type", "user_id", "session_id", "occurred_at", "properties"
+    )
 
 
 # Streaming

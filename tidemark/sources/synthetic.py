@@ -23,7 +23,8 @@ def draw_events(numbered: DataFrame, number: str, seed: int, project: str = "syn
     key = F.concat_ws(":", F.lit(str(seed)), F.col(number).cast("string"))
 
     def pick(name: str, n: int):
-        return F.pmod(F.xxhash64(F.concat_ws(":", key, F.lit(name))), F.lit(n))
+        digest = F.sha2(F.concat_ws(":", key, F.lit(name)), 256)
+        return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(n))
 
     kind = F.element_at(F.array(*map(F.lit, TYPES)), (pick("type", len(TYPES)) + 1).cast("int"))
     amount = F.when(F.col("event_type") == "purchase", pick("amount", 9900) + 100).otherwise(pick("amount", 4900) + 100)

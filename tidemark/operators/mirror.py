@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -84,9 +85,9 @@ def counts_by_project(mirror: DataFrame) -> DataFrame:
     )
 
 
-def reconcile(events: DataFrame, mirror: DataFrame) -> DataFrame:
-    """Source and mirror counts by project, type and UTC day, with the difference."""
-    buckets = ["project_id", "event_type", "day"]
+def reconcile(events: DataFrame, mirror: DataFrame, by: Sequence[str] = ("project_id", "event_type", "day")) -> DataFrame:
+    """Source and mirror counts per bucket with the difference; ``by`` may drop the type, the UTC day or both."""
+    buckets = list(by)
 
     def counted(rows: DataFrame, name: str) -> DataFrame:
         return (

@@ -350,6 +350,11 @@ BODIES: dict[str, str] = {
         SELECT project_id, event_type, day, coalesce(a.n, 0) AS source_events, coalesce(b.n, 0) AS mirror_events,
           coalesce(a.n, 0) - coalesce(b.n, 0) AS discrepancy, coalesce(a.n, 0) = coalesce(b.n, 0) AS matches
         FROM a FULL JOIN b USING (project_id, event_type, day)""",
+    "reconcile_projects": """, a AS (SELECT project_id, count(*) AS n FROM ev GROUP BY ALL),
+        b AS (SELECT project_id, count(DISTINCT event_id) AS n FROM mirror GROUP BY ALL)
+        SELECT project_id, coalesce(a.n, 0) AS source_events, coalesce(b.n, 0) AS mirror_events,
+          coalesce(a.n, 0) - coalesce(b.n, 0) AS discrepancy, coalesce(a.n, 0) = coalesce(b.n, 0) AS matches
+        FROM a FULL JOIN b USING (project_id)""",
     "outbox_publish": f"""SELECT project_id, event_id, concat('{{"project_id":"', project_id, '","event_id":"', event_id, '","payload":"',
           replace(payload, '"', '\\"'), '"}}') AS value FROM outb
         WHERE published_at IS NULL AND completed_at IS NULL AND dead_lettered_at IS NULL AND next_attempt_at <= {NOW}""",

@@ -424,6 +424,11 @@ def reconcile_buckets(spark, sf):
     return mirror.reconcile(td.events(spark, sf), td.mirror_events(spark, sf))
 
 
+@query
+def reconcile_projects(spark, sf):
+    return mirror.reconcile(td.events(spark, sf), td.mirror_events(spark, sf), ["project_id"])
+
+
 @query
 def outbox_publish(spark, sf):
     return delivery.envelopes(td.outbox(spark, sf), NOW).select("project_id", "event_id", "value")

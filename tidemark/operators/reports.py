@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import jsondoc, temporal
+from tidemark.functions.once import compute_once
 from tidemark.operators.filters import EventFilter, at, scoped
 from tidemark.operators.status import processing_status
 
@@ -97,10 +98,9 @@ def revenue(events: DataFrame, start: datetime, end: datetime, project: str | No
     """Gross, refunds and net per currency over purchases and refunds with an integer amount."""
     money = F.from_json("properties", "currency STRING, amountMinor STRING")
     amount = F.col("__money.amountMinor")
+    sales = scoped(events, project, start, end).where(F.col("event_type").isin("purchase", "refund"))
     rows = (
-        scoped(events, project, start, end)
-        .where(F.col("event_type").isin("purchase", "refund"))
-        .withColumn("__money", money)
+        compute_once(sales.select("project_id", "event_type", "properties"), __money=money)
         .select(
             "project_id",
             "event_type",

@@ -6,9 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import suffix_dedup
+from tidemark.llm import block_knn, jaccard_join, lattice_dedup, packing, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_lattice_dedup": lattice_dedup.query,
+    "op3_packing": packing.query,
+    "op4_toxicity": toxicity.query,
+    "op7_block_knn": block_knn.query,
     "op9_suffix_dedup": suffix_dedup.query,
+    "op10_jaccard_join": jaccard_join.query,
 }
 ORACLES: dict[str, str] = {}

@@ -6,14 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import block_knn, jaccard_join, lattice_dedup, packing, suffix_dedup, toxicity
+from tidemark.llm import block_knn, html_extract, jaccard_join, lattice_dedup, mixing, packing, sharding, suffix_dedup, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_bundles": warc.query,
     "op2_lattice_dedup": lattice_dedup.query,
     "op3_packing": packing.query,
     "op4_toxicity": toxicity.query,
+    "op5_mixing": mixing.query,
+    "op6_html_extract": html_extract.query,
     "op7_block_knn": block_knn.query,
+    "op8_sharding": sharding.query,
     "op9_suffix_dedup": suffix_dedup.query,
     "op10_jaccard_join": jaccard_join.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_mixing": mixing.ORACLE,
+    "op8_sharding": sharding.ORACLE,
+}

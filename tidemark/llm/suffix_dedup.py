@@ -204,10 +204,10 @@ def removal_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return B.beside(blocks, answers).mapInArrow(report, schema)
 
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length_column: str | None = None) -> DataFrame:
     """The table with repeated passages taken out of the text; every row stays.
 
-    A cut may fall inside a character; its remaining bytes go as well.
+    A cut may fall inside a character; its remaining bytes go as well. ``length_column`` then holds the characters left.
     """
     others = tuple(c for c in docs.columns if c not in (doc_id, text))
     blocks, answers = removals(docs, doc_id, text, others)
@@ -220,6 +220,8 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             columns = {doc_id: block.batch.column("__id"), text: pa.array(texts, pa.string())}
             if others:
                 columns |= dict(zip(others, block.batch.column("__kept").flatten()))
+            if length_column in columns:
+                columns[length_column] = pa.array(list(map(len, texts)), columns[length_column].type)
             yield pa.RecordBatch.from_arrays([columns[c] for c in docs.columns], docs.columns)
 
     return B.beside(blocks, answers).mapInArrow(cleaned, schema)

@@ -1,6 +1,6 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-A text's features are its words, their stems (first letters), its word pairs, and pairs with one word between them, hashed into
+A text's features are its words, their stems (first four and five letters), its word pairs, and pairs with one word between them, hashed into
 2**20 places and counted once each. FTRL-proximal trains one weight per place with its own learning rate, and L1 keeps most of them
 at exactly zero, so the weights that reach every scoring task are a few thousand numbers (at most 2**20). Training reads at most
 ``TRAINING_ROWS`` labelled documents, chosen by a hash of their id; every text is scored whole.
@@ -24,10 +24,11 @@ from tidemark.llm.shipping import ship
 
 PLACES = 1 << 20
 TRAINING_ROWS = 12_000
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.0, 1.0
+EPOCHS = 5
+ALPHA, BETA, L2 = 3.0, 1.0, 1.0
+L1_SHARE = 0.05  # L1 is this share of the root of the training rows, at least 1: evidence by chance grows as the root
 THRESHOLD = 0.7
-STEM = 5
+STEMS = (4, 5)
 MARKS = ".,;:!?\"'()[]{}<>*#%&$-_/\\|"
 
 
@@ -40,24 +41,25 @@ class Features(dict):
         if len(self) >= self.LIMIT:
             self.clear()
         bare = word.strip(MARKS) or word
-        self[word] = found = xxhash.xxh3_64_digest(bare) + xxhash.xxh3_64_digest("^" + bare[:STEM])
+        self[word] = found = xxhash.xxh3_64_digest(bare) + b"".join(xxhash.xxh3_64_digest("^" + bare[:n]) for n in STEMS)
         return found
 
     def of(self, text: str | None) -> np.ndarray:
         joined = b"".join(map(self.__getitem__, (text or "").lower().split()))
-        words, stems = np.frombuffer(joined, np.uint64).reshape(-1, 2).T
+        words, *stems = np.frombuffer(joined, np.uint64).reshape(-1, 1 + len(STEMS)).T
         pairs = words[:-1] * np.uint64(3) + words[1:]
         skips = words[:-2] * np.uint64(5) + words[2:]
-        hashes = np.concatenate([words, stems, mixed(pairs, 1), mixed(skips, 2)])
+        hashes = np.concatenate([words, *stems, mixed(pairs, 1), mixed(skips, 2)])
         return (hashes >> np.uint64(44)).astype(np.int32)
 
 
 def train(rows: list[tuple[np.ndarray, int]]) -> tuple[float, np.ndarray, np.ndarray]:
     """FTRL-proximal over rows of (distinct places, label): bias, places with a weight, their weights."""
     z, n = np.zeros(PLACES + 1), np.zeros(PLACES + 1)
+    strength = max(1.0, L1_SHARE * len(rows) ** 0.5)
 
     def weights(at: np.ndarray) -> np.ndarray:
-        own, l1 = z[at], np.where(at == PLACES, 0.0, L1)
+        own, l1 = z[at], np.where(at == PLACES, 0.0, strength)
         return np.where(np.abs(own) <= l1, 0.0, -(own - np.sign(own) * l1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2))
 
     for _ in range(EPOCHS):

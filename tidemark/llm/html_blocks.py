@@ -8,8 +8,8 @@ import re
 from dataclasses import dataclass
 
 # HTML's element kinds, and words that sites use for parts of a page.
-UNSEEN = frozenset("head title script style noscript template svg math iframe object select option button textarea canvas audio video".split())
-RAW = frozenset("script style textarea title noscript iframe".split())
+UNSEEN = frozenset("head template svg math object select option button canvas audio video".split())
+SKIPPED = frozenset("script style textarea title noscript iframe".split())  # plain text up to their end tag
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -123,6 +123,10 @@ def leaves(page: str) -> list[Leaf]:
         if tag == "br":
             parts.append((" ", False))
             continue
+        if tag in SKIPPED:
+            end = None if closing else re.compile(f"</{tag}\\b[^>]*(?:>|\\Z)", re.I).search(page, at)
+            at = at if closing else end.end() if end else len(page)
+            continue
         if tag not in INLINE:
             flush()
         if closing:
@@ -140,15 +144,11 @@ def leaves(page: str) -> list[Leaf]:
                     break
         if tag == "body" and any(o.tag == "head" for o in stack):
             pop(next(i for i, o in enumerate(stack) if o.tag == "head"))
-        if tag in VOID or attributes.endswith("/") and tag not in RAW:
+        if tag in VOID or attributes.endswith("/"):
             continue
         boxes += 1
         stack.append(_Open(tag, attributes, boxes))
         unseen += tag in UNSEEN
-        if tag in RAW:
-            end = re.compile(f"</{tag}\\b[^>]*(?:>|\\Z)", re.I).search(page, at)
-            pop(len(stack) - 1)
-            at = end.end() if end else len(page)
     flush()
     for i, leaf in enumerate(found):
         leaf.features.append(f"place:{_grade((i + 0.5) / len(found), (0.1, 0.3, 0.7, 0.9))}")

@@ -297,7 +297,8 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_
     gone = rows.join(least.where("size > 1").select("component", F.col("k.row").alias("kept")), "component").where("row <> kept")
     place = F.col("row").bitwiseAND((1 << B.ROW_BITS) - 1)
     dropped = materialize(gone.groupBy(F.shiftright("row", B.ROW_BITS).alias("block")).agg(F.collect_list(place).alias("dropped")), "dropped")
-    schema = StructType([docs.schema[c] for c in docs.columns])
+    names = docs.columns
+    schema = StructType([docs.schema[c] for c in names])
 
     def remaining(batches):
         for batch in batches:
@@ -309,7 +310,7 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_
                 columns = {doc_id: block.batch.column("__id"), text: block.batch.column("__text").cast(pa.large_string())}
                 if others:
                     columns |= dict(zip(others, block.batch.column("__kept").flatten()))
-                yield pa.RecordBatch.from_arrays([columns[c] for c in docs.columns], docs.columns).filter(pa.array(left))
+                yield pa.RecordBatch.from_arrays([columns[c] for c in names], names).filter(pa.array(left))
 
     return B.beside(blocks, [dropped]).mapInArrow(remaining, schema)
 

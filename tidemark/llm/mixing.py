@@ -164,7 +164,7 @@ WITH RECURSIVE lean AS (
   FROM facts
 ), sources AS (
   SELECT source, total, CASE WHEN total = 0 THEN 1.0 ELSE round(((SELECT max(total) FROM totals) / total::DOUBLE) ** (1 - a), 6) END AS repeats,
-    least({MOST_BLOCKS}, greatest(1, -((-total) // {BLOCK_TOKENS}))) AS blocks
+    least({MOST_BLOCKS}, greatest(1, ceil(total / {BLOCK_TOKENS})::BIGINT)) AS blocks
   FROM totals, chosen
 ), placed AS (
   SELECT doc_id, lean.source, tokens, total, floor(repeats * total)::BIGINT AS budget, ceil(repeats)::INTEGER AS passes,

@@ -4,7 +4,8 @@ The documents of a partition follow one another in their stored order, each clos
 cut into sequences of at most ``WINDOW`` ids. A sequence is padded to the window unless its length is a power of two.
 Cuts are free after a document, cost little after a sentence and more anywhere else, and the cuts of least total cost
 (padding plus penalties) are found exactly: the padding of the window ending at a cut is linear in where it begins,
-so the best beginning is the front of a monotone queue; lengths that are a power of two are single transitions beside it.
+so the best beginning is the front of a monotone queue; lengths that are a power of two are single transitions beside it (those below
+a sixteenth of the window only within a stretch's last window).
 No row is shuffled, and a task holds one stretch of tokens at a time.
 
 Defined results: null and empty texts are one end id; a long document spans sequences; repeated rows, and rows without a
@@ -36,31 +37,58 @@ class Ids(dict):
     """Token ids of texts, as bytes of 32-bit numbers; each distinct word is tokenized once.
 
     Between words that one space separates the tokenizer's splits are independent, so the ids of a text are those of its words.
-    A text with adjoining white space, or with what may be a special token, goes through the tokenizer as a whole.
+    A text's new words are tokenized together. A text with adjoining white space, or with what may be a special token, goes
+    through the tokenizer as a whole. A worker process keeps one bounded table for all its tasks.
     """
 
-    LIMIT = 300_000
+    LIMIT = 900_000
+    kept: dict[str, Ids] = {}
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.marks = {m: self.whole(m) for m in ",."}
         self._odd = re.compile(r"\s\s|<\|")
 
+    @classmethod
+    def at(cls, path: str) -> Ids:
+        if path not in cls.kept:
+            cls.kept[path] = cls(path)
+        return cls.kept[path]
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = found = self.whole(" " + word)
-        return found
+    def learn(self, words: list[str]) -> None:
+        """Tokenize words as they follow a space, and remember them."""
+        split = [(w, w[:-1], w[-1]) for w in words if w[-1:] in (",", ".") and w[:-1].isalpha()]  # letters and a mark are two splits
+        plain = {base for _, base, _ in split if base not in self}
+        plain.update(w for w in words if w and not (w[0].isspace() or w[-1].isspace() or w[-1] in ",." and w[:-1].isalpha()))
+        plain = list(plain)
+        if plain:
+            found = self.tokenizer.encode(" " + " ".join(plain), add_special_tokens=False)
+            packed = np.array(found.ids, "<u4").tobytes()
+            begins = np.array([a for a, _ in found.offsets])
+            ends = np.cumsum([len(w) + 1 for w in plain])
+            upto = (4 * np.searchsorted(begins, ends)).tolist()
+            self.update(zip(plain, (packed[a:b] for a, b in zip([0, *upto], upto))))
+        for w, base, mark in split:
+            self[w] = self[base] + self.marks[mark]
+        for w in words:
+            if w not in self:
+                self[w] = self.whole(" " + w)
 
     def of(self, text: str) -> np.ndarray:
         if self._odd.search(text):
             return np.frombuffer(self.whole(text), "<u4")
         first, *rest = text.split(" ")
+        if len(self) > self.LIMIT:
+            self.clear()
+        new = [w for w in set(rest) if w not in self]
+        if new:
+            self.learn(new)
         return np.frombuffer(self.whole(first) + b"".join(map(self.__getitem__, rest)), "<u4")
 
     def ends_sentence(self) -> np.ndarray:
@@ -72,12 +100,14 @@ def cuts(places: np.ndarray, penalties: np.ndarray, window: int = WINDOW) -> lis
     """Which of the places (the first is 0, gaps of at most a window) end a sequence, at least total cost."""
     n = len(places)
     before: list[list[int]] = [[] for _ in range(n)]
-    for power in range(window.bit_length()):
-        if (1 << power) > window:
-            break
-        at = np.searchsorted(places, places - (1 << power))
-        for j in np.flatnonzero(places[at] == places - (1 << power)):
-            before[j].append(int(at[j]))
+    for power in (1 << p for p in range(window.bit_length())):
+        wanted = places - power
+        at = np.searchsorted(places, wanted)
+        met = places[at] == wanted
+        if power < window // 16:  # so short only near the end, where the last window may be made of them
+            met &= wanted >= places[-1] - window
+        for j, i in zip(np.flatnonzero(met).tolist(), at[met].tolist()):
+            before[j].append(i)
     place, penalty = places.tolist(), penalties.tolist()
     cost, came = [0.0] * n, [0] * n
     ready = [0.0] * n  # cost with the penalty of cutting there
@@ -112,8 +142,8 @@ def _candidates(ids: np.ndarray, ends: np.ndarray, closing: np.ndarray, window:
     penalties[ends] = 0
     penalties[0] = 0
     places = np.flatnonzero(penalties >= 0)
-    gaps = np.flatnonzero(np.diff(places) > window // 2)
-    extra = [np.arange(places[g] + window // 8, places[g + 1], window // 8) for g in gaps]
+    gaps = np.flatnonzero(np.diff(places) > window // 16)  # a stretch without sentences
+    extra = [np.arange(places[g] + window // 64, places[g + 1], window // 64) for g in gaps]
     if extra:
         penalties[np.concatenate(extra)] = ANYWHERE
         places = np.flatnonzero(penalties >= 0)
@@ -166,7 +196,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        packer = Packer(Ids(tokenizer_path), TaskContext.get().partitionId() << 33, window, end_id, with_ids)
+        packer = Packer(Ids.at(tokenizer_path), TaskContext.get().partitionId() << 33, window, end_id, with_ids)
         for batch in batches:
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 yield from packer.add(d, t.as_py())

@@ -211,7 +211,8 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     others = tuple(c for c in docs.columns if c not in (doc_id, text))
     blocks, answers = removals(docs, doc_id, text, others)
-    schema = StructType([docs.schema[c] for c in docs.columns])
+    names = docs.columns
+    schema = StructType([docs.schema[c] for c in names])
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for state, gone in _gone(batches):
@@ -222,7 +223,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 columns |= dict(zip(others, block.batch.column("__kept").flatten()))
             if length_column in columns:
                 columns[length_column] = pa.array(list(map(len, texts)), columns[length_column].type)
-            yield pa.RecordBatch.from_arrays([columns[c] for c in docs.columns], docs.columns)
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
 
     return B.beside(blocks, answers).mapInArrow(cleaned, schema)
 

@@ -37,14 +37,21 @@ def sequential(batches, known, max_events, max_bytes, max_outbox=10**9):
         hashes = {}
         for e, h, _ in events:
             hashes.setdefault(e, set()).add(h)
-        if any(len(v) > 1 for v in hashes.values()) or any((p, e) in stored and stored[p, e][0] != h for e, h, _ in events):
-            decisions[p, b] = "conflict"
-            continue
-        fresh = {e: (h, n) for e, h, n in events if (p, e) not in stored}
         count, size = used.get(p, (0, 0))
-        new_size = size + sum(n for _, n in fresh.values())
-        if fresh and (count + len(fresh) > max_events or new_size > max_bytes or outbox + len(fresh) > max_outbox):
-            decisions[p, b] = "quota"
+        fresh, new_size, fault = {}, size, "conflict" if any(len(v) > 1 for v in hashes.values()) else None
+        for e, h, n in events:  # the first fault in request order answers
+            if fault or e in fresh:
+                continue
+            if (p, e) in stored:
+                fault = "conflict" if stored[p, e][0] != h else None
+            else:
+                fresh[e] = (h, n)
+                new_size += n
+                fault = "quota" if count + len(fresh) > max_events or new_size > max_bytes else None
+        if not fault and fresh and outbox + len(fresh) > max_outbox:
+            fault = "quota"
+        if fault:
+            decisions[p, b] = fault
             continue
         decisions[p, b] = None
         used[p] = (count + len(fresh), new_size)
@@ -113,13 +120,26 @@ def test_invalid_rows_refuse_their_batch(spark):
     assert [r.already_accepted for r in result.receipts.collect()] == [False]
 
 
+def test_first_fault_in_request_order_answers(spark):
+    known = [("a", "old", "h", 1)]
+    batches = [
+        ("a", "b1", 1, [("n1", "h", 1), ("n2", "h", 1), ("old", "other", 1)]),
+        ("a", "b2", 2, [("n1", "h", 1), ("old", "other", 1), ("n2", "h", 1)]),
+        ("a", "b3", 3, [("n1", "h", 1)]),
+        ("a", "b4", 4, [("n1", "other", 1), ("n2", "h", 1)]),
+        ("a", "b5", 5, [("n2", "h", 1), ("n1", "other", 1)]),
+    ]
+    decisions, _, _ = run(spark, batches, known, 2, 10**6)
+    assert list(decisions[x] for x in sorted(decisions)) == ["quota", "conflict", None, "conflict", "quota"]
+
+
 def test_outbox_room(spark):
     batches = [("a", "b1", 1, [("x", "h", 1)]), ("b", "b2", 2, [("y", "h", 1)]), ("a", "b3", 3, [("z", "h", 1)]), ("b", "b4", 4, [("y", "h", 1)])]
     decisions, _, _ = run(spark, batches, [], None, None, 2)
     assert list(decisions.values()).count("quota") == 1 and decisions["a", "b3"] == "quota"
 
 
-@pytest.mark.parametrize("seed,hot,max_outbox", [(1, False, None), (3, True, 44)])
+@pytest.mark.parametrize("seed,hot,max_outbox", [(1, False, None), (3, True, 44), (5, False, 40)])
 def test_same_as_one_after_another(spark, seed, hot, max_outbox):
     rng = random.Random(seed)
     batches = []

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -29,7 +30,7 @@ def greedy(events, steps, window):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_funnel_same_as_fold(spark, monkeypatch, seed):
     # A tiny task size forces the division of hot users.
-    monkeypatch.setattr(funnel, "hot_keys", lambda rows, keys: skew.hot_keys(rows, keys, rows_per_task=20))
+    monkeypatch.setattr(funnel, "found_hot", lambda rows, keys: skew.found_hot(rows, keys, rows_per_task=20))
     rng = random.Random(seed)
     rows = []
     for _ in range(600):
@@ -143,3 +144,26 @@ def test_scan_reads_what_it_needs(spark, tmp_path):
 def test_summary_shuffles_once_per_sort(spark):
     text = plan(reports.event_summary(testdata.events(spark, SMALL)))
     assert text.count("Exchange hashpartitioning") == 1
+
+
+def test_funnel_of_a_silent_project_and_one_scan(spark, tmp_path):
+    rows = [("p", "u", "a", BASE), ("p", "u", "b", BASE)]
+    schema = "project_id STRING, user_id STRING, event_type STRING, occurred_at TIMESTAMP_NTZ"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "events"))
+    events = spark.read.parquet(str(tmp_path / "events"))
+    projects = spark.createDataFrame([("p",), ("silent",)], "project_id STRING")
+    found = funnel.funnel(events, ["a", "b", "a", "b"], BASE, BASE + timedelta(days=3), timedelta(hours=1), projects=projects)
+    assert [(r.project_id, r.step, r.users) for r in found.collect()] == [*[("p", k, 1) for k in (1, 2, 3, 4)], *[("silent", k, 0) for k in (1, 2, 3, 4)]]
+    assert str(tmp_path / "events") not in found._jdf.queryExecution().executedPlan().toString()  # read once, before
+
+
+def test_crowded_minutes_take_time_in_proportion(spark):
+    def seconds(n):
+        attempts = spark.range(n).selectExpr("id AS attempt_id", "concat('u', id % 5) AS username", "TIMESTAMP_NTZ '2024-01-01' + make_dt_interval(0, 0, 0, id % 59 + id * 1e-6) AS attempted_at")
+        started = time.perf_counter()
+        assert budgets.acquire(attempts).where("allowed").count() > 0
+        return time.perf_counter() - started
+
+    seconds(1000)
+    few, many = seconds(10_000), seconds(80_000)
+    assert many < 4 * few + 5

@@ -3,10 +3,11 @@
 import json
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
-from tidemark import schemas
-from tidemark.operators import admission
+from tidemark import schemas, session
+from tidemark.operators import admission, delivery
 from tidemark.sources import store, testdata
 from tidemark.streaming import jobs
 
@@ -138,3 +139,76 @@ def test_mirror_replay(spark, tmp_path):
     events = testdata.events(spark, SMALL).count()
     assert spark.read.parquet(str(tmp_path / "mirror")).count() == 2 * events
     assert store.read_mirror(spark, str(tmp_path / "mirror")).count() == events
+
+
+def newest_first(spark, tmp_path, layout):
+    """The events in three files, newest days first, beside each other or as one folder."""
+    events = spark.read.parquet(f"{SMALL}/events.parquet").orderBy(F.col("ts").desc())
+    rows = events.collect()
+    third = len(rows) // 3 + 1
+    if layout == "folder":
+        for i in range(0, len(rows), third):
+            spark.createDataFrame(rows[i : i + third], events.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    else:
+        import shutil
+
+        shutil.copy(f"{SMALL}/events.parquet", tmp_path / "events.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("layout", ["folder", "file"])
+def test_streams_lose_nothing_that_comes_late(spark, tmp_path, layout):
+    (tmp_path / "in").mkdir()
+    folder, root = newest_first(spark, tmp_path / "in", layout), str(tmp_path)
+    tables = testdata.StreamingTables(spark, max_files=1)
+    jobs.event_counts(testdata.events(tables, folder), f"{root}/counts", f"{root}/c1").awaitTermination()
+    counted = jobs.latest_counts(spark, f"{root}/counts")
+    events = testdata.events(spark, folder)
+    expected = events.groupBy("project_id", F.date_trunc("day", "occurred_at").cast("timestamp_ntz").alias("bucket"), "event_type").agg(F.count("*").alias("events"))
+    assert counted.exceptAll(expected).isEmpty() and expected.exceptAll(counted).isEmpty()
+
+    twice = testdata.events(tables, folder).select("project_id", "event_id", "received_at")
+    for run in ("c2", "c2"):
+        jobs.deduplicate(twice, f"{root}/once", f"{root}/{run}").awaitTermination()
+    keys = spark.read.parquet(f"{root}/once").select("project_id", "event_id")
+    assert keys.count() == keys.distinct().count() == events.select("project_id", "event_id").distinct().count()
+    batches = spark.read.parquet(f"{root}/once").select("batch").distinct().count()
+    assert batches == (3 if layout == "folder" else 1)
+
+
+def test_deduplicate_over_micro_batches(spark, tmp_path):
+    schema = "project_id STRING, event_id STRING, received_at TIMESTAMP_NTZ"
+    for day in (20, 3, 11):
+        rows = [("a", f"e{n}", datetime(2024, 1, day, 1, n)) for n in range(6)] + [("a", f"d{day}", datetime(2024, 1, day))] * 3
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = jobs.table_stream(spark, str(tmp_path / "in"), schema, max_files=1)
+    jobs.deduplicate(stream, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    stored = [r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(stored) == sorted([f"e{n}" for n in range(6)] + ["d20", "d3", "d11"])
+
+
+def test_deployment_limits_reach_over_micro_batches(spark, tmp_path):
+    frames, root = tmp_path / "frames", str(tmp_path / "root")
+    schema = send(spark, frames, ("b1", 1, [wire(1), wire(2)]))
+    limits = admission.Limits(None, None, max_outbox_pending=2)
+
+    def run(outbox_now=None):
+        stream = jobs.table_stream(spark, str(frames), schema)
+        jobs.ingest(stream, root, str(tmp_path / "c"), limits, outbox_now=outbox_now).awaitTermination()
+        return {r.batch_id: r.reason for r in spark.read.parquet(f"{root}/decisions").collect()}
+
+    run()
+    send(spark, frames, ("b2", 2, [wire(3), wire(4)]))
+    assert run() == {"b1": None, "b2": "quota"}
+    outbox = spark.read.parquet(f"{root}/outbox").select(*schemas.struct(schemas.OUTBOX).names)
+    assert outbox.count() == 2 and spark.read.parquet(f"{root}/mirror_queue").count() == 2
+    send(spark, frames, ("b3", 3, [wire(3), wire(4)]))
+    done = delivery.complete(outbox, outbox.select("project_id", "event_id"), datetime(2026, 9, 11))
+    assert run(lambda _: done)["b3"] is None
+
+
+def test_scratch_is_left_empty(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "scratch_root", lambda _: str(tmp_path / "scratch"))
+    store.insert_absent(testdata.events(spark, SMALL), str(tmp_path / "events"))
+    assert store.read_events(spark, str(tmp_path / "events")).count() == testdata.events(spark, SMALL).count()
+    assert not [p for p in (tmp_path / "scratch" / "tidemark").iterdir()]

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -123,9 +123,10 @@ def admit(
     iterated over all projects at once. Each round settles every batch whose
     outcome no undecided batch can change:
 
-    * a fingerprint that differs from a stored one refuses the batch;
     * a batch whose certain-new events exceed what is left is refused, because
-      what is left only shrinks;
+      what is left only shrinks; only those before its first conflict or doubtful event count;
+    * a fingerprint that differs from a stored one refuses the batch, once even the largest
+      possible use leaves room for the new events before it;
     * a batch is admitted when even the largest possible use by all undecided
       batches up to it fits, and none of its events waits for an earlier
       undecided batch.
@@ -219,7 +220,8 @@ def admit(
                 ~(F.col("first_batch").eqNullSafe(F.col("batch_id")) & F.col("first_ordinal").eqNullSafe(F.col("ordinal")))
             ).alias("already_accepted"),
         )
-        .orderBy(*BATCH, "ordinal")
+        .repartition(*BATCH)
+        .sortWithinPartitions(*BATCH, "ordinal")
     )
     return Admission(settled, receipts, new_identity.drop("batch_id", "ordinal"))
 
@@ -249,6 +251,7 @@ def _settle(
         .groupBy(*EVENT)
         .agg(F.min(F.struct("batch_at", "batch_id")).alias("__first"))
     )
+    by_ordinal = Window.partitionBy(*BATCH)  # a batch holds at most a few hundred events
     marked = skew.lookup(looked, firsts, EVENT, spread, hot=hot).select(
         *pending.columns,
         (unknown & (F.col("__first") == F.struct("batch_at", "batch_id"))).alias("fresh"),
@@ -256,7 +259,16 @@ def _settle(
         (~unknown & (F.col("__hash") != F.col("payload_hash"))).alias("clash"),
     )
     marked = materialize(marked.withColumn("fresh", F.coalesce("fresh", F.lit(False))), "marked")
-    batches = marked.groupBy(*BATCH).agg(
+    clash_at = F.min(F.when(F.col("clash"), F.col("ordinal"))).over(by_ordinal)
+    doubt_at = F.min(F.when(F.col("clash") | (F.col("unknown") & ~F.col("fresh")), F.col("ordinal"))).over(by_ordinal)
+    placed = marked.withColumns({"__clash_at": clash_at, "__doubt_at": doubt_at})
+    sure = F.col("fresh") & (F.col("__doubt_at").isNull() | (F.col("ordinal") < F.col("__doubt_at")))
+    ahead = F.col("unknown") & (F.col("ordinal") < F.col("__clash_at"))
+    batches = placed.groupBy(*BATCH).agg(
+        F.count_if(sure).alias("sure_n"),
+        F.coalesce(F.sum(F.when(sure, F.col("stored_bytes"))), F.lit(0)).alias("sure_b"),
+        F.count_if(ahead).alias("ahead_n"),
+        F.coalesce(F.sum(F.when(ahead, F.col("stored_bytes"))), F.lit(0)).alias("ahead_b"),
         F.bool_or("clash").alias("clash"),
         F.bool_or(F.col("unknown") & ~F.col("fresh")).alias("echo"),
         F.count_if("fresh").alias("new_n"),
@@ -268,7 +280,9 @@ def _settle(
     judged = batches.withColumns(
         {c: F.when(F.col("clash"), F.lit(0)).otherwise(F.col(c)) for c in ("most_n", "most_b")}
     )
-    too_big, safe = F.lit(False), F.lit(True)
+    # Events are looked at in request order, and the first fault answers. New events before a conflict may exceed the
+    # project's limits first; a repeat of an undecided batch's event is in doubt, because it may turn out a conflict.
+    too_big, safe, calm, overall = F.lit(False), F.lit(True), F.lit(True), F.lit(False)
     if limits.per_project:
         judged = skew.running_totals(judged, ["project_id"], ["batch_at", "batch_id"], ["most_n", "most_b"])
         used = stored.groupBy("project_id").agg(F.count("*").alias("__n"), F.sum("stored_bytes").alias("__b"))
@@ -282,22 +296,20 @@ def _settle(
         used_b = F.coalesce("__b", F.lit(0)) + F.coalesce("__b0", F.lit(0))
         judged = judged.withColumns(
             {
-                "__big": _exceeds("new_n", used_n, limits.max_project_events)
-                | _exceeds("new_b", used_b, limits.max_project_bytes),
+                "__big": _exceeds("sure_n", used_n, limits.max_project_events)
+                | _exceeds("sure_b", used_b, limits.max_project_bytes),
+                "__calm": ~_exceeds("ahead_n", used_n + F.col("cum_most_n"), limits.max_project_events)
+                & ~_exceeds("ahead_b", used_b + F.col("cum_most_b"), limits.max_project_bytes),
                 "__safe": ~_exceeds("cum_most_n", used_n, limits.max_project_events)
                 & ~_exceeds("cum_most_b", used_b, limits.max_project_bytes),
             }
         ).drop("cum_most_n", "cum_most_b")
-        too_big, safe = F.col("__big"), F.col("__safe")
+        too_big, safe, calm = F.col("__big"), F.col("__safe"), F.col("__calm")
     if limits.overall:
         judged = skew.running_totals(judged, [], ["batch_at", "batch_id", "project_id"], ["most_n", "most_b"])
         taken = stored.agg(F.count("*").alias("n"), F.coalesce(F.sum("stored_bytes"), F.lit(0)).alias("b")).first()
         used_n, used_b = F.lit(base[0] + taken.n), F.lit(base[1] + taken.b)
-        too_big = (
-            too_big
-            | _exceeds("new_n", used_n, limits.max_outbox_pending)
-            | _exceeds("new_b", used_b, limits.max_total_bytes)
-        )
+        overall = _exceeds("new_n", used_n, limits.max_outbox_pending) | _exceeds("new_b", used_b, limits.max_total_bytes)
         safe = (
             safe
             & ~_exceeds("cum_most_n", used_n, limits.max_outbox_pending)
@@ -305,8 +317,10 @@ def _settle(
         )
     judged = judged.withColumn(
         "verdict",
-        F.when(F.col("clash"), F.lit("conflict"))
-        .when((F.col("new_n") > 0) & too_big, F.lit("quota"))
+        F.when((F.col("sure_n") > 0) & too_big, F.lit("quota"))
+        .when(F.col("clash") & (calm | (F.col("ahead_n") == 0)), F.lit("conflict"))
+        .when(F.col("clash"), F.lit("wait"))
+        .when((F.col("new_n") > 0) & overall & ~F.col("echo"), F.lit("quota"))
         .when((safe | (F.col("most_n") == 0)) & ~F.col("echo"), F.lit("accept"))
         .otherwise(F.lit("wait")),
     )

@@ -22,6 +22,7 @@ from tidemark.session import materialize
 GLOBAL_LIMIT = 120  # fixed value: attempts per window for everybody together
 BUCKET_LIMIT = 10  # fixed value: attempts per window and account bucket
 WINDOW_SECONDS = 60
+CHUNK_SLOTS = 10_000
 
 
 def window_starts(points: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
@@ -34,16 +35,7 @@ def window_starts(points: DataFrame, keys: Sequence[str], width: int) -> DataFra
     points = materialize(
         points.select(*keys, "t").distinct().withColumn("slot", F.floor(F.col("t") / F.lit(width)).cast("bigint")), "points"
     )
-    by_slot = Window.partitionBy(*keys).orderBy("slot")
-    slots = (
-        points.groupBy(*keys, "slot")
-        .agg(F.min("t").alias("low"), F.max("t").alias("high"))
-        .withColumn("before", F.lag("high").over(by_slot))
-        .withColumn(
-            "beyond", F.min("low").over(by_slot.rangeBetween(2, Window.unboundedFollowing))
-        )
-    )
-    slots = materialize(slots, "slots")
+    slots = materialize(_slots(points, keys), "slots")
     # Only the first time of a slot can follow a gap of a whole window: there a window opens for certain.
     roots = slots.where(F.col("before").isNull() | (F.col("low") - F.col("before") >= width)).select(
         *keys, F.col("low").alias("t")
@@ -51,12 +43,13 @@ def window_starts(points: DataFrame, keys: Sequence[str], width: int) -> DataFra
     # The first time at or after t + width lies in the next slot, or is the first time beyond it.
     seek = points.select(*keys, (F.col("slot") + 1).alias("slot"), (F.col("t") + width).alias("at"), F.col("t").alias("origin"))
     data = points.select(*keys, "slot", F.col("t").alias("at"), F.lit(None).cast("bigint").alias("origin"))
+    # Later times first: a frame that begins at the partition's start is kept up row by row.
     onward = (
         Window.partitionBy(*keys, "slot")
-        .orderBy("at", F.col("origin").isNull())
-        .rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        .orderBy(F.col("at").desc(), F.col("origin").isNull().desc())
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    found = F.first(F.when(F.col("origin").isNull(), F.col("at")), ignorenulls=True).over(onward)
+    found = F.last(F.when(F.col("origin").isNull(), F.col("at")), ignorenulls=True).over(onward)
     links = (
         seek.unionByName(data)
         .withColumn("in_slot", found)
@@ -85,6 +78,38 @@ def window_starts(points: DataFrame, keys: Sequence[str], width: int) -> DataFra
         links = materialize(links.join(second, [*keys, "next"]).select(*keys, "t", F.col("__far").alias("next")), "links")
 
 
+def _slots(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per slot: first and last time, the last time before it, and the first time two or more slots on.
+
+    A key may hold all slots there are. It is divided into chunks of slots, and a chunk
+    knows its neighbours from a summary with one row per chunk.
+    """
+    slots = points.groupBy(*keys, "slot").agg(F.min("t").alias("low"), F.max("t").alias("high"))
+    slots = materialize(slots.withColumn("chunk", F.floor(F.col("slot") / F.lit(CHUNK_SLOTS)).cast("bigint")), "slots")
+    head = F.struct("slot", "low")
+    first = slots.groupBy(*keys, "chunk").agg(F.min(head).alias("one"), F.max(F.struct("slot", "high")).alias("last"))
+    rest = slots.join(first.select(*keys, "chunk", F.col("one.slot").alias("begin")), [*keys, "chunk"]).where("slot > begin")
+    second = rest.groupBy(*keys, "chunk").agg(F.min(head).alias("two"))
+    by_chunk = Window.partitionBy(*keys).orderBy("chunk")
+    around = first.join(second, [*keys, "chunk"], "left").select(
+        *keys,
+        "chunk",
+        F.lag("last.high").over(by_chunk).alias("earlier"),
+        F.array(F.lead("one").over(by_chunk), F.lead("two").over(by_chunk), F.lead("one", 2).over(by_chunk)).alias("later"),
+    )
+    within = Window.partitionBy(*keys, "chunk").orderBy("slot")
+    ahead = F.concat(F.array(F.lead(head).over(within), F.lead(head, 2).over(within)), F.col("later"))
+    far = F.filter(ahead, lambda x: x["slot"] >= F.col("slot") + 2)
+    return slots.join(around, [*keys, "chunk"]).select(
+        *keys,
+        "slot",
+        "low",
+        "high",
+        F.coalesce(F.lag("high").over(within), "earlier").alias("before"),
+        F.array_min(F.transform(far, lambda x: x["low"])).alias("beyond"),
+    )
+
+
 def windowed(attempts: DataFrame, keys: Sequence[str], spread_by: Sequence[str], carried: DataFrame | None = None, width_seconds: int = WINDOW_SECONDS) -> DataFrame:
     """Add ``window_start`` (microseconds) to attempts with a ``t`` column.
 

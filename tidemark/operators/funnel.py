@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.filters import scoped, window_errors
-from tidemark.operators.skew import hot_keys, split_hot
+from tidemark.operators.skew import found_hot, split_hot
+from tidemark.session import materialize
 
 USER = ["project_id", "user_id"]
 
@@ -40,7 +41,8 @@ def reached_steps(rows: DataFrame, steps: Sequence[str], window: timedelta) -> D
         F.min(F.when(F.col("event_type") == steps[0], F.col("occurred_at"))).alias("t1")
     )
     later_rows = rows.where(F.col("event_type").isin(*steps[1:]))
-    hot = hot_keys(later_rows, USER)
+    hot = found_hot(later_rows, USER)
+    reached = reached.where("t1 IS NOT NULL")  # nobody else reaches a later step
     micros = window // timedelta(microseconds=1)
     for k, step in enumerate(steps[1:], start=2):
         later = rows.where(F.col("event_type") == step).select(*USER, F.col("occurred_at").alias("__at"))
@@ -69,18 +71,26 @@ def funnel(
     end: datetime,
     window: timedelta,
     project: str | None = None,
+    projects: DataFrame | None = None,
 ) -> DataFrame:
-    """Users per step, one row per step, steps nobody reached included."""
+    """Users per step, one row per step, steps nobody reached included.
+
+    With ``projects`` (ids in ``project_id``) every project gets its steps, also one without any event.
+    The filtered events are written once, so the event table is scanned once whatever the number of steps.
+    """
     check_funnel(steps, start, end, window)
     rows = (
         scoped(events, project, start, end)
         .where(F.col("user_id").isNotNull() & F.col("event_type").isin(*dict.fromkeys(steps)))
         .select(*USER, "event_type", "occurred_at")
     )
+    rows = materialize(rows, "funnel")
     counts = [F.count(f"t{k}").alias(f"n{k}") for k in range(1, len(steps) + 1)]
     reached = reached_steps(rows, steps, window)
     if project is None:
         totals = reached.groupBy("project_id").agg(*counts)
+        silent = (rows if projects is None else projects).select("project_id").distinct()
+        totals = silent.join(totals, "project_id", "left").na.fill(0)
     else:
         totals = reached.agg(*counts).withColumn("project_id", F.lit(project))
     result = F.array(

@@ -60,6 +60,11 @@ def pending(queue: DataFrame, events: DataFrame, batch_size: int | None = None)
     return rows.drop("created_at")
 
 
+def enqueue(inbox: DataFrame) -> DataFrame:
+    """Mirror work for newly accepted events."""
+    return inbox.select(*EVENT, F.col("received_at").alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("completed_at"))
+
+
 def mark_delivered(queue: DataFrame, delivered: DataFrame, now: datetime) -> DataFrame:
     hit = delivered.select(*EVENT, F.lit(True).alias("__hit")).distinct()
     return queue.join(hit, EVENT, "left").select(

@@ -16,6 +16,7 @@ from tidemark.session import materialize
 ROWS_PER_TASK = 1_000_000
 MAX_HOT_KEYS = 1_000
 TRACKED_KEYS = 10_000
+MOST_TARGETS = 100_000  # wanted ranks that may be broadcast
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
@@ -129,7 +130,7 @@ def percentiles(
     """
     coarse = F.shiftright(F.col(value), 20)
     rows = df.where(F.col(value).isNotNull()).select(*keys, value)
-    level1 = rows.withColumn("__b", coarse).groupBy(*keys, "__b").agg(F.count("*").alias("__n"))
+    level1 = materialize(rows.withColumn("__b", coarse).groupBy(*keys, "__b").agg(F.count("*").alias("__n")), "level1")
     by_key = Window.partitionBy(*keys)
     up_to = by_key.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
     counted = level1.select(
@@ -157,12 +158,15 @@ def percentiles(
         .where("__w.rank >= __from AND __w.rank < __to AND __w.weight > 0")
         .select(*keys, "__b", "__from", F.col("__w.name").alias("__name"), F.col("__w.rank").alias("__rank"), F.col("__w.weight").alias("__weight"))
     )
+    targets = materialize(targets, "ranks")
     buckets = targets.select(*keys, "__b", "__from").distinct()
+    small = targets.count() <= MOST_TARGETS
+    # Only rows of the few wanted buckets (one for each key and fraction) are counted by value.
     level2 = (
         rows.withColumn("__b", coarse)
-        .groupBy(*keys, "__b", value)
+        .join(F.broadcast(buckets) if small else buckets, [*keys, "__b"])
+        .groupBy(*keys, "__b", "__from", value)
         .agg(F.count("*").alias("__n"))
-        .join(buckets, [*keys, "__b"])
     )
     upto2 = Window.partitionBy(*keys, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     placed = level2.select(

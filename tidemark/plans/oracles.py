@@ -85,7 +85,7 @@ attempts AS (
   SELECT event_id AS attempt_id, 'user-' || CAST(u % 7 AS VARCHAR) AS name,
     'account-' || substr(sha256('user-' || CAST(u % 7 AS VARCHAR)), 1, 3) AS bucket,
     epoch_us(TIMESTAMP '2024-01-01') + (epoch_us(occurred_at) - epoch_us(TIMESTAMP '2024-01-01')) // 500 AS t
-  FROM ev WHERE event_type = 'signup')
+  FROM ev)
 """
 
 START, END, NOW = "TIMESTAMP '2024-01-01'", "TIMESTAMP '2024-02-01'", "TIMESTAMP '2024-02-01'"

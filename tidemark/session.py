@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local_roots: dict[str, str] = {}
+
 
 def build_session(app: str = "tidemark", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     builder = (
@@ -25,12 +29,17 @@ def build_session(app: str = "tidemark", master: str | None = None, shuffle_part
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a local test) gets a folder of its own.
+    Only a local session without that setting gets a folder of its own; on a cluster
+    its executors would not see it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
+        application = spark.sparkContext.applicationId
+        if application not in _local_roots:
+            _local_roots[application] = tempfile.mkdtemp(prefix="tidemark-")
+        root = _local_roots[application]
     return root
 
 
@@ -38,9 +47,29 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage with a written table: survives executor loss and is computed once."""
-    spark = df.sparkSession
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path names a folder, in whatever store Spark reads it from."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
+
+
+@contextmanager
+def scratch_space(spark: SparkSession, label: str) -> Iterator[str]:
+    """A scratch folder for tables that nobody needs afterwards; it goes when the block ends."""
     path = scratch_path(spark, label)
+    try:
+        yield path
+    finally:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def materialize(df: DataFrame, label: str, within: str | None = None) -> DataFrame:
+    """Cut lineage with a written table: survives executor loss and is computed once.
+
+    The table stays below the scratch folder, or goes with the scratch space ``within``.
+    """
+    spark = df.sparkSession
+    path = f"{within}/{label}-{uuid.uuid4().hex}" if within else scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.operators import mirror
-from tidemark.session import materialize
+from tidemark.session import materialize, scratch_space
 
 EVENT = ["project_id", "event_id"]
 
@@ -40,11 +40,13 @@ def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
     )
 
 
-def insert_absent(batch: DataFrame, path: str) -> DataFrame:
-    """Append the events of a batch that the table does not hold; returns what was new.
+def insert_absent(batch: DataFrame, path: str) -> None:
+    """Append the events of a batch that the table does not hold.
 
-    The same event always carries the same time, so only the batch's days are
-    compared. Repeating a batch adds nothing.
+    Only the days from the batch's first to its last are compared, so the same event
+    must carry the same time. Admission sees to that: the time is part of the
+    fingerprint, and an id with another fingerprint is refused. Repeating a batch
+    adds nothing.
     """
     spark = batch.sparkSession
     rest = [c for c in schemas.struct(schemas.EVENTS).names if c not in EVENT]
@@ -52,13 +54,15 @@ def insert_absent(batch: DataFrame, path: str) -> DataFrame:
     rows = one.select(*EVENT, *[F.col(f"__row.{c}").alias(c) for c in rest]).withColumn(
         "occurred_date", F.to_date("occurred_at")
     )
-    rows = materialize(rows, "batch")
-    # One value per UTC day in the batch, so the scan opens these folders only.
-    days = [r.occurred_date for r in rows.select("occurred_date").distinct().collect()]
-    known = read_events(spark, path).where(F.col("occurred_date").isin(days)).select(*EVENT, "occurred_date")
-    fresh = materialize(rows.join(known, [*EVENT, "occurred_date"], "left_anti"), "fresh")
-    write_events(fresh, path)
-    return fresh
+    with scratch_space(spark, "insert") as space:
+        rows = materialize(rows, "batch", space)
+        days = rows.agg(F.min("occurred_date").alias("first"), F.max("occurred_date").alias("last")).first()
+        if days["first"] is None:
+            return
+        known = read_events(spark, path).where(F.col("occurred_date").between(days["first"], days["last"]))
+        # Written before the table grows: the table is read here.
+        fresh = materialize(rows.join(known.select(*EVENT, "occurred_date"), [*EVENT, "occurred_date"], "left_anti"), "fresh", space)
+        write_events(fresh, path)
 
 
 def append_mirror(events: DataFrame, path: str) -> None:

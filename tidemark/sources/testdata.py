@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import canonical, temporal
+from tidemark.session import is_folder
 
 NOW = datetime(2024, 2, 1)
 
@@ -20,15 +21,21 @@ NOW = datetime(2024, 2, 1)
 class StreamingTables:
     """Passed in place of a session, it makes the derived event tables streams over the same files."""
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, max_files: int | None = None):
         self.spark = spark
+        self.max_files = max_files
 
 
 def table(spark: SparkSession | StreamingTables, folder: str, name: str) -> DataFrame:
     if isinstance(spark, StreamingTables):
         session = spark.spark
-        schema = session.read.parquet(f"{folder}/{name}.parquet").schema
-        return session.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+        path = f"{folder}/{name}.parquet"
+        reader = session.readStream.schema(session.read.parquet(path).schema)
+        if spark.max_files:
+            reader = reader.option("maxFilesPerTrigger", spark.max_files)
+        if is_folder(session, path):
+            return reader.parquet(path)
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -262,10 +269,9 @@ def audit_records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def attempts(spark: SparkSession, folder: str) -> DataFrame:
-    """Login attempts: one per signup event, thirty events' time squeezed into one so that windows fill up."""
+    """Login attempts: one per event, with time squeezed so that windows fill up."""
     return (
         _base(spark, folder)
-        .where("event_type = 'signup'")
         .select(
             F.col("event_id").alias("attempt_id"),
             F.expr("concat(' User-', u % 7, ' ')").alias("username"),

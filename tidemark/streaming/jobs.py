@@ -14,7 +14,9 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from tidemark import schemas
 from tidemark.functions import canonical, temporal, text
-from tidemark.operators import admission, budgets, validation
+from tidemark.operators import admission, budgets, delivery, mirror, validation
+from tidemark.operators.status import outbox_is_pending
+from tidemark.session import materialize, scratch_space
 from tidemark.sources import store, wire
 
 AVAILABLE_NOW = {"availableNow": True}
@@ -78,18 +80,25 @@ def project_inbox(inbox_stream: DataFrame, events_path: str, checkpoint: str, tr
     return _run(gauges, checkpoint, step, trigger)
 
 
-def deduplicate(deliveries: DataFrame, target: str, checkpoint: str, delay: str = "7 days", trigger: dict | None = None) -> StreamingQuery:
-    """Simple path: one delivery per event while its key is inside the watermark, no receipts."""
-    keyed = deliveries.withColumn("__seen", F.to_timestamp(F.date_format("received_at", "yyyy-MM-dd HH:mm:ss.SSSSSS")))
-    once = keyed.withWatermark("__seen", delay).dropDuplicatesWithinWatermark(EVENT).drop("__seen")
-    return (
-        once.writeStream.format("parquet")
-        .outputMode("append")
-        .option("checkpointLocation", checkpoint)
-        .option("path", target)
-        .trigger(**(trigger or AVAILABLE_NOW))
-        .start()
-    )
+def deduplicate(deliveries: DataFrame, target: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Simple path: the first delivery of each event that arrives, no receipts.
+
+    Keys are compared with those of earlier micro-batches in the target itself, so
+    nothing is lost however late it comes. A micro-batch writes the folder of its own
+    number and compares with lower numbers only; a repeated one leaves the same rows.
+    """
+    rest = [c for c in deliveries.columns if c not in EVENT]
+    order = ["received_at", *[c for c in rest if c != "received_at"]]
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in deliveries.schema if f.name in EVENT) + ", batch BIGINT"
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        first = batch.groupBy(*EVENT).agg(F.min(F.struct(*order)).alias("__row"))
+        rows = first.select(*EVENT, *[F.col(f"__row.{c}").alias(c) for c in rest])
+        known = store.read_table(batch.sparkSession, target, kept).where(F.col("batch") < batch_id)
+        fresh = rows.join(known.select(*EVENT), EVENT, "left_anti").select(*deliveries.columns)
+        fresh.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    return _run(deliveries, checkpoint, step, trigger)
 
 
 def mirror_events(events_stream: DataFrame, mirror_path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -101,36 +110,32 @@ def mirror_events(events_stream: DataFrame, mirror_path: str, checkpoint: str, t
     return _run(events_stream, checkpoint, step, trigger)
 
 
-def event_counts(events_stream: DataFrame, target: str, checkpoint: str, interval: str = "1 day", lateness: str = "7 days", trigger: dict | None = None) -> StreamingQuery:
-    """Running counts per bucket and type: late events update their own bucket.
+def event_counts(events_stream: DataFrame, target: str, checkpoint: str, interval: str = "1 day", trigger: dict | None = None) -> StreamingQuery:
+    """Running counts per bucket and type: late events count in their own bucket, however late.
 
-    Every micro-batch writes its changed buckets into a folder of its own number,
-    overwriting it when the batch is repeated; ``latest_counts`` reads the newest.
+    No state is kept. Every micro-batch counts its own rows into a folder of its
+    number, overwriting it when the batch is repeated; ``latest_counts`` adds them up.
     """
-    timed = events_stream.withColumn("__at", F.to_timestamp(F.date_format("occurred_at", "yyyy-MM-dd HH:mm:ss.SSSSSS")))
-    counted = (
-        timed.withWatermark("__at", lateness)
-        .groupBy("project_id", F.window("__at", interval).alias("w"), "event_type")
-        .agg(F.count("*").alias("events"))
-        .select(
-            "project_id",
-            temporal.from_micros(F.unix_micros("w.start")).alias("bucket"),
-            "event_type",
-            "events",
-        )
-    )
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        at = F.to_timestamp(F.date_format("occurred_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+        counted = (
+            batch.withColumn("__at", at)
+            .groupBy("project_id", F.window("__at", interval).alias("w"), "event_type")
+            .agg(F.count("*").alias("events"))
+            .select("project_id", temporal.from_micros(F.unix_micros("w.start")).alias("bucket"), "event_type", "events")
+        )
+        counted.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-    return _run(counted, checkpoint, step, trigger, mode="update")
+    return _run(events_stream, checkpoint, step, trigger)
 
 
 def latest_counts(spark: SparkSession, target: str) -> DataFrame:
-    rows = spark.read.parquet(target)
+    """The counts of all micro-batches together."""
     return (
-        rows.groupBy("project_id", "bucket", "event_type")
-        .agg(F.max_by("events", "batch").alias("events"))
+        spark.read.parquet(target)
+        .groupBy("project_id", "bucket", "event_type")
+        .agg(F.sum("events").alias("events"))
         .orderBy("project_id", "bucket", "event_type")
     )
 
@@ -143,24 +148,28 @@ def ingest(
     window: validation.AdmissionWindow = validation.AdmissionWindow(),
     mode: str = "staged",
     trigger: dict | None = None,
+    outbox_now: Callable[[SparkSession], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Batch envelopes (``project_id, batch_id, batch_at, value``) to stored events and answers.
 
     ``staged`` writes accepted payloads to the inbox, ``direct`` to the event table.
     Below ``root``: ``identity``, ``receipts``, ``decisions`` and ``rejects`` by
-    micro-batch, and ``inbox`` or ``events``. A repeated micro-batch overwrites its
-    own folders and finds the identities of earlier ones only.
+    micro-batch, and ``inbox``, ``outbox`` and ``mirror_queue`` (the broker's and the mirror's work)
+    or ``events``. A repeated micro-batch overwrites its own folders and finds the
+    identities of earlier ones only.
+
+    The deployment's limits count what all earlier micro-batches stored. ``outbox_now`` gives the
+    outbox as the publisher left it; without it everything enqueued here counts as open.
     """
     if mode not in ("staged", "direct"):
         raise ValueError("Use staged or direct.")
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = prepare_batches(batch, window)
-        path = f"{root}/prepared/batch={batch_id}"
-        rows.write.mode("overwrite").parquet(path)
-        staged = spark.read.schema(rows.schema).parquet(path)
+        with scratch_space(spark, "ingest") as space:
+            settle(spark, materialize(prepare_batches(batch, window), "prepared", space), batch_id)
 
+    def settle(spark: SparkSession, staged: DataFrame, batch_id: int) -> None:
         earlier = store.read_table(spark, f"{root}/identity", schemas.IDENTITY + ", batch BIGINT").where(
             F.col("batch") < batch_id
         )
@@ -171,6 +180,11 @@ def ingest(
         usage = used.groupBy("project_id").agg(
             F.sum("event_count").alias("event_count"), F.sum("stored_bytes").alias("stored_bytes")
         )
+        open_rows = total = 0
+        if limits.overall:
+            stored = used.agg(F.sum("event_count").alias("n"), F.sum("stored_bytes").alias("b")).first()
+            total = stored["b"] or 0
+            open_rows = outbox_now(spark).where(outbox_is_pending()).count() if outbox_now else stored["n"] or 0
         result = admission.admit(
             staged.select(
                 "project_id", "batch_at", "batch_id", "ordinal", "event_id", "payload_hash", "stored_bytes",
@@ -180,6 +194,8 @@ def ingest(
             usage,
             limits,
             mode,
+            outbox_pending=open_rows,
+            total_bytes=total,
         )
         fresh = result.identity
         bodies = staged.groupBy(*EVENT, "payload_hash").agg(F.min("payload").alias("payload"))
@@ -190,6 +206,8 @@ def ingest(
             store.insert_absent(inbox_events(inbox), f"{root}/events")
         else:
             inbox.write.mode("overwrite").parquet(f"{root}/inbox/batch={batch_id}")
+            delivery.enqueue(inbox).write.mode("overwrite").parquet(f"{root}/outbox/batch={batch_id}")
+            mirror.enqueue(inbox).write.mode("overwrite").parquet(f"{root}/mirror_queue/batch={batch_id}")
         result.receipts.write.mode("overwrite").parquet(f"{root}/receipts/batch={batch_id}")
         result.decisions.write.mode("overwrite").parquet(f"{root}/decisions/batch={batch_id}")
         staged.where(F.col("reject_reason").isNotNull()).write.mode("overwrite").parquet(f"{root}/rejects/batch={batch_id}")

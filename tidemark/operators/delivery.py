@@ -112,13 +112,13 @@ def read_deliveries(messages: DataFrame, outbox: DataFrame, inbox: DataFrame, va
         )
     )
     message = (
-        F.when(~F.col("__valid"), F.lit("Broker payload is not valid JSON."))
+        F.when(~F.col("__valid"), F.lit("The message's payload is no JSON."))
         .when(
             ~F.col("__payload_id").eqNullSafe(F.lower("event_id")),
-            F.lit("Broker envelope event ID does not match payload."),
+            F.lit("Envelope and payload name different events."),
         )
-        .when(F.col("__known").isNull(), F.lit("Broker delivery does not belong to this database."))
-        .when(F.col("received_at").isNull(), F.lit("Inbox record is missing."))
+        .when(F.col("__known").isNull(), F.lit("No outbox row has this event."))
+        .when(F.col("received_at").isNull(), F.lit("No inbox row has this event."))
     )
     return joined.select(*EVENT, "payload", "received_at", error_type.alias("error_type"), message.alias("message"))
 

@@ -63,7 +63,7 @@ def timeline(events: DataFrame, filter: EventFilter, limit: int, after: Cursor |
     partition and merges those, it does not sort the table.
     """
     if not 1 <= limit <= 101:
-        raise ValueError("Use 1–100 events per page.")
+        raise ValueError("A page has 1 to 100 events.")
     rows = filter.apply(events)
     if after is not None:
         moment = at(after.at)
@@ -81,7 +81,7 @@ def timeline_page(
     if filter.project is None:
         raise ValueError("A timeline needs a project.")
     if not 1 <= limit <= 100:
-        raise ValueError("Use 1–100 events per page.")
+        raise ValueError("A page has 1 to 100 events.")
     after = Cursor.decode(cursor, filter) if cursor else None
     rows = timeline(events, filter, limit + 1, after).collect()
     page = rows[:limit]

@@ -44,21 +44,21 @@ class EventFilter:
         found: dict[str, str] = {}
         start, end = utc(self.start), utc(self.end)
         if start and end and start > end:
-            found["from"] = "Use a half-open [from,to) window with from <= to."
+            found["from"] = "The window [from, to) must not end before it begins."
         for name, value, limit in (("eventType", self.event_type, 100), ("userId", self.user_id, 200)):
             if value is not None and not (value.strip() and len(value) <= limit):
-                found[name] = f"Use 1–{limit} characters."
+                found[name] = f"Needs 1 to {limit} characters."
         if (self.property_name is None) != (self.property_value is None):
             found["propertyName"] = "Provide both propertyName and propertyValue."
         name = self.property_name
         if name is not None and (not name.strip() or len(name) > 100 or _control(name)):
-            found["propertyName"] = "Use a top-level property key of 1–100 characters."
+            found["propertyName"] = "Names one key of the properties, 1 to 100 characters long."
         if self.property_value is not None:
             try:
                 jsondoc.parse_scalar(self.property_value)
             except (ValueError, ArithmeticError):
                 found["propertyValue"] = (
-                    "Use a JSON scalar (quoted string, bounded number, boolean or null), at most 4096 characters."
+                    "Must be one JSON value that is no array or object, of 4096 characters at most."
                 )
         return found
 

@@ -26,7 +26,7 @@ def check_funnel(steps: Sequence[str], start: datetime, end: datetime, window: t
     named = all(s and s.strip() and len(s) <= 100 for s in steps)
     if window_errors(start, end) or not (2 <= len(steps) <= 8 and named and 1 <= hours <= 24 * 31):
         raise ValueError(
-            "Use a 1–31 day [from,to) window, 2–8 event types, and a 1–744 hour conversion window."
+            "A funnel covers 1 to 31 days and has 2 to 8 steps, reached within 1 to 744 hours."
         )
 
 

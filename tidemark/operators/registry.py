@@ -25,11 +25,11 @@ def publish_schemas(registry: DataFrame, requested: DataFrame, now: datetime) ->
     valid = checked.where(~F.col("__invalid")).groupBy(*VERSION).agg(F.min("definition").alias("definition"))
     fresh = valid.join(registry.select(*VERSION), VERSION, "left_anti").withColumn("created_at", at(now))
     taken = valid.join(registry.select(*VERSION), VERSION, "left_semi").withColumn(
-        "reason", F.lit("Schema versions are immutable; publish a new version.")
+        "reason", F.lit("This version exists already and never changes; take the next one.")
     )
     refused = taken.unionByName(
         checked.where("__invalid").select(*VERSION, "definition", F.lit(
-            "Use an event type, positive version, and object definition."
+            "Needs an event type, a version above zero and an object as definition."
         ).alias("reason"))
     )
     return fresh, refused
@@ -51,7 +51,7 @@ def schema_gaps(events: DataFrame, registry: DataFrame) -> DataFrame:
 def save_view(views: DataFrame, row: dict, now: datetime) -> DataFrame:
     """The table of definitions after an upsert by id; a name is unique per project and user."""
     if not (row["name"] or "").strip() or len(row["name"]) > 100 or not isinstance(json.loads(row["definition"]), dict):
-        raise ValueError("Use a name up to 100 characters and an object definition.")
+        raise ValueError("Needs a name of 1 to 100 characters and an object as definition.")
     name = row["name"].strip()
     owner = (F.col("project_id") == row["project_id"]) & (F.col("user_id") == row["user_id"])
     if not views.where(owner & (F.col("name") == name) & (F.col("id") != row["id"])).isEmpty():

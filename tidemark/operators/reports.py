@@ -50,12 +50,16 @@ def time_series(events: DataFrame, filter: EventFilter, interval: str) -> DataFr
     )
 
 
-def dense_series(series: DataFrame, start: datetime, end: datetime, interval: str) -> DataFrame:
-    """Total per bucket over [start, end) with zeros where a project had no events."""
+def dense_series(series: DataFrame, start: datetime, end: datetime, interval: str, projects: DataFrame | None = None) -> DataFrame:
+    """Total per bucket over [start, end) with zeros where a project had no events.
+
+    ``projects`` (ids in ``project_id``) adds the projects without any event in the window.
+    """
     step = f"INTERVAL 1 {interval.upper()}"
     totals = series.groupBy("project_id", "bucket").agg(F.sum("events").alias("events"))
     last = F.timestamp_add("MICROSECOND", F.lit(-1), at(end))
-    axis = totals.select("project_id").distinct().select(
+    named = totals if projects is None else projects
+    axis = named.select("project_id").distinct().select(
         "project_id", F.explode(F.sequence(at(start), last, F.expr(step))).alias("bucket")
     )
     return (

@@ -96,7 +96,7 @@ def storage_report(inbox: DataFrame, identity: DataFrame) -> DataFrame:
 def inbox_claim(inbox: DataFrame, batch_size: int = 100) -> DataFrame:
     """The next batch of pending work, oldest receipt first (the batch size is the feature)."""
     if not 1 <= batch_size <= 1000:
-        raise ValueError("Use a batch size of 1–1000.")
+        raise ValueError("A claim takes 1 to 1000 rows.")
     return (
         inbox.where(F.col("processed_at").isNull())
         .orderBy("received_at", "project_id", "event_id")

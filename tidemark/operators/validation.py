@@ -13,8 +13,8 @@ from tidemark.sources import wire
 
 BROWSER_TYPES = ("page_view", "login", "checkout_started")  # fixed values: browser activity
 PROPERTY_RULE = (
-    "Use at most 4 container levels and 64 total entries, unique 1–100 character keys, strings up to 2048 "
-    "characters, exactly representable decimal numbers, and no restricted credential fields."
+    "Properties nest four levels deep at most and hold up to 64 entries in all; keys are distinct, 1 to 100 characters long and "
+    "name no credentials; texts have up to 2048 characters; numbers are exact decimals."
 )
 
 
@@ -27,7 +27,7 @@ class AdmissionWindow:
 
     def __post_init__(self):
         if not (0 <= self.max_late_days <= 365 and 0 <= self.max_future_minutes <= 1440):
-            raise ValueError("Invalid ingestion timestamp windows.")
+            raise ValueError("The lateness window is 0 to 365 days, the lead 0 to 1440 minutes.")
 
     def rejects(self, occurred_at: Column, received_at: Column) -> Column:
         earliest = temporal.plus_micros(received_at, F.lit(-int(self.max_late_days * 86_400_000_000)))
@@ -44,8 +44,8 @@ def field_errors(received_at: Column, window: AdmissionWindow = AdmissionWindow(
     properties = F.col("properties")
     is_object = F.coalesce(properties.rlike(r"^\s*\{"), F.lit(False))
     inexact = F.coalesce(F.col("inexact"), F.lit(False))
-    label = "Use 1–100 characters without control characters."
-    identity = "Use null or 1–200 characters without control characters."
+    label = "Needs 1 to 100 characters, none of them a control character."
+    identity = "Either null, or 1 to 200 characters, none of them a control character."
     rules = [
         _error(F.col("event_id") == wire.EMPTY_GUID, "eventId", "A nonempty UUID is required; reuse it on retries."),
         _error(text.bad_label(F.col("event_type"), 100), "eventType", label),
@@ -67,7 +67,7 @@ def field_errors(received_at: Column, window: AdmissionWindow = AdmissionWindow(
             _error(
                 ~F.coalesce(F.col("event_type").isin(*BROWSER_TYPES), F.lit(False)),
                 "eventType",
-                "Use a supported browser activity; purchases are confirmed by the demo backend.",
+                "Browsers may not send this type; a server reports purchases.",
             ),
             _error(~(is_object & source), "properties.source", "Browser events must identify source=browser."),
         ]

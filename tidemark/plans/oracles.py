@@ -257,6 +257,30 @@ BODIES: dict[str, str] = {
           'durable' AS durability, f.rn > 1 AS already_accepted
         FROM first_seen f LEFT JOIN bad b ON b.project_id = f.project_id AND b.batch_id = f.batch_id WHERE b.batch_id IS NULL""",
     "quota_admission": QUOTA.format(limit=2500) + "SELECT project_id, batch_id, accepted, reason FROM fold WHERE i > 0",
+    "deployment_quota": """, alld AS (SELECT 'all' AS project_id, batch_id || '/' || project_id AS batch_id, batch_at,
+          project_id || '/' || event_id AS event_id, payload_hash FROM deliv)"""
+    + QUOTA.format(limit=5000).replace("FROM deliv", "FROM alld")
+    + "SELECT split_part(batch_id, '/', 2) AS project_id, split_part(batch_id, '/', 1) AS batch_id, accepted, reason FROM fold WHERE i > 0",
+    "admission_counters": QUOTA.format(limit=2500)
+    + """SELECT d.project_id, coalesce(f.reason, 'accepted') AS outcome, count(*) AS events
+        FROM deliv d JOIN fold f ON f.project_id = d.project_id AND f.batch_id = d.batch_id WHERE f.i > 0 GROUP BY ALL""",
+    "batch_envelopes": """, b AS (SELECT n // 10 AS batch, list(event_id ORDER BY event_id) AS ids FROM ev GROUP BY ALL),
+        f AS (SELECT *, CASE batch % 20 WHEN 1 THEN 'events' WHEN 2 THEN 'malformed' WHEN 3 THEN CASE WHEN len(ids) > 9 THEN 'events' END
+          WHEN 4 THEN 'batch too large' END AS batch_error FROM b)
+        SELECT batch, batch_error, CAST(0 AS INTEGER) AS ordinal, CAST(NULL AS VARCHAR) AS event FROM f WHERE batch_error IS NOT NULL
+        UNION ALL SELECT batch, batch_error, CAST(unnest(range(len(ids))) AS INTEGER), '{"eventId":"' || unnest(ids) || '"}' FROM f WHERE batch_error IS NULL""",
+    "saved_view_upsert": f"""SELECT CAST(n_nationkey AS VARCHAR) AS id, 'p' || CAST(n_nationkey % 3 AS VARCHAR) AS project_id,
+          CAST(n_regionkey AS VARCHAR) AS user_id, CASE WHEN n_nationkey = 3 THEN 'North' ELSE n_name END AS name,
+          CASE WHEN n_nationkey = 3 THEN '{{"eventType":"view"}}' ELSE '{{"eventType":"' || ['view', 'click', 'purchase'][CAST(n_nationkey % 3 + 1 AS INTEGER)] || '"}}' END AS definition,
+          TIMESTAMP '2024-01-01' AS created_at, CASE WHEN n_nationkey = 3 THEN {NOW} ELSE TIMESTAMP '2024-01-01' END AS updated_at FROM nation""",
+    "saved_view_list": """SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, '{"eventType":"click"}' AS definition
+        FROM nation WHERE n_nationkey % 3 = 1 AND n_regionkey = 1""",
+    "schema_list": "SELECT event_type, 1 AS version, '{}' AS definition FROM registered WHERE project_id = 'p1'",
+    "audit_append": f"""SELECT o_orderkey AS id, {NOW} AS occurred_at, 'operator' AS actor, 'p' || CAST(o_custkey % 3 AS VARCHAR) AS project_id,
+        'order.change' AS action, substr(repeat(CAST(o_custkey AS VARCHAR), 80), 1, 200) AS target, '{{}}' AS details FROM orders""",
+    "outbox_claim": f"""SELECT project_id, event_id, {NOW} AS published_at, CAST(NULL AS VARCHAR) AS last_error FROM outb
+        WHERE published_at IS NULL AND completed_at IS NULL AND dead_lettered_at IS NULL AND next_attempt_at <= {NOW}
+        ORDER BY created_at, project_id, event_id LIMIT 100""",
     "order_pricing": """, o AS (SELECT l_orderkey AS order_id, l_linenumber AS line,
           ['mug', 'tote', 'notebook', 'poster'][CAST(l_partkey % 4 + 1 AS INTEGER)] AS product_id,
           CAST(trunc(l_quantity) AS INTEGER) AS quantity FROM lineitem),
@@ -361,8 +385,8 @@ BODIES: dict[str, str] = {
     "broker_deliveries": """SELECT project_id, CASE WHEN n % 40 = 9 THEN 'x' || event_id ELSE event_id END AS event_id,
           CASE WHEN n % 40 = 9 THEN NULL ELSE received_at END AS received_at,
           CASE n % 40 WHEN 11 THEN 'JsonException' WHEN 7 THEN 'InvalidOperationException' WHEN 9 THEN 'InvalidOperationException' END AS error_type,
-          CASE n % 40 WHEN 11 THEN 'Broker payload is not valid JSON.' WHEN 7 THEN 'Broker envelope event ID does not match payload.'
-            WHEN 9 THEN 'Broker delivery does not belong to this database.' END AS message FROM ev""",
+          CASE n % 40 WHEN 11 THEN 'The message''s payload is no JSON.' WHEN 7 THEN 'Envelope and payload name different events.'
+            WHEN 9 THEN 'No outbox row has this event.' END AS message FROM ev""",
     "outbox_transition": """, t AS (SELECT *, n % 6 IN (0, 1, 4) AS hit, attempts + CASE WHEN n % 6 IN (0, 1, 4) THEN 1 ELSE 0 END AS tries,
             created_at + INTERVAL 1 DAY AS failed_at FROM outb),
         d AS (SELECT *, hit AND (n % 5 = 0 OR tries >= 8) AS dead FROM t)
@@ -426,8 +450,11 @@ BODIES: dict[str, str] = {
     "stream_dedup": "SELECT DISTINCT project_id, event_id FROM deliv",
     "stream_mirror": "SELECT project_id, event_id, event_type, received_at AS version FROM ev",
     "stream_event_counts": f"SELECT project_id, {DAY} AS bucket, event_type, count(*) AS events FROM ev GROUP BY ALL",
-    "stream_attempt_budget": _chain("b", "bucket", "attempts", 3)
+    "stream_attempt_budget": _chain("g", "scope", "(SELECT *, 'global' AS scope FROM attempts)", 12)
+    + _chain("b", "bucket", "(SELECT attempt_id, bucket, t FROM g)", 3)
     + " SELECT a.attempt_id, a.bucket, b.attempt_id IS NOT NULL AS allowed FROM attempts a LEFT JOIN b ON b.attempt_id = a.attempt_id",
 }
 
+BODIES["direct_receipts"] = BODIES["batch_receipts"].replace("'accepted' AS status", "'persisted' AS status").replace("'durable' AS durability, ", "")
+
 ORACLES = {name: PRELUDE + body for name, body in BODIES.items()}

@@ -254,6 +254,35 @@ def quota_admission(spark, sf):
     return result.decisions.select("project_id", "batch_id", "accepted", "reason")
 
 
+@query
+def deployment_quota(spark, sf):
+    """Open outbox rows are limited over all projects together."""
+    nothing = td.identity(spark, sf).where(F.lit(False))
+    result = admission.admit(td.deliveries(spark, sf), nothing, limits=admission.Limits(None, None, max_outbox_pending=5000))
+    return result.decisions.select("project_id", "batch_id", "accepted", "reason")
+
+
+@query
+def direct_receipts(spark, sf):
+    nothing = td.identity(spark, sf).where(F.lit(False))
+    result = admission.admit(td.deliveries(spark, sf), nothing, limits=admission.NO_LIMITS, mode="direct")
+    return result.receipts.select("project_id", "batch_id", "ordinal", "event_id", "status", "received_at", "already_accepted")
+
+
+@query
+def admission_counters(spark, sf):
+    """Delivered events by outcome of their batch."""
+    rows = td.deliveries(spark, sf)
+    nothing = td.identity(spark, sf).where(F.lit(False))
+    return admission.counters(admission.admit(rows, nothing, limits=QUOTA).decisions, rows)
+
+
+@query
+def batch_envelopes(spark, sf):
+    """Envelopes of ten events, with empty, foreign, overfull and oversized ones among them."""
+    return wire.explode_batches(td.batch_frames(spark, sf)).select("batch", "batch_error", "ordinal", "event")
+
+
 @query
 def order_pricing(spark, sf):
     return validation.price_orders(td.orders(spark, sf), td.catalogue(spark))
@@ -497,6 +526,36 @@ def saved_view_counts(spark, sf):
     return registry.view_counts(td.events(spark, sf), td.saved_views(spark, sf))
 
 
+@query
+def saved_view_upsert(spark, sf):
+    """The table after one definition is saved again under another name."""
+    row = {"id": "3", "project_id": "p0", "user_id": "3", "name": " North ", "definition": '{"eventType":"view"}'}
+    return registry.save_view(td.saved_views(spark, sf), row, NOW)
+
+
+@query
+def saved_view_list(spark, sf):
+    return registry.list_views(td.saved_views(spark, sf), "p1", "1").select("id", "name", "definition")
+
+
+@query
+def schema_list(spark, sf):
+    return registry.list_schemas(td.event_schemas(spark, sf), "p1").select("event_type", "version", "definition")
+
+
+@query
+def audit_append(spark, sf):
+    changes = td.audit_records(spark, sf).select("id", "project_id", F.repeat("target", 80).alias("target"), "details")
+    return maintenance.audit_rows(changes, "operator", "order.change", NOW)
+
+
+@query
+def outbox_claim(spark, sf):
+    """The next hundred messages, marked as published."""
+    outbox = td.outbox(spark, sf)
+    return delivery.mark_published(outbox, delivery.claim(outbox, NOW), NOW).where(F.col("published_at") == F.lit(NOW)).select("project_id", "event_id", "published_at", "last_error")
+
+
 @query
 def project_catalog(spark, sf):
     return registry.project_catalog(td.projects(spark, sf), td.memberships(spark, sf))
@@ -586,5 +645,5 @@ def stream_event_counts(spark, sf):
 @query
 def stream_attempt_budget(spark, sf):
     root = scratch_path(spark, "stream-budget")
-    jobs.attempt_budget(_raw_stream(spark, sf, td.attempts), root, f"{root}/checkpoint", limit=3).awaitTermination()
+    jobs.attempt_budget(_raw_stream(spark, sf, td.attempts), root, f"{root}/checkpoint", limit=3, global_limit=12).awaitTermination()
     return spark.read.parquet(f"{root}/decisions").select("attempt_id", "bucket", "allowed")

@@ -301,6 +301,21 @@ def catalogue(spark: SparkSession) -> DataFrame:
     )
 
 
+def batch_frames(spark: SparkSession, folder: str) -> DataFrame:
+    """One envelope text per ten events; four of twenty have a fault each."""
+    ten = _base(spark, folder).groupBy(F.expr("n div 10").alias("batch")).agg(F.sort_array(F.collect_list("event_id")).alias("ids"))
+    listed = "array_join(transform(ids, x -> concat('{\"eventId\":\"', x, '\"}')), ',')"
+    return ten.select(
+        "batch",
+        F.expr(
+            f"""CASE batch % 20 WHEN 1 THEN '{{"events":[]}}' WHEN 2 THEN concat('{{"events":[', {listed}, '],"more":1}}')
+            WHEN 3 THEN concat('{{"events":[', array_join(array_repeat({listed}, 11), ','), ']}}')
+            WHEN 4 THEN concat('{{"events":[', {listed}, ']}}', repeat(' ', 1048576))
+            ELSE concat('{{"events":[', {listed}, ']}}') END"""
+        ).alias("value"),
+    )
+
+
 def deliveries(spark: SparkSession, folder: str) -> DataFrame:
     """Batches of ten events, then redelivery batches.
 

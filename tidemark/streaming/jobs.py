@@ -245,13 +245,15 @@ def attempt_budget(
     checkpoint: str,
     limit: int = budgets.BUCKET_LIMIT,
     trigger: dict | None = None,
+    global_limit: int | None = budgets.GLOBAL_LIMIT,
 ) -> StreamingQuery:
-    """Per-bucket budget over a stream in arrival order.
+    """Budgets over a stream in arrival order: the global one first, then the account bucket's.
 
-    The open window of each bucket (4096 buckets at most) is carried from one
-    micro-batch to the next in ``root/open``; decisions go to ``root/decisions``.
+    The open window of everybody together and of each bucket (4096 buckets at most) is carried from
+    one micro-batch to the next in ``root/open``; decisions go to ``root/decisions``. Attempts
+    that the global budget refuses never reach a bucket's counter.
     """
-    open_schema = "bucket STRING, t BIGINT, used BIGINT, batch BIGINT"
+    open_schema = "scope STRING, bucket STRING, t BIGINT, used BIGINT, batch BIGINT"
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -261,26 +263,37 @@ def attempt_budget(
             temporal.micros(F.col("attempted_at")).alias("t"),
         )
         earlier = store.read_table(spark, f"{root}/open", open_schema)
-        # Every micro-batch writes the state of all buckets, so the previous one suffices.
-        carried = earlier.where(F.col("batch") == batch_id - 1).select("bucket", "t", "used")
-        placed = budgets.windowed(timed, ["bucket"], ["t", "attempt_id"], carried).join(
-            carried.select("bucket", F.col("t").alias("window_start"), "used"), ["bucket", "window_start"], "left"
-        )
-        used = F.coalesce("used", F.lit(0))
-        allowed = budgets.within_limit(placed, ["bucket"], ["t", "attempt_id"], limit, used).select(
-            "attempt_id", F.lit(True).alias("allowed")
-        )
-        decided = placed.join(allowed, "attempt_id", "left").select(
-            "attempt_id", "bucket", "t", F.coalesce("allowed", F.lit(False)).alias("allowed")
-        )
-        decided.write.mode("overwrite").parquet(f"{root}/decisions/batch={batch_id}")
-        counts = placed.groupBy("bucket", F.col("window_start").alias("t")).agg(
-            F.least(F.count("*") + F.max(used), F.lit(limit + 1)).alias("used")
-        )
-        newest = counts.unionByName(carried).groupBy("bucket").agg(
-            F.max(F.struct("t", "used")).alias("__w")
-        )
-        newest.select("bucket", "__w.t", "__w.used").write.mode("overwrite").parquet(f"{root}/open/batch={batch_id}")
+        # Every micro-batch writes the state of all windows, so the previous one suffices.
+        state = earlier.where(F.col("batch") == batch_id - 1)
+        order = ["t", "attempt_id"]
+
+        def budget(rows: DataFrame, scope: str, most: int) -> tuple[DataFrame, DataFrame]:
+            """The attempts within a scope's budget, and the windows that stay open."""
+            carried = state.where(F.col("scope") == scope).select("bucket", "t", "used")
+            placed = budgets.windowed(rows, ["bucket"], order, carried).join(
+                carried.select("bucket", F.col("t").alias("window_start"), "used"), ["bucket", "window_start"], "left"
+            )
+            used = F.coalesce("used", F.lit(0))
+            counts = placed.groupBy("bucket", F.col("window_start").alias("t")).agg(
+                F.least(F.count("*") + F.max(used), F.lit(most + 1)).alias("used")
+            )
+            newest = counts.unionByName(carried).groupBy("bucket").agg(F.max(F.struct("t", "used")).alias("__w"))
+            kept = newest.select(F.lit(scope).alias("scope"), "bucket", "__w.t", "__w.used")
+            return budgets.within_limit(placed, ["bucket"], order, most, used).select("attempt_id"), kept
+
+        with scratch_space(spark, "budget") as space:
+            passed, windows = timed, None
+            if global_limit is not None:
+                together = timed.withColumn("bucket", F.lit("global"))
+                within, windows = budget(together, "global", global_limit)
+                passed = materialize(timed.join(within, "attempt_id", "left_semi"), "passed", space)
+            within, open_buckets = budget(passed, "bucket", limit)
+            decided = timed.join(within.withColumn("allowed", F.lit(True)), "attempt_id", "left").select(
+                "attempt_id", "bucket", "t", F.coalesce("allowed", F.lit(False)).alias("allowed")
+            )
+            decided.write.mode("overwrite").parquet(f"{root}/decisions/batch={batch_id}")
+            windows = open_buckets if windows is None else open_buckets.unionByName(windows)
+            windows.write.mode("overwrite").parquet(f"{root}/open/batch={batch_id}")
 
     return _run(attempts_stream, checkpoint, step, trigger)
 

@@ -151,7 +151,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = NEAREST, vec_id:
         return materialize(rows.mapInArrow(_tiles(size, most), PACKED), label)
 
     few = queries.where(comparable(queries[vector]) & queries[vec_id].isNotNull())
-    asked = few.select(few[vec_id].alias(vec_id), few[vector].alias(vector)).coalesce(max(1, -(-few.count() // GROUP)))
+    asked = few.select(few[vec_id].alias(vec_id), few[vector].alias(vector)).repartition(max(1, -(-few.count() // GROUP)))
     asked, tiles = packed(asked, GROUP, None, "queries"), packed(candidates, TILE, k + 1, "tiles")
     parts = asked.count()
     slices = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), tiles.count()))

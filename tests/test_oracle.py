@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as contract
 from tidemark.plans.compare import differences, oracle_frame
+from tidemark.plans.oracles import ORACLES
+from tidemark.plans.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
@@ -17,5 +18,9 @@ def test_query(spark, name):
         assert differences(actual, oracle_frame(ORACLES[name], FOLDER)) is None
 
 
+def test_contract_has_them_all():
+    assert QUERIES.keys() <= contract.queries().keys() and ORACLES.keys() <= contract.oracle_sql().keys()
+
+
 def test_entry(spark):
     assert contract.entry(spark).columns == ["project_id", "step", "event_type", "users"]

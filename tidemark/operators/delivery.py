@@ -123,6 +123,21 @@ def read_deliveries(messages: DataFrame, outbox: DataFrame, inbox: DataFrame, va
     return joined.select(*EVENT, "payload", "received_at", error_type.alias("error_type"), message.alias("message"))
 
 
+def apply_deliveries(delivered: DataFrame, inbox: DataFrame, now: datetime) -> tuple[DataFrame, DataFrame]:
+    """What sound deliveries change beside the outbox: the inbox with its processing times, and new mirror work.
+
+    The events themselves go through ``store.insert_absent``; the first processing time of a row stays.
+    """
+    hit = delivered.where(F.col("error_type").isNull()).select(*EVENT, F.lit(True).alias("__hit")).distinct()
+    marked = inbox.join(hit, EVENT, "left")
+    done = marked.select(
+        *_with(inbox, processed_at=F.when(F.col("__hit"), F.coalesce("processed_at", at(now))).otherwise(F.col("processed_at")))
+    )
+    fresh = marked.where(F.col("__hit") & F.col("processed_at").isNull())
+    work = fresh.select(*[F.col(c) for c in EVENT], at(now).alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("completed_at"))
+    return done, work
+
+
 def complete(outbox: DataFrame, delivered: DataFrame, now: datetime) -> DataFrame:
     """Confirm deliveries; the first confirmation time stays."""
     hit = delivered.select(*EVENT, F.lit(True).alias("__hit")).distinct()

@@ -278,6 +278,11 @@ BODIES: dict[str, str] = {
     "schema_list": "SELECT event_type, 1 AS version, '{}' AS definition FROM registered WHERE project_id = 'p1'",
     "audit_append": f"""SELECT o_orderkey AS id, {NOW} AS occurred_at, 'operator' AS actor, 'p' || CAST(o_custkey % 3 AS VARCHAR) AS project_id,
         'order.change' AS action, substr(repeat(CAST(o_custkey AS VARCHAR), 80), 1, 200) AS target, '{{}}' AS details FROM orders""",
+    "delivery_cycle": f"""SELECT o.project_id, o.event_id, e.event_type, e.occurred_at, {NOW} AS published_at, {NOW} AS completed_at,
+          coalesce(i.processed_at, {NOW}) AS processed_at, i.processed_at IS NULL AS mirrored
+        FROM outb o JOIN ev e ON e.project_id = o.project_id AND e.event_id = o.event_id
+          JOIN inbox i ON i.project_id = o.project_id AND i.event_id = o.event_id
+        WHERE o.published_at IS NULL AND o.completed_at IS NULL AND o.dead_lettered_at IS NULL AND o.next_attempt_at <= {NOW}""",
     "outbox_claim": f"""SELECT project_id, event_id, {NOW} AS published_at, CAST(NULL AS VARCHAR) AS last_error FROM outb
         WHERE published_at IS NULL AND completed_at IS NULL AND dead_lettered_at IS NULL AND next_attempt_at <= {NOW}
         ORDER BY created_at, project_id, event_id LIMIT 100""",

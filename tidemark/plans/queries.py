@@ -549,6 +549,27 @@ def audit_append(spark, sf):
     return maintenance.audit_rows(changes, "operator", "order.change", NOW)
 
 
+@query
+def delivery_cycle(spark, sf):
+    """Accepted, published, delivered, projected: the eligible messages go all the way."""
+    outbox, inbox = td.outbox(spark, sf), td.inbox(spark, sf)
+    messages = delivery.envelopes(outbox, NOW)
+    published = delivery.mark_published(outbox, messages, NOW)
+    delivered = delivery.read_deliveries(messages, published, inbox)
+    sound = delivered.where(F.col("error_type").isNull())
+    done, work = delivery.apply_deliveries(delivered, inbox, NOW)
+    path = f"{scratch_path(spark, 'delivery')}/events"
+    store.insert_absent(jobs.inbox_events(sound), path)
+    key = ["project_id", "event_id"]
+    return (
+        store.read_events(spark, path).select(*key, "event_type", "occurred_at")
+        .join(delivery.complete(published, sound, NOW).select(*key, "published_at", "completed_at"), key)
+        .join(done.select(*key, "processed_at"), key)
+        .join(work.select(*key, F.lit(True).alias("mirrored")), key, "left")
+        .withColumn("mirrored", F.coalesce("mirrored", F.lit(False)))
+    )
+
+
 @query
 def outbox_claim(spark, sf):
     """The next hundred messages, marked as published."""

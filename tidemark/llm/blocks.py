@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.shipping import ship
 from tidemark.session import materialize, scratch_path
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
 ROW_BITS = 24  # rows of a block; a row's key is block << ROW_BITS | its place
 SEED = "block long, ids binary, shas binary, sizes binary, data binary"
 

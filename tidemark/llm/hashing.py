@@ -43,11 +43,16 @@ class Rolling:
         n = len(data)
         self._powers(n + 1)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self._bytes[data] * self._up[:n], out=sums[1:])
+        terms = self._bytes[data]
+        terms *= self._up[:n]
+        np.cumsum(terms, out=sums[1:])
         return sums
 
     def windows(self, sums: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-        return mixed((sums[starts + length] - sums[starts]) * self._down[starts], length)
+        found = sums[starts + length]
+        found -= sums[starts]
+        found *= self._down[starts]
+        return mixed(found, length)
 
 
 class Words(dict):

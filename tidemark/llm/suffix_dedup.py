@@ -51,13 +51,13 @@ class Pass:
         self.copy &= sizes >= LENGTH
         n = len(block.data)
         self.doc = np.repeat(np.arange(len(block), dtype=np.int32), sizes)
-        place = np.arange(n, dtype=np.int64)
-        self.room = (block.ends[self.doc] - place).astype(np.int32)
+        place = np.arange(n, dtype=np.int32)
+        self.room = block.ends.astype(np.int32)[self.doc] - place
         live = ~self.copy[self.doc]
         in_cover = np.zeros(PERIOD, bool)
         in_cover[list(COVER)] = True
         self.sums = rolling.prefix(block.data)
-        self.sample = np.flatnonzero(in_cover[(place - block.starts[self.doc]) % PERIOD] & live & (self.room >= SHORT))
+        self.sample = np.flatnonzero(in_cover[(place - block.starts.astype(np.int32)[self.doc]) % PERIOD] & live & (self.room >= SHORT))
         self.live = live
 
     def short(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,7 +89,7 @@ class Pass:
         steps = np.zeros(n + 1, np.int32)
         np.add.at(steps, np.clip(starts, 0, n), 1)
         np.add.at(steps, np.clip(starts + length, 0, n), -1)
-        return np.cumsum(steps[:n]) > 0
+        return np.cumsum(steps[:n], dtype=np.int32) > 0
 
     def removed(self, short: np.ndarray, long: np.ndarray, suffix: np.ndarray) -> np.ndarray:
         """Which bytes go."""

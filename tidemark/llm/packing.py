@@ -41,7 +41,7 @@ class Ids(dict):
     through the tokenizer as a whole. A worker process keeps one bounded table for all its tasks.
     """
 
-    LIMIT = 500_000
+    LIMIT = 700_000
     kept: dict[str, Ids] = {}
 
     def __init__(self, path: str) -> None:

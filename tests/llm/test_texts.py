@@ -242,6 +242,20 @@ def test_html_extraction_edges(spark):
     assert html_extract.main_text(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page,texts",
+    [
+        ("<p>One <b alt=Bob's photo> two three.</p><p>It isn't so.</p><p>four</p>", ["One two three.", "It isn't so.", "four"]),
+        ("<p>One <img alt=Bob's photo> two three.</p><p>It isn't so.</p><p>four</p>", ["One", "two three.", "It isn't so.", "four"]),
+        ('<p>one <a href="x"">two</a> three</p>', ["one two three"]),
+        ("<p>a <a href=x/y'>b</a> c</p>", ["a b c"]),
+        ("<p title = \"a > b\" id='c > d' e=>one</p\"><p>two <a href=\"x>three</a>", ["one", "two"]),
+    ],
+)
+def test_quotes_in_malformed_attributes(page, texts):
+    assert [x.text for x in html_blocks.leaves(page)] == texts
+
+
 def test_empty_tables(spark, documents):
     empty = documents([]).select("doc_id", "text", "lang", "source", "n_chars")
     assert jaccard_join.similarity_groups(empty).count() == 0

@@ -28,8 +28,11 @@ HINTS = {
 }
 HINT_OF = {word: kind for kind, words in HINTS.items() for word in words.split()}
 
+# A quote opens a section only where a value begins; anywhere else it is a character like others. A tag that never ends goes to the page's end.
+VALUE = r"""(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^ \t\n\r\f>"'][^ \t\n\r\f>]*+)"""
+ATTRIBUTE = rf"[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+{VALUE}?+)?+"
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
+    rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[ \t\n\r\f/]++|{ATTRIBUTE})*+)(?:>|\Z)", re.S
 )
 NAMED = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+))?", re.I)
 WORDS = re.compile(r"[a-z]+")

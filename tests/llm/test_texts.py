@@ -256,6 +256,19 @@ def test_quotes_in_malformed_attributes(page, texts):
     assert [x.text for x in html_blocks.leaves(page)] == texts
 
 
+@pytest.mark.parametrize(
+    "page,texts",
+    [
+        ("<html><head><title>T</title><article><p>Text</p></article>", ["Text"]),
+        ("<head><meta name=a>\n<title>T</title>Plain <b>text</b><p>more</p>", ["Plain text", "more"]),
+        ("<head><template><p>no</p>no</template><link rel=x><noscript>no</noscript><p>yes</p>", ["yes"]),
+        ("<head><title>T</title></head><body><p>yes</p>", ["yes"]),
+    ],
+)
+def test_head_without_end_tag(page, texts):
+    assert [x.text for x in html_blocks.leaves(page)] == texts
+
+
 def test_empty_tables(spark, documents):
     empty = documents([]).select("doc_id", "text", "lang", "source", "n_chars")
     assert jaccard_join.similarity_groups(empty).count() == 0

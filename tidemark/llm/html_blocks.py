@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 # HTML's element kinds, and words that sites use for parts of a page.
 UNSEEN = frozenset("head template svg math object select option button canvas audio video".split())
+IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
 SKIPPED = frozenset("script style textarea title noscript iframe".split())  # plain text up to their end tag
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
@@ -108,7 +109,15 @@ def leaves(page: str) -> list[Leaf]:
         unseen -= sum(o.tag in UNSEEN for o in stack[place:])
         del stack[place:]
 
+    def leave_head(always: bool = False) -> None:
+        """An open head ends where something begins that may not stand in it, but not within a template."""
+        place = next((i for i, o in enumerate(stack) if o.tag == "head"), None)
+        if place is not None and (always or not any(o.tag in ("template", "noframes") for o in stack[place:])):
+            pop(place)
+
     def add(text: str) -> None:
+        if text.strip(" \t\n\r\f"):
+            leave_head()
         if text:
             parts.append((text, any(o.tag == "a" for o in stack)))
 
@@ -145,8 +154,8 @@ def leaves(page: str) -> list[Leaf]:
                     break
                 if stack[i].tag in SCOPES or stack[i].tag in ("ul", "ol", "dl"):
                     break
-        if tag == "body" and any(o.tag == "head" for o in stack):
-            pop(next(i for i, o in enumerate(stack) if o.tag == "head"))
+        if tag not in IN_HEAD:
+            leave_head(tag == "body")
         if tag in VOID or attributes.endswith("/"):
             continue
         boxes += 1

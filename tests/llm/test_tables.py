@@ -146,6 +146,13 @@ def test_mixing(spark, monkeypatch, tmp_path):
     assert mixing.in_order(docs.limit(0)).count() == 0
 
 
+def test_mixing_keeps_wordless_blocks_at_the_end_of_a_pass(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 100)
+    rows = [(100 * s + i, "word " * 100 if i < 4 else "", f"src{s}") for s in range(20) for i in range(12)]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    assert sorted(got.doc_id) == [r[0] for r in rows] and got["__place"].max() <= 1
+
+
 def test_exponent_meets_its_targets():
     sizes = [1000, 100, 50]
     a = mixing.exponent(sizes, 0.9, 100)

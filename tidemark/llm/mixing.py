@@ -101,7 +101,8 @@ def schedule(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", te
     in_pass = Window.partitionBy("src", "pass").orderBy("turn", "block").rowsBetween(Window.unboundedPreceding, -1)
     turns = turns.withColumn("turn", _hash(F.col("src"), F.col("pass"), F.col("block")))
     turns = turns.withColumn("at", F.col("pass") * F.col("total") + F.coalesce(F.sum("size").over(in_pass), F.lit(0)))
-    turns = turns.where((F.col("at") < F.col("budget")) | (F.col("total") == 0)).select("src", "pass", "block", "at", "size", "budget")
+    wordless = (F.col("size") == 0) & ((F.col("pass") + 1) * F.col("total") <= F.col("budget"))  # last in a whole pass that ends with the budget
+    turns = turns.where((F.col("at") < F.col("budget")) | (F.col("total") == 0) | wordless).select("src", "pass", "block", "at", "size", "budget")
     turns = materialize(turns, "turns")
     ending = turns.where("at + size > budget").select("src", "pass", "block", (F.col("budget") - F.col("at")).alias("left"))
     rows = lean.join(F.broadcast(ending), lean["src"].eqNullSafe(ending["src"]) & (lean["block"] == ending["block"]))  # one block per source

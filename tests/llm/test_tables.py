@@ -153,6 +153,14 @@ def test_mixing_keeps_wordless_blocks_at_the_end_of_a_pass(spark, monkeypatch):
     assert sorted(got.doc_id) == [r[0] for r in rows] and got["__place"].max() <= 1
 
 
+def test_mixing_keeps_columns_of_any_name(spark):
+    names = ["s", "of", "budget", "upto", "src", "id", "tokens", "total", "passes", "repeats", "blocks", "pass", "block", "at", "size", "turn", "left", "order", "b", "p", "sum"]
+    rows = [(i, "word " * (1 + i % 7), "big" if i % 5 else "small", *(f"{n}{i}" for n in names)) for i in range(50)]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long, text string, source string", *(f"`{n}` string" for n in names)]))
+    ordered = mixing.in_order(docs)
+    assert ordered.schema == docs.schema and {tuple(r) for r in ordered.collect()} == set(rows)
+
+
 def test_exponent_meets_its_targets():
     sizes = [1000, 100, 50]
     a = mixing.exponent(sizes, 0.9, 100)

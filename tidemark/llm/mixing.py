@@ -115,20 +115,20 @@ def schedule(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", te
     cut = turns.join(F.broadcast(last), same, "left").select(
         "src", "pass", "block", "at", "budget", F.when(F.col("at") + F.col("size") > F.col("budget"), F.coalesce("upto", F.lit(""))).alias("upto")
     )
-    blocks = sources.select(F.col("src").alias("s"), F.col("blocks").alias("of"))
+    blocks = sources.select(F.col("src").alias("__s"), F.col("blocks").alias("__of"))
     return materialize(cut, "schedule"), blocks
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The documents as often as the mixture has them, with __pass, __block, __at, __place (0 to 1) and __order added."""
     turns, blocks = schedule(docs, doc_id, source, text)
-    of = blocks["s"].eqNullSafe(docs[source])
-    placed = docs.join(F.broadcast(blocks), of).withColumn("__block", F.pmod(_number(_hash(docs[doc_id])), F.col("of"))).drop("s", "of")
-    turns = turns.select(F.col("src").alias("__src"), F.col("pass").alias("__pass"), F.col("block").alias("__b"), F.col("at").alias("__at"), "budget", "upto")
+    of = blocks["__s"].eqNullSafe(docs[source])
+    placed = docs.join(F.broadcast(blocks), of).withColumn("__block", F.pmod(_number(_hash(docs[doc_id])), F.col("__of"))).drop("__s", "__of")
+    turns = turns.select(*(F.col(c).alias(n) for c, n in (("src", "__src"), ("pass", "__pass"), ("block", "__b"), ("at", "__at"), ("budget", "__budget"), ("upto", "__upto"))))
     met = placed.join(turns, placed[source].eqNullSafe(F.col("__src")) & (F.col("__block") == F.col("__b")))
-    met = met.withColumn("__order", _hash(F.col(doc_id), F.col("__pass"))).where("upto IS NULL OR __order <= upto")
-    place = F.when(F.col("budget") > 0, F.col("__at") / F.col("budget")).otherwise(F.lit(0.0))
-    return met.withColumn("__place", place).drop("__src", "__b", "budget", "upto")
+    met = met.withColumn("__order", _hash(F.col(doc_id), F.col("__pass"))).where("__upto IS NULL OR __order <= __upto")
+    place = F.when(F.col("__budget") > 0, F.col("__at") / F.col("__budget")).otherwise(F.lit(0.0))
+    return met.withColumn("__place", place).drop("__src", "__b", "__budget", "__upto")
 
 
 def in_order(docs: DataFrame) -> DataFrame:

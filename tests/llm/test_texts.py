@@ -181,6 +181,18 @@ def test_toxicity_edges(spark, documents):
     assert toxicity.without_toxic(table, labels).schema == table.schema
 
 
+def test_toxicity_of_repeated_ids_does_not_depend_on_the_order(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAINING_ROWS", 40)
+    pairs = [(i, f"{'awful' if i % 2 else 'kind'} {prose(1000 * i + k, 9)}") for i in range(80) for k in range(20)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    models = []
+    for seed in (1, 2):
+        random.Random(seed).shuffle(pairs)
+        models.append(toxicity.fit(spark.createDataFrame(pairs, "doc_id long, text string").repartition(3 + seed), labels))
+    (bias, places, weights), other = models
+    assert len(places) and bias == other[0] and dict(zip(places, weights)) == dict(zip(*other[1:]))
+
+
 PAGES = "page_id long, url string, html string, digest string, first int"
 
 

@@ -3,7 +3,8 @@
 A text's features are its words, their stems (first four and five letters), its word pairs, and pairs with one word between them, hashed into
 2**20 places and counted once each. FTRL-proximal trains one weight per place with its own learning rate, and L1 keeps most of them
 at exactly zero, so the weights that reach every scoring task are a few thousand numbers (at most 2**20). Training reads at most
-``TRAINING_ROWS`` labelled documents, chosen by a hash of their id; every text is scored whole.
+``TRAINING_ROWS`` labels, chosen by a hash of their id, and where ids repeat in the documents at most twice as many rows, the first by
+that hash, id, a hash of the text and label; every text is scored whole.
 
 Defined results: null, empty and wordless texts have the base rate's score; without usable labels every score is 0.5; a
 null doc_id is never held out and never labelled; repeated rows are scored alike; an empty table gives no rows.
@@ -81,7 +82,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[float, np.ndarray, np.ndarray] | None:
-    """Weights from the labelled rows that are not held out, at most ``TRAINING_ROWS`` of them."""
+    """Weights from the labelled rows that are not held out: at most ``TRAINING_ROWS`` labels and twice as many rows."""
     ship(docs.sparkSession)
     usable = labels.select(labels[doc_id].alias("id"), labels[label].cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
     chosen = usable.where(~held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id", "y").limit(TRAINING_ROWS)
@@ -96,7 +97,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             bias, places, weights = train([r[2:] for r in found])
             yield pd.DataFrame({"place": np.append(places, PLACES).astype(np.int32), "weight": np.append(weights, bias).astype(np.float64)})
 
-    learnt = rows.limit(2 * TRAINING_ROWS).mapInPandas(learn, "place int, weight double").toPandas()  # one row per place at most
+    bounded = rows.orderBy(F.xxhash64("id"), "id", F.xxhash64("text"), "y").limit(2 * TRAINING_ROWS)
+    learnt = bounded.mapInPandas(learn, "place int, weight double").toPandas()  # one row per place at most
     if learnt.empty:
         return None
     is_bias = learnt.place == PLACES

@@ -1,12 +1,15 @@
 """Operators on vectors and keys against brute force, and the pipeline stage by stage."""
 
 import collections
+import hashlib
+import zlib
 
 import numpy as np
 import pytest
+import tokenizers
 
 import corpus_pipeline
-from tidemark.llm import block_knn, components, lattice_dedup, mixing, queries, sharding
+from tidemark.llm import block_knn, components, lattice_dedup, mixing, packing, queries, sharding, toxicity
 from tidemark.plans.compare import differences, oracle_frame
 
 VECTORS = "vec_id long, embedding array<float>, label int, rep string, cells int"
@@ -196,3 +199,61 @@ def test_pipeline_stages(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, folder).toPandas()
     assert set(packed.doc_id) == ids
     assert set(corpus_pipeline.run(spark, folder).toPandas().doc_id) == ids
+
+
+def test_pipeline_stages_against_brute_force(spark, documents, tmp_path):
+    import duckdb
+    import xxhash
+
+    import test_texts as T
+
+    pairs = [*T.corpus(), *((1000 + i, f"{'venom spite' if i % 2 else 'garden tea'} {T.prose(5000 + i, 20)}") for i in range(120))]
+    labels = [(1000 + i, i % 2) for i in range(120)]
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = documents(pairs, source=lambda i: "small" if i is None or i < 60 else "big").select("doc_id", "text", "lang", "source", "n_chars")
+    stages, key = dict(corpus_pipeline.STAGES), lambda r: (r[0] is not None, r[0] or 0, r[1] or "")
+
+    def after(name):
+        out = corpus_pipeline.materialize(stages[name](spark, docs, str(tmp_path)), name)
+        return out, sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=key)
+
+    features, texts = toxicity.Features(), dict(pairs)
+    known = [(d, y) for d, y in labels if zlib.crc32(str(d).encode()) % 3 != 1]
+    known.sort(key=lambda r: (xxhash.xxh3_64_intdigest(str(r[0])), r[0]))
+    bias, places, weights = toxicity.train([(np.unique(features.of(texts[d])), y) for d, y in known])
+    weight = dict(zip(places.tolist(), weights.tolist()))
+    total = lambda t: bias + sum(weight.get(f, 0.0) for f in set(features.of(t).tolist()))
+    want = sorted((r for r in pairs if 1 / (1 + np.exp(-total(r[1]))) < toxicity.THRESHOLD), key=key)
+    docs, got = after("toxicity")
+    assert got == want and {r[0] for r in pairs} - {r[0] for r in got} == {d for d, y in labels if y}
+
+    sets, group = [T.shingle_sets(t, 5) for _, t in got], list(range(len(got)))
+    for a in range(len(got)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    want = [(d, t or "") for i, (d, t) in enumerate(got) if group.index(group[i]) == i]  # in order of id, null first; null texts become empty
+    assert len(want) < len(got)
+    docs, got = after("ngram_jaccard_join")
+    assert got == want
+
+    want = {d: (n - gone, sha) for d, n, gone, _, sha in T.brute_removal(got)}
+    assert any(n < len((t or "").encode()) for (n, _), (_, t) in zip((want[-1 if d is None else d] for d, _ in got), got))
+    docs, got = after("suffix_array_dedup")
+    assert {-1 if d is None else d: (len(t.encode()), hashlib.sha256(t.encode()).hexdigest()) for d, t in got} == want
+    assert len(got) == len(want) and all(r["n_chars"] == len(r["text"]) for r in docs.collect())
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        times = dict(db.execute(f"SELECT doc_id, count(*) FROM ({mixing.ORACLE}) GROUP BY doc_id").fetchall())
+    want = [r for r in got for _ in range(times[r[0]])]
+    docs, got = after("mixing")
+    assert got == want and len(want) > len(times)
+
+    tokenizer = tokenizers.Tokenizer.from_file(packing.vocabulary_path())
+    sizes = collections.Counter((-1 if d is None else d, len(tokenizer.encode(t, add_special_tokens=False).ids) + 1) for d, t in got)
+    pieces = stages["packing"](spark, docs, str(tmp_path)).toPandas()
+    pieces["doc_id"] = pieces.doc_id.fillna(-1).astype(int)
+    assert collections.Counter(map(tuple, pieces[pieces.start == 0][["doc_id", "doc_tokens"]].values.tolist())) == sizes
+    assert pieces.length.sum() == sum(n * times for (_, n), times in sizes.items()) and pieces.groupby("sequence_id").length.sum().max() <= 2048

@@ -8,9 +8,10 @@ Two sets that are similar enough share a token within a short prefix of each, un
    occur once give none. A popular token stands in a prefix only if nearly the whole text is as popular.
 3. Order by another hash: candidates must share a prefix token there as well before their sets are compared.
 
-Only components are asked for, so no group is expanded into all its pairs: in the group of a token every text is first compared
-with one leader (the text with the fewest tokens of its own). Groups that still hold several components are then completed: the
-members outside the group's largest component are compared with all others, by the bound that the places of the token give.
+Only components are asked for: in the group of a token every text is first compared with one leader (the text with the fewest
+tokens of its own). Groups that still hold several components are then completed: the members outside the group's largest
+component are compared with all others, by the bound that the places of the token give. If the G texts of a token hardly link
+(texts mixed from the same stock lines), up to G * G / 2 pairs pass these bounds, each shipped with both texts.
 
 Equal texts are one text from the start. Texts with fewer words than a shingle are one shingle; texts without words, null
 and empty ones link with nothing. A null doc_id counts as a document of its own and is no component's id unless all its ids are null;

@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import block_knn, html_extract, jaccard_join, lattice_dedup, mixing, packing, sharding, suffix_dedup, toxicity, warc
+from tidemark.llm import (
+    best_fit,
+    block_knn,
+    centroids,
+    html_extract,
+    jaccard_join,
+    lattice_dedup,
+    mixing,
+    packing,
+    sharding,
+    spelling,
+    suffix_dedup,
+    toxicity,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_bundles": warc.query,
@@ -19,8 +33,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": sharding.query,
     "op9_suffix_dedup": suffix_dedup.query,
     "op10_jaccard_join": jaccard_join.query,
+    "op11_centroids": centroids.query,
+    "op12_spelling": spelling.query,
+    "op13_best_fit": best_fit.query,
 }
 ORACLES: dict[str, str] = {
     "op5_mixing": mixing.ORACLE,
     "op8_sharding": sharding.ORACLE,
+    "op11_centroids": centroids.ORACLE,
+    "op12_spelling": spelling.ORACLE,
 }

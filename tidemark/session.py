@@ -73,3 +73,24 @@ def materialize(df: DataFrame, label: str, within: str | None = None) -> DataFra
     path = f"{within}/{label}-{uuid.uuid4().hex}" if within else scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _filesystem(spark: SparkSession, path: str) -> tuple:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def child_folders(spark: SparkSession, path: str, committed: bool = False) -> list[str]:
+    """Names of the partition folders below a path; only those that a finished write left, if asked for. None if it is not there."""
+    files, place = _filesystem(spark, path)
+    if not files.exists(place):
+        return []
+    found = [s.getPath() for s in files.listStatus(place) if s.isDirectory() and "=" in s.getPath().getName()]
+    if committed:
+        found = [p for p in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return [p.getName() for p in found]
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    files, place = _filesystem(spark, path)
+    files.delete(place, True)

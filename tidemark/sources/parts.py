@@ -5,7 +5,7 @@ the folders of each part. A change writes its folders and then its list; the lis
 whole or not at all, a failed one leaves nothing behind that is read, and a repeated one (a writer numbers its
 changes) is left out. A table has one writer at a time; a reader keeps its version for as long as ``KEPT`` later ones are written.
 
-Additions go beside what a part holds. When ``MOST`` folders of one level have come together they are merged to one of the
+Additions go beside what a part holds. Once ``MOST`` folders of one level have come together they are merged to one of the
 next level, so a part consists of few folders and a row is rewritten a logarithmic number of times. Lists have a
 row per folder of a part, never per row of data.
 """
@@ -57,10 +57,13 @@ class Parts:
                     folders[r["part"]].append((r["version"], r["level"]))
         return folders, marks
 
-    def _now(self) -> tuple[int | None, Folders, dict[str, int]]:
-        versions = self.versions()
-        last = versions[-1] if versions else None
-        return last, *self._listed(last)
+    def _now(self, before: tuple[str, int] | None = None) -> tuple[int | None, Folders, dict[str, int]]:
+        """The last version; or the last one before a writer's change of some number, which may have been committed already."""
+        for version in reversed(self.versions()):
+            folders, marks = self._listed(version)
+            if before is None or marks.get(before[0], -1) < before[1]:
+                return version, folders, marks
+        return None, *self._listed(None)
 
     def parts(self) -> list[str]:
         return sorted(self._now()[1])
@@ -76,9 +79,12 @@ class Parts:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).option("basePath", f"{self.root}/data").parquet(*paths).select(*self.columns, PART)
 
-    def read(self, parts: Iterable[str] | None = None) -> DataFrame:
-        """The rows of some parts, or of all, with the part as ``__part``. Folders of other parts are not listed."""
-        held = self._now()[1]
+    def read(self, parts: Iterable[str] | None = None, before: tuple[str, int] | None = None) -> DataFrame:
+        """The rows of some parts, or of all, with the part as ``__part``. Folders of other parts are not listed.
+
+        ``before`` names a writer's change and gives the table as that change found it, also when it is being repeated.
+        """
+        held = self._now(before)[1]
         chosen = held if parts is None else [p for p in parts if p in held]
         return self._rows((p, v) for p in chosen for v, _ in held[p])
 
@@ -89,32 +95,33 @@ class Parts:
 
     # Changes
 
-    def append(self, rows: DataFrame, writer: str | None = None, number: int = 0) -> None:
-        """Rows (with ``__part``) beside those of their parts."""
+    def change(self, rows: DataFrame, replaced: Iterable[str] = (), writer: str | None = None, number: int = 0) -> None:
+        """Rows (with ``__part``) in place of all that the replaced parts hold, and beside what others hold. A replaced part without rows goes."""
         last, held, marks = self._now()
         if writer is not None and marks.get(writer, -1) >= number:
             return
+        gone = set(replaced)
+        held = {p: f for p, f in held.items() if p not in gone}
         merged: dict[str, int] = {}
         for part, folders in held.items():
             levels = [level for _, level in folders]
             full = [level for level in set(levels) if levels.count(level) >= MOST]
             if full:
                 merged[part] = min(full)
-        old = self._rows((p, v) for p, level in merged.items() for v, at in held[p] if at == level)
         rows = rows.select(*self.columns, PART)
         if merged:
-            rows = rows.unionByName(old)
+            rows = rows.unionByName(self._rows((p, v) for p, level in merged.items() for v, at in held[p] if at == level))
             rows = self.combine(rows).select(*self.columns, PART) if self.combine else rows
         kept = {p: [(v, at) for v, at in folders if p not in merged or at != merged[p]] for p, folders in held.items()}
         self._commit(last, rows, kept, {p: level + 1 for p, level in merged.items()}, marks, writer, number)
 
+    def append(self, rows: DataFrame, writer: str | None = None, number: int = 0) -> None:
+        """Rows beside those of their parts."""
+        self.change(rows, (), writer, number)
+
     def rewrite(self, rows: DataFrame, parts: Iterable[str], writer: str | None = None, number: int = 0) -> None:
-        """Rows (with ``__part``) in place of all that these parts hold; a part without rows goes. Rows of other parts are added."""
-        last, held, marks = self._now()
-        if writer is not None and marks.get(writer, -1) >= number:
-            return
-        gone = set(parts)
-        self._commit(last, rows.select(*self.columns, PART), {p: f for p, f in held.items() if p not in gone}, {}, marks, writer, number)
+        """Rows in place of all that these parts hold."""
+        self.change(rows, parts, writer, number)
 
     def drop(self, parts: Iterable[str], writer: str | None = None, number: int = 0) -> None:
         """Whole parts go; no row is read."""

@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 from tidemark import schemas
 from tidemark.operators import mirror
 from tidemark.session import materialize, scratch_space
+from tidemark.sources import parts
 
 EVENT = ["project_id", "event_id"]
+KEY_BUCKETS = 1024
+PUSHED_KEYS = 1000
+# Bloom filters let a lookup skip the row groups that hold none of its ids; their size follows the ids.
+BLOOM = {"parquet.bloom.filter.enabled#event_id": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.max.bytes": "1048576"}
 
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -43,7 +48,7 @@ def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
 def insert_absent(batch: DataFrame, path: str) -> None:
     """Append the events of a batch that the table does not hold.
 
-    Only the days from the batch's first to its last are compared, so the same event
+    Only the batch's own days are compared, so the same event
     must carry the same time. Admission sees to that: the time is part of the
     fingerprint, and an id with another fingerprint is refused. Repeating a batch
     adds nothing.
@@ -56,15 +61,38 @@ def insert_absent(batch: DataFrame, path: str) -> None:
     )
     with scratch_space(spark, "insert") as space:
         rows = materialize(rows, "batch", space)
-        days = rows.agg(F.min("occurred_date").alias("first"), F.max("occurred_date").alias("last")).first()
-        if days["first"] is None:
+        days = [r["occurred_date"] for r in rows.select("occurred_date").distinct().collect()]
+        if not days:
             return
-        known = read_events(spark, path).where(F.col("occurred_date").between(days["first"], days["last"]))
+        known = read_events(spark, path).where(F.col("occurred_date").isin(days))
         # Written before the table grows: the table is read here.
         fresh = materialize(rows.join(known.select(*EVENT, "occurred_date"), [*EVENT, "occurred_date"], "left_anti"), "fresh", space)
         write_events(fresh, path)
 
 
+def key_table(spark: SparkSession, path: str, schema: str) -> parts.Parts:
+    """A table with a row per event key, in hash buckets of the key."""
+    return parts.Parts(spark, path, schema, options=BLOOM)
+
+
+def bucketed(rows: DataFrame, buckets: int = KEY_BUCKETS) -> DataFrame:
+    return rows.withColumn(parts.PART, parts.bucket(EVENT, buckets))
+
+
+def matching(table: parts.Parts, keys: DataFrame, before: tuple[str, int] | None = None, buckets: int = KEY_BUCKETS, pushed: int = PUSHED_KEYS) -> DataFrame:
+    """The table's rows that may have one of the keys: every such row, and few others.
+
+    Only the keys' buckets are read. A micro-batch of few keys also pushes its ids to the scan, where statistics and Bloom
+    filters skip row groups; one of many keys is left to the join.
+    """
+    keys = bucketed(keys.select(*EVENT).distinct(), buckets)
+    some = keys.limit(pushed + 1).collect()  # bounded: ids are pushed only up to this number
+    if len(some) > pushed:
+        return table.read(parts.touched(keys), before)
+    found = table.read({r[parts.PART] for r in some}, before)
+    return found.where(F.col("event_id").isin([r["event_id"] for r in some]))
+
+
 def append_mirror(events: DataFrame, path: str) -> None:
     """Versioned copies in month folders; delivery is at least once, reads use ``mirror.latest``."""
     mirror.mirror_rows(events).select(*schemas.struct(schemas.MIRROR_EVENTS).names, "yyyymm").write.mode(
@@ -76,6 +104,26 @@ def read_mirror(spark: SparkSession, path: str) -> DataFrame:
     return mirror.latest(read_table(spark, path, schemas.MIRROR_EVENTS))
 
 
+def mirror_table(spark: SparkSession, path: str) -> parts.Parts:
+    """The mirror in months; merges of a month's folders keep the latest version of each event."""
+
+    def newest(rows: DataFrame) -> DataFrame:
+        return mirror.latest(rows)
+
+    return parts.Parts(spark, path, schemas.MIRROR_EVENTS, combine=newest)
+
+
+def merge_mirror(events: DataFrame, path: str, writer: str | None = None, number: int = 0) -> None:
+    """Versioned copies of a batch to their months; other months are neither read nor written."""
+    rows = mirror.latest(mirror.mirror_rows(events)).withColumn(parts.PART, F.col("yyyymm").cast("string"))
+    mirror_table(events.sparkSession, path).append(rows, writer, number)
+
+
+def read_merged_mirror(spark: SparkSession, path: str) -> DataFrame:
+    """The latest version of each event, over the few folders that each month has."""
+    return mirror_table(spark, path).reduced().drop(parts.PART)
+
+
 def write_mirror_json(events: DataFrame, path: str) -> None:
     mirror.mirror_json(events).write.mode("append").partitionBy("yyyymm").text(path)
 

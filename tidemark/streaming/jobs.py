@@ -17,7 +17,7 @@ from tidemark.functions import canonical, temporal, text
 from tidemark.operators import admission, budgets, delivery, mirror, validation
 from tidemark.operators.status import outbox_is_pending
 from tidemark.session import materialize, scratch_space
-from tidemark.sources import store, wire
+from tidemark.sources import parts, store, wire
 
 AVAILABLE_NOW = {"availableNow": True}
 EVENT = ["project_id", "event_id"]
@@ -83,20 +83,26 @@ def project_inbox(inbox_stream: DataFrame, events_path: str, checkpoint: str, tr
 def deduplicate(deliveries: DataFrame, target: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Simple path: the first delivery of each event that arrives, no receipts.
 
-    Keys are compared with those of earlier micro-batches in the target itself, so
-    nothing is lost however late it comes. A micro-batch writes the folder of its own
-    number and compares with lower numbers only; a repeated one leaves the same rows.
+    Nothing is lost however late it comes: the keys of all earlier micro-batches are kept in hash buckets beside the target
+    (``<target>_keys``), and a micro-batch looks into the buckets of its own keys. It writes the folder of its own
+    number and regards keys of lower numbers only; a repeated one leaves the same rows.
     """
     rest = [c for c in deliveries.columns if c not in EVENT]
     order = ["received_at", *[c for c in rest if c != "received_at"]]
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in deliveries.schema if f.name in EVENT) + ", batch BIGINT"
+    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in deliveries.schema if f.name in EVENT) + ", batch BIGINT"
 
     def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        seen = store.key_table(spark, f"{target.rstrip('/')}_keys", keys)
         first = batch.groupBy(*EVENT).agg(F.min(F.struct(*order)).alias("__row"))
-        rows = first.select(*EVENT, *[F.col(f"__row.{c}").alias(c) for c in rest])
-        known = store.read_table(batch.sparkSession, target, kept).where(F.col("batch") < batch_id)
-        fresh = rows.join(known.select(*EVENT), EVENT, "left_anti").select(*deliveries.columns)
-        fresh.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        with scratch_space(spark, "dedup") as space:
+            rows = materialize(first.select(*EVENT, *[F.col(f"__row.{c}").alias(c) for c in rest]), "first", space)
+            known = materialize(store.matching(seen, rows), "known", space)
+            earlier = known.where(F.col("batch") < batch_id).select(*EVENT)
+            fresh = materialize(rows.join(earlier, EVENT, "left_anti").select(*deliveries.columns), "fresh", space)
+            fresh.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+            new = fresh.select(*EVENT).join(known.select(*EVENT), EVENT, "left_anti").withColumn("batch", F.lit(batch_id).cast("bigint"))
+            seen.append(store.bucketed(new))
 
     return _run(deliveries, checkpoint, step, trigger)
 
@@ -110,11 +116,30 @@ def mirror_events(events_stream: DataFrame, mirror_path: str, checkpoint: str, t
     return _run(events_stream, checkpoint, step, trigger)
 
 
+def merge_mirror(events_stream: DataFrame, mirror_path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Event table to a mirror in months, of which a micro-batch writes only those it has events of; see ``store.read_merged_mirror``."""
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        store.merge_mirror(batch, mirror_path, checkpoint, batch_id)
+
+    return _run(events_stream, checkpoint, step, trigger)
+
+
+COUNTS = "project_id STRING, bucket TIMESTAMP_NTZ, event_type STRING, events BIGINT"
+
+
+def _counts(spark: SparkSession, target: str) -> parts.Parts:
+    def added(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("project_id", "bucket", "event_type", parts.PART).agg(F.sum("events").alias("events"))
+
+    return parts.Parts(spark, target, COUNTS, combine=added)
+
+
 def event_counts(events_stream: DataFrame, target: str, checkpoint: str, interval: str = "1 day", trigger: dict | None = None) -> StreamingQuery:
     """Running counts per bucket and type: late events count in their own bucket, however late.
 
-    No state is kept. Every micro-batch counts its own rows into a folder of its
-    number, overwriting it when the batch is repeated; ``latest_counts`` adds them up.
+    No state is kept. Every micro-batch adds its own counts to the days they belong to, once; days merge their counts as they come together, so
+    ``latest_counts`` reads few folders per day. A target belongs to one checkpoint.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
@@ -125,19 +150,21 @@ def event_counts(events_stream: DataFrame, target: str, checkpoint: str, interva
             .agg(F.count("*").alias("events"))
             .select("project_id", temporal.from_micros(F.unix_micros("w.start")).alias("bucket"), "event_type", "events")
         )
-        counted.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        _counts(batch.sparkSession, target).append(counted.withColumn(parts.PART, F.date_format("bucket", "yyyy-MM-dd")), checkpoint, batch_id)
 
     return _run(events_stream, checkpoint, step, trigger)
 
 
-def latest_counts(spark: SparkSession, target: str) -> DataFrame:
-    """The counts of all micro-batches together."""
-    return (
-        spark.read.parquet(target)
-        .groupBy("project_id", "bucket", "event_type")
-        .agg(F.sum("events").alias("events"))
-        .orderBy("project_id", "bucket", "event_type")
-    )
+def latest_counts(spark: SparkSession, target: str, days: list[str] | None = None) -> DataFrame:
+    """The counts so far, of some days (``yyyy-MM-dd``) or of all."""
+    return _counts(spark, target).reduced(days).drop(parts.PART).orderBy("project_id", "bucket", "event_type")
+
+
+USAGE, USAGE_BUCKETS = "project_id STRING, event_count BIGINT, stored_bytes BIGINT", 16
+
+
+def _usage(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("project_id", parts.PART).agg(F.sum("event_count").alias("event_count"), F.sum("stored_bytes").alias("stored_bytes"))
 
 
 def ingest(
@@ -153,7 +180,8 @@ def ingest(
     """Batch envelopes (``project_id, batch_id, batch_at, value``) to stored events and answers.
 
     ``staged`` writes accepted payloads to the inbox, ``direct`` to the event table.
-    Below ``root``: ``identity``, ``receipts``, ``decisions`` and ``rejects`` by
+    Below ``root``: ``identity`` in hash buckets of the key, of which a micro-batch reads those of its own keys; ``usage``, one row per
+    project; ``receipts``, ``decisions`` and ``rejects`` by
     micro-batch, and ``inbox``, ``outbox`` and ``mirror_queue`` (the broker's and the mirror's work)
     or ``events``. A repeated micro-batch overwrites its own folders and finds the
     identities of earlier ones only.
@@ -167,19 +195,17 @@ def ingest(
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         with scratch_space(spark, "ingest") as space:
-            settle(spark, materialize(prepare_batches(batch, window), "prepared", space), batch_id)
-
-    def settle(spark: SparkSession, staged: DataFrame, batch_id: int) -> None:
-        earlier = store.read_table(spark, f"{root}/identity", schemas.IDENTITY + ", batch BIGINT").where(
-            F.col("batch") < batch_id
-        )
-        # Totals come from one small row set per micro-batch, not from the identities.
-        used = store.read_table(
-            spark, f"{root}/usage", "project_id STRING, event_count BIGINT, stored_bytes BIGINT, batch BIGINT"
-        ).where(F.col("batch") < batch_id)
-        usage = used.groupBy("project_id").agg(
-            F.sum("event_count").alias("event_count"), F.sum("stored_bytes").alias("stored_bytes")
-        )
+            settle(spark, materialize(prepare_batches(batch, window), "prepared", space), batch_id, space)
+
+    def settle(spark: SparkSession, staged: DataFrame, batch_id: int, space: str) -> None:
+        identities = store.key_table(spark, f"{root}/identity", schemas.IDENTITY)
+        change = (checkpoint, batch_id)
+        if identities.done(*change):  # written last: all of this micro-batch is there
+            return
+        earlier = store.matching(identities, staged)
+        # Totals come from one row per project, not from the identities.
+        totals = parts.Parts(spark, f"{root}/usage", USAGE, combine=_usage)
+        usage = used = totals.read(before=change)
         open_rows = total = 0
         if limits.overall:
             stored = used.agg(F.sum("event_count").alias("n"), F.sum("stored_bytes").alias("b")).first()
@@ -211,13 +237,12 @@ def ingest(
         result.receipts.write.mode("overwrite").parquet(f"{root}/receipts/batch={batch_id}")
         result.decisions.write.mode("overwrite").parquet(f"{root}/decisions/batch={batch_id}")
         staged.where(F.col("reject_reason").isNotNull()).write.mode("overwrite").parquet(f"{root}/rejects/batch={batch_id}")
-        fresh.groupBy("project_id").agg(
-            F.count("*").alias("event_count"), F.sum("stored_bytes").alias("stored_bytes")
-        ).write.mode("overwrite").parquet(f"{root}/usage/batch={batch_id}")
+        added = fresh.groupBy("project_id").agg(F.count("*").alias("event_count"), F.sum("stored_bytes").alias("stored_bytes"))
+        added = materialize(added.withColumn(parts.PART, parts.bucket(["project_id"], USAGE_BUCKETS)), "usage", space)
+        changed = parts.touched(added)
+        totals.rewrite(_usage(totals.read(changed, before=change).unionByName(added)), changed, *change)
         # Identities last: a batch that failed half-way is decided again from the same state.
-        fresh.select(*schemas.struct(schemas.IDENTITY).names).write.mode("overwrite").parquet(
-            f"{root}/identity/batch={batch_id}"
-        )
+        identities.append(store.bucketed(fresh), *change)
 
     return _run(frames, checkpoint, step, trigger)
 
@@ -253,8 +278,6 @@ def attempt_budget(
     one micro-batch to the next in ``root/open``; decisions go to ``root/decisions``. Attempts
     that the global budget refuses never reach a bucket's counter.
     """
-    open_schema = "scope STRING, bucket STRING, t BIGINT, used BIGINT, batch BIGINT"
-
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         timed = batch.select(
@@ -262,9 +285,9 @@ def attempt_budget(
             text.account_bucket(F.col("username")).alias("bucket"),
             temporal.micros(F.col("attempted_at")).alias("t"),
         )
-        earlier = store.read_table(spark, f"{root}/open", open_schema)
-        # Every micro-batch writes the state of all windows, so the previous one suffices.
-        state = earlier.where(F.col("batch") == batch_id - 1)
+        windows_now = parts.Parts(spark, f"{root}/open", "scope STRING, bucket STRING, t BIGINT, used BIGINT")
+        # One row per bucket and the global one, rewritten each time; a repeated micro-batch finds what it found before.
+        state = windows_now.read(["open"], before=(checkpoint, batch_id))
         order = ["t", "attempt_id"]
 
         def budget(rows: DataFrame, scope: str, most: int) -> tuple[DataFrame, DataFrame]:
@@ -293,7 +316,7 @@ def attempt_budget(
             )
             decided.write.mode("overwrite").parquet(f"{root}/decisions/batch={batch_id}")
             windows = open_buckets if windows is None else open_buckets.unionByName(windows)
-            windows.write.mode("overwrite").parquet(f"{root}/open/batch={batch_id}")
+            windows_now.rewrite(windows.withColumn(parts.PART, F.lit("open")), ["open"], checkpoint, batch_id)
 
     return _run(attempts_stream, checkpoint, step, trigger)
 

@@ -460,6 +460,36 @@ BODIES: dict[str, str] = {
     + " SELECT a.attempt_id, a.bucket, b.attempt_id IS NOT NULL AS allowed FROM attempts a LEFT JOIN b ON b.attempt_id = a.attempt_id",
 }
 
+DELIVERY = """, arr AS MATERIALIZED (SELECT project_id, event_id, n, received_at AS created_at,
+          CASE WHEN received_at < TIMESTAMP '2024-01-08' THEN 1 WHEN received_at < TIMESTAMP '2024-01-15' THEN 2
+            WHEN received_at < TIMESTAMP '2024-01-22' THEN 3 ELSE 4 END AS since FROM ev),
+        ticks AS (SELECT since AS k, max(created_at) AS now FROM arr GROUP BY since UNION ALL SELECT 5, TIMESTAMP '2024-02-12'
+          UNION ALL SELECT 6, TIMESTAMP '2024-02-12 00:00:03' UNION ALL SELECT 7, TIMESTAMP '2024-02-19'),
+        sim AS (SELECT 0 AS k, *, CAST(NULL AS TIMESTAMP) AS now, created_at AS due, 0 AS tries, CAST(NULL AS TIMESTAMP) AS sent, CAST(NULL AS TIMESTAMP) AS done,
+            CAST(NULL AS TIMESTAMP) AS dead, CAST(NULL AS VARCHAR) AS error, FALSE AS tried FROM arr
+          UNION ALL
+          SELECT k, project_id, event_id, n, created_at, since, now,
+            CASE WHEN fails AND NOT gone THEN now + to_microseconds(CAST(round(least(300.0, pow(2.0, tries + 1)) * 1.1 * 1e6) AS BIGINT)) ELSE due END,
+            CAST(tries + CASE WHEN fails THEN 1 ELSE 0 END AS INTEGER), CASE WHEN fails AND NOT gone THEN NULL WHEN tried THEN now ELSE sent END,
+            CASE WHEN tried AND NOT fails THEN now ELSE done END, CASE WHEN gone THEN now ELSE dead END,
+            CASE WHEN fails THEN kind || ': ' || said WHEN tried THEN NULL ELSE error END, tried
+          FROM (SELECT *, tried AND kind IS NOT NULL AS fails, tried AND kind IS NOT NULL AND (kind = 'FormatException' OR tries + 1 >= 4) AS gone,
+              CASE WHEN n % 10 = 8 THEN 'The broker did not answer.' ELSE 'event ' || event_id END AS said
+            FROM (SELECT s.* EXCLUDE (k, now, tried), t.k, t.now, s.done IS NULL AND s.dead IS NULL AND s.since <= t.k AND s.due <= t.now AS tried,
+                CASE WHEN n % 10 = 3 THEN 'FormatException' WHEN n % 10 IN (5, 6) AND tries < 2 THEN 'IOException'
+                  WHEN n % 10 = 7 OR (n % 10 = 8 AND tries = 0) THEN 'TimeoutException' END AS kind
+              FROM sim s JOIN ticks t ON t.k = s.k + 1)))"""
+BODIES["stream_delivery"] = DELIVERY + """ SELECT project_id, event_id, created_at, sent AS published_at, done AS completed_at, due AS next_attempt_at,
+          dead AS dead_lettered_at, tries AS attempts, error AS last_error FROM sim WHERE k = 7"""
+BODIES["stream_gauges"] = DELIVERY + """, seen AS (SELECT *, done IS NULL AND dead IS NULL AS open FROM sim WHERE k > 0 AND since <= k)
+        SELECT CAST(k - 1 AS BIGINT) AS batch, now AS at, count(*) FILTER (since = k) AS arrived, count(*) FILTER (tried) AS published,
+          count(*) FILTER (tried AND done = now) AS delivered, count(*) FILTER (tried AND done IS NULL) AS failed,
+          count(*) FILTER (dead = now) AS dead_lettered, count(*) FILTER (open) AS outbox_pending, count(*) FILTER (open AND tries > 0) AS outbox_retrying,
+          (epoch_us(now) - min(epoch_us(created_at)) FILTER (open)) / 1e6 AS outbox_oldest_seconds, count(*) FILTER (done IS NULL) AS inbox_pending,
+          CASE WHEN k < 5 THEN count(*) FILTER (since = k) ELSE 1 END AS input_rows, count(*) FILTER (since = k) AS observed
+        FROM seen GROUP BY k, now"""
+BODIES["stream_mirror_merged"] = BODIES["stream_mirror"]
+BODIES["identity_lookup_bucketed"] = BODIES["identity_lookup"]
 BODIES["direct_receipts"] = BODIES["batch_receipts"].replace("'accepted' AS status", "'persisted' AS status").replace("'durable' AS durability, ", "")
 
 ORACLES = {name: PRELUDE + body for name, body in BODIES.items()}

@@ -8,6 +8,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import schemas
 from tidemark.functions import canonical, text
 from tidemark.operators import (
     admission,
@@ -27,10 +28,11 @@ from tidemark.operators.filters import EventFilter
 from tidemark.session import scratch_path
 from tidemark.sources import store, synthetic, wire
 from tidemark.sources import testdata as td
-from tidemark.streaming import jobs
+from tidemark.streaming import broker, jobs
 
 START, END, NOW = datetime(2024, 1, 1), datetime(2024, 2, 1), td.NOW
 WHOLE = EventFilter(start=START, end=END)
+FEW_BUCKETS = 16  # the driver's tables are small
 QUOTA = admission.Limits(max_project_events=2500, max_project_bytes=100 * 1024 * 1024)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -645,7 +647,7 @@ def stream_dedup(spark, sf):
     root = scratch_path(spark, "stream-dedup")
     stream = _raw_stream(spark, sf, td.deliveries).withColumn("received_at", F.col("batch_at"))
     keys = stream.select("project_id", "event_id", "received_at")
-    jobs.deduplicate(keys, f"{root}/events", f"{root}/checkpoint").awaitTermination()
+    jobs.deduplicate(keys, f"{root}/events", f"{root}/checkpoint", key_buckets=FEW_BUCKETS).awaitTermination()
     return spark.read.parquet(f"{root}/events").select("project_id", "event_id")
 
 
@@ -668,3 +670,57 @@ def stream_attempt_budget(spark, sf):
     root = scratch_path(spark, "stream-budget")
     jobs.attempt_budget(_raw_stream(spark, sf, td.attempts), root, f"{root}/checkpoint", limit=3, global_limit=12).awaitTermination()
     return spark.read.parquet(f"{root}/decisions").select("attempt_id", "bucket", "allowed")
+
+
+@query
+def stream_mirror_merged(spark, sf):
+    """The mirror in months, each micro-batch writing only those it has events of."""
+    root = scratch_path(spark, "stream-mirror")
+    jobs.merge_mirror(_raw_stream(spark, sf, td.events), f"{root}/mirror", f"{root}/checkpoint").awaitTermination()
+    return store.read_merged_mirror(spark, f"{root}/mirror").select("project_id", "event_id", "event_type", "version")
+
+
+@query
+def identity_lookup_bucketed(spark, sf):
+    """Deliveries against identities that lie in hash buckets of their keys."""
+    identities = store.key_table(spark, f"{scratch_path(spark, 'identity')}/identity", schemas.IDENTITY)
+    identities.append(store.bucketed(td.identity(spark, sf), FEW_BUCKETS))
+    rows = td.deliveries(spark, sf)
+    state = admission.stored_state(rows, store.matching(identities, rows, buckets=FEW_BUCKETS))
+    return state.groupBy("project_id", "state").agg(F.count("*").alias("deliveries"))
+
+
+DELIVERY_TICKS = [datetime(2024, 2, 12), datetime(2024, 2, 12, 0, 0, 3), datetime(2024, 2, 19)]
+
+
+def _delivery_run(spark, sf, root):
+    """Four weeks of arrivals and three moments without any, one micro-batch each, at most four attempts."""
+    arrivals = td.arrivals(spark, sf)
+    edges = [None, datetime(2024, 1, 8), datetime(2024, 1, 15), datetime(2024, 1, 22), None]
+    for low, high in zip(edges, edges[1:]):
+        week = arrivals if low is None else arrivals.where(F.col("at") >= F.lit(low))
+        week = week if high is None else week.where(F.col("at") < F.lit(high))
+        week.coalesce(1).write.mode("append").parquet(f"{root}/arrivals")  # a file is a micro-batch
+    for moment in DELIVERY_TICKS:
+        tick = spark.createDataFrame([(moment, None, None, None)], arrivals.schema)
+        tick.coalesce(1).write.mode("append").parquet(f"{root}/arrivals")
+    schema = "at TIMESTAMP_NTZ, project_id STRING, event_id STRING, payload STRING"
+    stream = jobs.table_stream(spark, f"{root}/arrivals", schema, max_files=1)
+    return broker.deliver(stream, root, f"{root}/checkpoint", td.answering_broker, max_attempts=4, jitter=F.lit(0.5))
+
+
+@query
+def stream_delivery(spark, sf):
+    root = scratch_path(spark, "stream-delivery")
+    _delivery_run(spark, sf, root).awaitTermination()
+    return broker.outbox_now(spark, root).drop("payload")
+
+
+@query
+def stream_gauges(spark, sf):
+    """How the outbox stood after each micro-batch, beside what the query's listener stored."""
+    root = scratch_path(spark, "stream-gauges")
+    with broker.observed_gauges(spark, f"{root}/observed") as listener:
+        listener.await_end(_delivery_run(spark, sf, root))
+    observed = broker.read_observed(spark, f"{root}/observed").where("metric = 'arrivals.events'")
+    return broker.gauges(spark, root).join(observed.select("batch", "input_rows", F.col("value").cast("bigint").alias("observed")), "batch")

@@ -39,6 +39,7 @@ class Parts:
         """``combine`` reduces the rows that a merge brings together; ``options`` go to the Parquet writer."""
         self.spark, self.root, self.schema, self.combine, self.options, self.kept = spark, root, schema, combine, options or {}, kept
         self.columns = schemas.struct(schema).names
+        self._known: dict[int, list] = {}  # lists do not change once committed
 
     # What is there
 
@@ -50,7 +51,9 @@ class Parts:
         folders: Folders = defaultdict(list)
         marks: dict[str, int] = {}
         if version is not None:
-            for r in self.spark.read.schema(LISTED).parquet(f"{self.root}/list/version={version}").collect():
+            if version not in self._known:
+                self._known[version] = self.spark.read.schema(LISTED).parquet(f"{self.root}/list/version={version}").collect()
+            for r in self._known[version]:
                 if r["part"] is None:
                     marks[r["writer"]] = r["number"]
                 else:
@@ -155,6 +158,7 @@ class Parts:
                     if (part, v) not in used:
                         remove_folder(self.spark, f"{self.root}/data/__version={v}/{PART}={part}")
             remove_folder(self.spark, f"{self.root}/list/version={version}")
+            self._known.pop(version, None)
 
 
 def touched(rows: DataFrame) -> list[str]:

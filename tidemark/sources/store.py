@@ -12,7 +12,7 @@ from tidemark.session import materialize, scratch_space
 from tidemark.sources import parts
 
 EVENT = ["project_id", "event_id"]
-KEY_BUCKETS = 1024
+KEY_BUCKETS = 256
 PUSHED_KEYS = 1000
 # Bloom filters let a lookup skip the row groups that hold none of its ids; their size follows the ids.
 BLOOM = {"parquet.bloom.filter.enabled#event_id": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.max.bytes": "1048576"}

@@ -382,3 +382,21 @@ def wire_frames(spark: SparkSession, folder: str) -> DataFrame:
             F.when(fault == 13, F.lit("")).otherwise(F.lit("}")),
         ).alias("value"),
     )
+
+
+def arrivals(spark: SparkSession, folder: str) -> DataFrame:
+    """Accepted events as they come in."""
+    return inbox(spark, folder).select(F.col("received_at").alias("at"), "project_id", "event_id", "payload")
+
+
+def answering_broker(sent: DataFrame) -> DataFrame:
+    """A broker's answers by event number and attempts: 3 of ten never fit, 5 and 6 come through at the third try, 7 never, 8 is not heard at first."""
+    n = F.col("event_id").cast("bigint") % 10
+    error = (
+        F.when(n == 3, F.lit("FormatException"))
+        .when(n.isin(5, 6) & (F.col("attempts") < 2), F.lit("IOException"))
+        .when(n == 7, F.lit("TimeoutException"))
+    )
+    message = F.when(error.isNotNull(), F.concat(F.lit("event "), F.col("event_id")))
+    heard = ~((n == 8) & (F.col("attempts") == 0))
+    return sent.where(heard).select("project_id", "event_id", error.alias("error_type"), message.alias("message"))

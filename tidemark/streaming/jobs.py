@@ -23,7 +23,7 @@ AVAILABLE_NOW = {"availableNow": True}
 EVENT = ["project_id", "event_id"]
 
 
-def _run(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, int], None], trigger: dict | None, mode: str = "append") -> StreamingQuery:
+def run_steps(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, int], None], trigger: dict | None, mode: str = "append") -> StreamingQuery:
     return (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
@@ -77,10 +77,12 @@ def project_inbox(inbox_stream: DataFrame, events_path: str, checkpoint: str, tr
     def step(batch: DataFrame, batch_id: int) -> None:
         store.insert_absent(inbox_events(batch), events_path)
 
-    return _run(gauges, checkpoint, step, trigger)
+    return run_steps(gauges, checkpoint, step, trigger)
 
 
-def deduplicate(deliveries: DataFrame, target: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+def deduplicate(
+    deliveries: DataFrame, target: str, checkpoint: str, trigger: dict | None = None, key_buckets: int = store.KEY_BUCKETS
+) -> StreamingQuery:
     """Simple path: the first delivery of each event that arrives, no receipts.
 
     Nothing is lost however late it comes: the keys of all earlier micro-batches are kept in hash buckets beside the target
@@ -90,21 +92,21 @@ def deduplicate(deliveries: DataFrame, target: str, checkpoint: str, trigger: di
     rest = [c for c in deliveries.columns if c not in EVENT]
     order = ["received_at", *[c for c in rest if c != "received_at"]]
     keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in deliveries.schema if f.name in EVENT) + ", batch BIGINT"
+    seen = store.key_table(deliveries.sparkSession, f"{target.rstrip('/')}_keys", keys)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        seen = store.key_table(spark, f"{target.rstrip('/')}_keys", keys)
         first = batch.groupBy(*EVENT).agg(F.min(F.struct(*order)).alias("__row"))
         with scratch_space(spark, "dedup") as space:
             rows = materialize(first.select(*EVENT, *[F.col(f"__row.{c}").alias(c) for c in rest]), "first", space)
-            known = materialize(store.matching(seen, rows), "known", space)
+            known = materialize(store.matching(seen, rows, buckets=key_buckets), "known", space)
             earlier = known.where(F.col("batch") < batch_id).select(*EVENT)
             fresh = materialize(rows.join(earlier, EVENT, "left_anti").select(*deliveries.columns), "fresh", space)
             fresh.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
             new = fresh.select(*EVENT).join(known.select(*EVENT), EVENT, "left_anti").withColumn("batch", F.lit(batch_id).cast("bigint"))
-            seen.append(store.bucketed(new))
+            seen.append(store.bucketed(new, key_buckets))
 
-    return _run(deliveries, checkpoint, step, trigger)
+    return run_steps(deliveries, checkpoint, step, trigger)
 
 
 def mirror_events(events_stream: DataFrame, mirror_path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -113,7 +115,7 @@ def mirror_events(events_stream: DataFrame, mirror_path: str, checkpoint: str, t
     def step(batch: DataFrame, batch_id: int) -> None:
         store.append_mirror(batch, mirror_path)
 
-    return _run(events_stream, checkpoint, step, trigger)
+    return run_steps(events_stream, checkpoint, step, trigger)
 
 
 def merge_mirror(events_stream: DataFrame, mirror_path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -122,7 +124,7 @@ def merge_mirror(events_stream: DataFrame, mirror_path: str, checkpoint: str, tr
     def step(batch: DataFrame, batch_id: int) -> None:
         store.merge_mirror(batch, mirror_path, checkpoint, batch_id)
 
-    return _run(events_stream, checkpoint, step, trigger)
+    return run_steps(events_stream, checkpoint, step, trigger)
 
 
 COUNTS = "project_id STRING, bucket TIMESTAMP_NTZ, event_type STRING, events BIGINT"
@@ -142,6 +144,8 @@ def event_counts(events_stream: DataFrame, target: str, checkpoint: str, interva
     ``latest_counts`` reads few folders per day. A target belongs to one checkpoint.
     """
 
+    table = _counts(events_stream.sparkSession, target)
+
     def step(batch: DataFrame, batch_id: int) -> None:
         at = F.to_timestamp(F.date_format("occurred_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
         counted = (
@@ -150,9 +154,9 @@ def event_counts(events_stream: DataFrame, target: str, checkpoint: str, interva
             .agg(F.count("*").alias("events"))
             .select("project_id", temporal.from_micros(F.unix_micros("w.start")).alias("bucket"), "event_type", "events")
         )
-        _counts(batch.sparkSession, target).append(counted.withColumn(parts.PART, F.date_format("bucket", "yyyy-MM-dd")), checkpoint, batch_id)
+        table.append(counted.withColumn(parts.PART, F.date_format("bucket", "yyyy-MM-dd")), checkpoint, batch_id)
 
-    return _run(events_stream, checkpoint, step, trigger)
+    return run_steps(events_stream, checkpoint, step, trigger)
 
 
 def latest_counts(spark: SparkSession, target: str, days: list[str] | None = None) -> DataFrame:
@@ -176,6 +180,7 @@ def ingest(
     mode: str = "staged",
     trigger: dict | None = None,
     outbox_now: Callable[[SparkSession], DataFrame] | None = None,
+    key_buckets: int = store.KEY_BUCKETS,
 ) -> StreamingQuery:
     """Batch envelopes (``project_id, batch_id, batch_at, value``) to stored events and answers.
 
@@ -186,11 +191,15 @@ def ingest(
     or ``events``. A repeated micro-batch overwrites its own folders and finds the
     identities of earlier ones only.
 
+    ``key_buckets`` stays the same for a root; some 10 GB of identities to a bucket are a good size.
+
     The deployment's limits count what all earlier micro-batches stored. ``outbox_now`` gives the
     outbox as the publisher left it; without it everything enqueued here counts as open.
     """
     if mode not in ("staged", "direct"):
         raise ValueError("Use staged or direct.")
+    identities = store.key_table(frames.sparkSession, f"{root}/identity", schemas.IDENTITY)
+    totals = parts.Parts(frames.sparkSession, f"{root}/usage", USAGE, combine=_usage)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -198,13 +207,11 @@ def ingest(
             settle(spark, materialize(prepare_batches(batch, window), "prepared", space), batch_id, space)
 
     def settle(spark: SparkSession, staged: DataFrame, batch_id: int, space: str) -> None:
-        identities = store.key_table(spark, f"{root}/identity", schemas.IDENTITY)
         change = (checkpoint, batch_id)
         if identities.done(*change):  # written last: all of this micro-batch is there
             return
-        earlier = store.matching(identities, staged)
+        earlier = store.matching(identities, staged, buckets=key_buckets)
         # Totals come from one row per project, not from the identities.
-        totals = parts.Parts(spark, f"{root}/usage", USAGE, combine=_usage)
         usage = used = totals.read(before=change)
         open_rows = total = 0
         if limits.overall:
@@ -242,9 +249,9 @@ def ingest(
         changed = parts.touched(added)
         totals.rewrite(_usage(totals.read(changed, before=change).unionByName(added)), changed, *change)
         # Identities last: a batch that failed half-way is decided again from the same state.
-        identities.append(store.bucketed(fresh), *change)
+        identities.append(store.bucketed(fresh, key_buckets), *change)
 
-    return _run(frames, checkpoint, step, trigger)
+    return run_steps(frames, checkpoint, step, trigger)
 
 
 def prepare_batches(batches: DataFrame, window: validation.AdmissionWindow = validation.AdmissionWindow()) -> DataFrame:
@@ -278,6 +285,8 @@ def attempt_budget(
     one micro-batch to the next in ``root/open``; decisions go to ``root/decisions``. Attempts
     that the global budget refuses never reach a bucket's counter.
     """
+    windows_now = parts.Parts(attempts_stream.sparkSession, f"{root}/open", "scope STRING, bucket STRING, t BIGINT, used BIGINT")
+
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         timed = batch.select(
@@ -285,7 +294,6 @@ def attempt_budget(
             text.account_bucket(F.col("username")).alias("bucket"),
             temporal.micros(F.col("attempted_at")).alias("t"),
         )
-        windows_now = parts.Parts(spark, f"{root}/open", "scope STRING, bucket STRING, t BIGINT, used BIGINT")
         # One row per bucket and the global one, rewritten each time; a repeated micro-batch finds what it found before.
         state = windows_now.read(["open"], before=(checkpoint, batch_id))
         order = ["t", "attempt_id"]
@@ -318,7 +326,7 @@ def attempt_budget(
             windows = open_buckets if windows is None else open_buckets.unionByName(windows)
             windows_now.rewrite(windows.withColumn(parts.PART, F.lit("open")), ["open"], checkpoint, batch_id)
 
-    return _run(attempts_stream, checkpoint, step, trigger)
+    return run_steps(attempts_stream, checkpoint, step, trigger)
 
 
 def progress_rows(query: StreamingQuery) -> list[Row]:

@@ -488,6 +488,10 @@ BODIES["stream_gauges"] = DELIVERY + """, seen AS (SELECT *, done IS NULL AND de
           (epoch_us(now) - min(epoch_us(created_at)) FILTER (open)) / 1e6 AS outbox_oldest_seconds, count(*) FILTER (done IS NULL) AS inbox_pending,
           CASE WHEN k < 5 THEN count(*) FILTER (since = k) ELSE 1 END AS input_rows, count(*) FILTER (since = k) AS observed
         FROM seen GROUP BY k, now"""
+BODIES["retention_in_place"] = BODIES["retention_survivors"]
+BODIES["subject_erasure_in_place"] = BODIES["subject_erasure"].split("UNION ALL SELECT 'erased'")[0]
+BODIES["membership_upsert_stored"] = BODIES["membership_upsert"]
+BODIES["timeline_by_day"] = BODIES["timeline_next_page"]
 BODIES["stream_mirror_merged"] = BODIES["stream_mirror"]
 BODIES["identity_lookup_bucketed"] = BODIES["identity_lookup"]
 BODIES["direct_receipts"] = BODIES["batch_receipts"].replace("'accepted' AS status", "'persisted' AS status").replace("'durable' AS durability, ", "")

@@ -26,7 +26,7 @@ from tidemark.operators import (
 )
 from tidemark.operators.filters import EventFilter
 from tidemark.session import scratch_path
-from tidemark.sources import store, synthetic, wire
+from tidemark.sources import parts, store, stored, synthetic, wire
 from tidemark.sources import testdata as td
 from tidemark.streaming import broker, jobs
 
@@ -153,6 +153,17 @@ def timeline_next_page(spark, sf):
     return explorer.timeline(td.events(spark, sf), scope, 100, after)
 
 
+@query
+def timeline_by_day(spark, sf):
+    """The same page from a table in days, of which it reads one or two."""
+    events = stored.day_tables(spark, scratch_path(spark, "days"))["events"]
+    events.append(stored.dated(td.events(spark, sf)))
+    scope = EventFilter("p1", START, END)
+    after = explorer.Cursor(explorer.scope_hash(scope), datetime(2024, 1, 15), "000000000000")
+    rows = stored.timeline(events, scope, 100, after)
+    return spark.createDataFrame(rows, events.read().select("project_id", *explorer.TIMELINE).schema)
+
+
 @query
 def subject_export(spark, sf):
     return explorer.subject_export(td.events(spark, sf), "p1", "u7")
@@ -395,6 +406,23 @@ def retention_survivors(spark, sf):
     return _table_keys(_sweep(spark, sf), ["events", "inbox", "identity", "mirror_queue", "outbox"])
 
 
+def _stored_tables(spark, sf):
+    tables = stored.day_tables(spark, scratch_path(spark, "days"))
+    events = td.events(spark, sf)
+    for name, rows in _tables(spark, sf).items():
+        if name in tables:
+            tables[name].append(stored.dated(rows, None if name in ("events", "identity") else events))
+    return tables
+
+
+@query
+def retention_in_place(spark, sf):
+    """The survivors, from stored tables of which only expired days were touched."""
+    tables = _stored_tables(spark, sf)
+    stored.sweep(tables, maintenance.RetentionPolicy(15, 20), NOW)
+    return _table_keys({n: t.read() for n, t in tables.items()}, ["events", "inbox", "identity", "mirror_queue", "outbox"])
+
+
 @query
 def retention_removed(spark, sf):
     return _sweep(spark, sf)["removed"].select("project_id", "event_id", "occurred_at")
@@ -418,6 +446,14 @@ def subject_erasure(spark, sf):
     return explorer.pages(kept)
 
 
+@query
+def subject_erasure_in_place(spark, sf):
+    tables = _stored_tables(spark, sf)
+    stored.erase(tables, "p1", "u7")
+    kept = [t.read().groupBy("project_id").agg(F.count("*").alias("amount")).select(F.lit(n).alias("table_name"), "project_id", "amount") for n, t in tables.items()]
+    return explorer.pages(kept)
+
+
 @query
 def audit_latest(spark, sf):
     return maintenance.audit_latest(td.audit_records(spark, sf), "p1")
@@ -603,6 +639,21 @@ def membership_upsert(spark, sf):
     return registry.upsert_memberships(td.memberships(spark, sf), changes)
 
 
+@query
+def membership_upsert_stored(spark, sf):
+    """The same changes to a stored table, of which only the parts with changes are written."""
+    def placed(rows):
+        return rows.withColumn(parts.PART, parts.bucket(["user_id"], FEW_BUCKETS))
+
+    table = parts.Parts(spark, f"{scratch_path(spark, 'members')}/memberships", schemas.MEMBERSHIPS)
+    table.append(placed(td.memberships(spark, sf)))
+    changes = td.memberships(spark, sf).selectExpr(
+        "user_id", "CASE WHEN user_id % 2 = 0 THEN project_id ELSE 'p9' END AS project_id", "true AS can_demo", "can_manage"
+    )
+    parts.upsert(table, placed(changes), ["user_id", "project_id"])
+    return table.read().drop(parts.PART)
+
+
 @query
 def account_buckets(spark, sf):
     return td.users(spark, sf).select("id", text.account_bucket(F.col("username")).alias("bucket"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 # HTML's element kinds, and words that sites use for parts of a page.
@@ -15,6 +16,8 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SCOPES = frozenset("article aside body div footer form header html main nav section table td th blockquote".split())
+CLOSING_ENDS = SCOPES | {"ul", "ol", "dl"}  # an end tag left out is not looked for beyond these
+FOREIGN = ("svg", "math")
 HINTS = {
     "menu": "nav navbar navigation menu breadcrumb breadcrumbs toc pager pagination tabs skip",
     "advert": "ad ads advert advertisement adverts sponsor sponsored promo promotion banner teaser",
@@ -74,21 +77,67 @@ def _grade(n: float, steps: tuple[float, ...]) -> int:
     return sum(n > s for s in steps)
 
 
+class _Stack:
+    """Open elements, with what is asked of them kept up to date: nothing walks the stack, however deep it is."""
+
+    def __init__(self) -> None:
+        self.open: list[_Open] = []
+        self.places: dict[str, list[int]] = {}  # of each tag, ascending
+        self.names: dict[str, int] = {}  # how many open elements give a feature
+        self.blocks: list[_Open] = []
+        self.marks: list[int] = []
+        self.unseen = 0
+
+    def push(self, one: _Open) -> None:
+        self.places.setdefault(one.tag, []).append(len(self.open))
+        self.open.append(one)
+        for n in one.names:
+            self.names[n] = self.names.get(n, 0) + 1
+        if one.tag not in INLINE:
+            self.blocks.append(one)
+        if one.mark is not None:
+            self.marks.append(one.mark)
+        self.unseen += one.tag in UNSEEN
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The innermost place of any of some tags, -1 if none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def first(self, tag: str) -> int:
+        held = self.places.get(tag)
+        return held[0] if held else -1
+
+    def pop(self, place: int) -> None:
+        """Close the element at a place and all within it."""
+        while len(self.open) > place:
+            one = self.open.pop()
+            self.places[one.tag].pop()
+            for n in one.names:
+                self.names[n] -= 1
+                if not self.names[n]:
+                    del self.names[n]
+            if one.tag not in INLINE:
+                self.blocks.pop()
+            if one.mark is not None:
+                self.marks.pop()
+            self.unseen -= one.tag in UNSEEN
+
+
 def leaves(page: str) -> list[Leaf]:
     """The page's leaf blocks in order: text between block elements, references decoded, white space as single spaces."""
-    stack: list[_Open] = []
+    stack = _Stack()
     found: list[Leaf] = []
     parts: list[tuple[str, bool]] = []
-    at = boxes = unseen = 0
+    at = boxes = 0
 
     def flush() -> None:
         if not parts:
             return
         text = SPACE.sub(" ", html.unescape("".join(p for p, _ in parts))).strip()
-        if text and not unseen:
+        if text and not stack.unseen:
             linked = sum(len(p) for p, is_link in parts if is_link) / max(1, sum(len(p) for p, _ in parts))
-            blocks = [o for o in stack if o.tag not in INLINE]
-            names = {n for o in stack for n in o.names}
+            blocks = stack.blocks
+            names = set(stack.names)
             if blocks:
                 names.add(f"parent:{blocks[-1].tag}")
                 names.update(f"near:{n}" for o in blocks[-2:] for n in o.names if n.startswith("hint"))
@@ -100,26 +149,20 @@ def leaves(page: str) -> list[Leaf]:
                 names.add("closed")
             if "©" in text:
                 names.add("rights")
-            marks = [o.mark for o in stack if o.mark is not None]
-            found.append(Leaf(text, sorted(names), blocks[-1].number if blocks else 0, marks[-1] if marks else -1))
+            found.append(Leaf(text, sorted(names), blocks[-1].number if blocks else 0, stack.marks[-1] if stack.marks else -1))
         parts.clear()
 
-    def pop(place: int) -> None:
-        nonlocal unseen
-        unseen -= sum(o.tag in UNSEEN for o in stack[place:])
-        del stack[place:]
-
     def leave_head(always: bool = False) -> None:
         """An open head ends where something begins that may not stand in it, but not within a template."""
-        place = next((i for i, o in enumerate(stack) if o.tag == "head"), None)
-        if place is not None and (always or not any(o.tag in ("template", "noframes") for o in stack[place:])):
-            pop(place)
+        place = stack.first("head")
+        if place >= 0 and (always or stack.last(("template", "noframes")) < place):
+            stack.pop(place)
 
     def add(text: str) -> None:
         if text.strip(" \t\n\r\f"):
             leave_head()
         if text:
-            parts.append((text, any(o.tag == "a" for o in stack)))
+            parts.append((text, bool(stack.places.get("a"))))
 
     while at < len(page):
         hit = TOKEN.search(page, at)
@@ -142,25 +185,22 @@ def leaves(page: str) -> list[Leaf]:
         if tag not in INLINE:
             flush()
         if closing:
-            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), None)
-            if place is not None:
-                pop(place)
+            place = stack.last((tag,))
+            if place >= 0:
+                stack.pop(place)
             continue
         if tag in CLOSES_P or tag in ("li", "dt", "dd", "tr", "td", "th"):
             shuts = {"p"} if tag in CLOSES_P else {"p", "dt", "dd"} if tag in ("dt", "dd") else {"p", tag} if tag in ("li", "tr") else {"p", "td", "th"}
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag in shuts:
-                    pop(i)
-                    break
-                if stack[i].tag in SCOPES or stack[i].tag in ("ul", "ol", "dl"):
-                    break
+            place = stack.last(shuts)
+            if place >= 0 and place >= stack.last(CLOSING_ENDS):
+                stack.pop(place)
         if tag not in IN_HEAD:
             leave_head(tag == "body")
-        if tag in VOID or attributes.endswith("/"):
+        # A closing slash counts in foreign elements only; elsewhere browsers ignore it, or it belongs to the last value.
+        if tag in VOID or (attributes.endswith("/") and (tag in FOREIGN or stack.last(FOREIGN) >= 0)):
             continue
         boxes += 1
-        stack.append(_Open(tag, attributes, boxes))
-        unseen += tag in UNSEEN
+        stack.push(_Open(tag, attributes, boxes))
     flush()
     for i, leaf in enumerate(found):
         leaf.features.append(f"place:{_grade((i + 0.5) / len(found), (0.1, 0.3, 0.7, 0.9))}")

@@ -3,7 +3,8 @@
 Each leaf block has features of its ancestors (tags, roles, words in class and id that sites use) and of its text (length, links,
 punctuation, place). The chain has two labels and transitions that depend on whether neighbours share their innermost box. It is
 trained by full-batch gradient steps on the conditional likelihood of labelled pages, which are made of the texts of at
-most ``SAMPLE`` pages of the table (chosen by a hash of their id) laid out in many usual ways. Viterbi decoding labels every block
+most ``SAMPLE`` pages of the table (chosen by a hash of their id, those of at most ``SAMPLE_CHARS`` characters first, until
+``SAMPLE_TOTAL`` characters are reached) laid out in many usual ways. Viterbi decoding labels every block
 of every page; the article's blocks are joined by one space.
 
 Defined results: null or empty html, pages without text and pages without an article give an empty text; unclosed and stray tags are
@@ -23,7 +24,7 @@ from tidemark.llm.html_blocks import Leaf, labelled, leaves, passages
 from tidemark.llm.shipping import ship
 
 SAMPLE, LAYOUTS, STEPS, RATE, DECAY = 200, 900, 120, 0.3, 1e-3
-SAMPLE_CHARS = 100_000  # longer pages are not used to make labelled pages
+SAMPLE_CHARS, SAMPLE_TOTAL = 100_000, 20_000_000  # bounds of what the labelled pages are made of
 Model = tuple[dict[str, float], np.ndarray]
 
 
@@ -109,13 +110,18 @@ def article(blocks: list[Leaf], model: Model) -> list[bool]:
 def fit(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> Model:
     """Train on layouts of the texts of a bounded sample of the pages."""
     ship(pages.sparkSession)
-    fitting = pages.where(F.length(pages[html]).between(1, SAMPLE_CHARS))
-    sample = fitting.select(F.xxhash64(fitting[page_id]).alias("order"), fitting[html].alias("html")).orderBy("order", "html").limit(SAMPLE)
+    fitting = pages.where(F.length(pages[html]) > 0)
+    sample = fitting.select(
+        (F.length(fitting[html]) > SAMPLE_CHARS).alias("long"), F.xxhash64(fitting[page_id]).alias("order"), fitting[html].alias("html")
+    ).orderBy("long", "order", "html").limit(SAMPLE)
 
     def train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        texts, names = [], []
+        texts, names, used = [], [], 0
         for frame in frames:
             for page in frame.html:
+                if used and used + len(page) > SAMPLE_TOTAL:
+                    continue
+                used += len(page)
                 long, short = passages(page)
                 texts += long
                 names += short

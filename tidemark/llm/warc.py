@@ -5,8 +5,8 @@ frame, as in the public seekable format. The index maps a record's id to its bun
 is read by decompressing one frame. Equal payloads of at least ``SHARED_BYTES`` are stored once: the record with the smallest id is the
 response and the others are revisit records that name it.
 
-Bundles go to a folder of the session's shared storage. A task writes a bundle under a name of its own attempt and then moves it to
-its final name, so a lost executor or a repeated task leaves the same files.
+Bundles go to a folder of the session's shared storage, each under a name that carries the task's attempt, so attempts never meet. The
+index, committed by Spark, lists the bundles of the attempts that count; readers follow it, and what other attempts left is never read.
 
 Defined results: null html is an empty payload, null urls are empty; rows with the smallest id of a payload are all responses if
 that id is repeated; a null page_id is never the smallest unless all are null (then these are responses); an empty table gives no
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.shipping import ship
-from tidemark.session import materialize, scratch_path
+from tidemark.session import scratch_path
 
 # Fixed values of the seekable Zstandard format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -111,11 +111,9 @@ def written(pages: DataFrame, folder: str, page_id: str = "page_id", url: str =
             open_frame.clear()
 
         def close_bundle() -> pa.RecordBatch:
-            name = f"part-{task:05d}-{number:05d}.warc.zst"
-            hidden = f"{root}/.{name}.{attempt}"
-            with store.open_output_stream(hidden) as out:
+            name = f"part-{task:05d}-{number:05d}-{attempt}.warc.zst"
+            with store.open_output_stream(f"{root}/{name}", compression=None) as out:  # the name would ask for it
                 out.write(b"".join(done) + seek_table(sizes))
-            store.move(hidden, f"{root}/{name}")
             columns = list(zip(*index))
             kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
@@ -147,11 +145,13 @@ def written(pages: DataFrame, folder: str, page_id: str = "page_id", url: str =
         if index:
             yield close_bundle()
 
-    return materialize(placed.mapInArrow(bundle, INDEX), "warc-index")
+    spark = pages.sparkSession
+    placed.mapInArrow(bundle, INDEX).write.parquet(f"{folder}/index")
+    return spark.read.schema(INDEX).parquet(f"{folder}/index")
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """Every record of a folder's archives: page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to.
+    """Every record of the bundles that a folder's index lists: page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to.
 
     A response's length and digest are computed from the payload that was read; a revisit's are those it keeps.
     """
@@ -159,12 +159,15 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     schema = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.fs as fs
         import zstandard
 
         unpress = zstandard.ZstdDecompressor()
+        store, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
         for batch in batches:
-            for packed in batch.column("content"):
-                packed = packed.as_py()
+            for name in batch.column("bundle").to_pylist():
+                with store.open_input_stream(f"{root}/{name}", compression=None) as held:
+                    packed = held.read()
                 for at, size in frames(packed):
                     found, plain, here = [], unpress.decompress(packed[at : at + size]), 0
                     while here < len(plain):
@@ -181,8 +184,9 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], [c.split()[0] for c in schema.split(", ")])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
-    return files.select("content").mapInArrow(records, schema)
+    bundles = spark.read.schema(INDEX).parquet(f"{folder}/index").select("bundle").distinct()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return bundles.repartition(tasks, "bundle").mapInArrow(records, schema)  # a number given: names are short, what they name is not
 
 
 def fetch(folder: str, bundle: str, frame: int, offset: int, length: int) -> tuple[dict[str, str], bytes]:
@@ -206,3 +210,11 @@ def query(spark: SparkSession, folder: str) -> DataFrame:
     if written(pages, archives).isEmpty():
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     return read(spark, archives).select(columns)
+
+
+ORACLE = f"""
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN n < {SHARED_BYTES} OR page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN n >= {SHARED_BYTES} AND page_id <> least THEN least END AS refers_to
+FROM (SELECT page_id, digest, n, min(page_id) OVER (PARTITION BY digest) AS least
+  FROM (SELECT page_id, sha256(coalesce(html, '')) AS digest, strlen(coalesce(html, '')) AS n FROM pages))
+"""

@@ -120,26 +120,28 @@ def schedule(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", te
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """The documents as often as the mixture has them, with __pass, __block, __at, __place (0 to 1) and __order added."""
+    """The documents as often as the mixture has them: doc (a struct of all their columns), pass, block, at, place (0 to 1), order."""
     turns, blocks = schedule(docs, doc_id, source, text)
-    of = blocks["__s"].eqNullSafe(docs[source])
-    placed = docs.join(F.broadcast(blocks), of).withColumn("__block", F.pmod(_number(_hash(docs[doc_id])), F.col("__of"))).drop("__s", "__of")
-    turns = turns.select(*(F.col(c).alias(n) for c, n in (("src", "__src"), ("pass", "__pass"), ("block", "__b"), ("at", "__at"), ("budget", "__budget"), ("upto", "__upto"))))
-    met = placed.join(turns, placed[source].eqNullSafe(F.col("__src")) & (F.col("__block") == F.col("__b")))
-    met = met.withColumn("__order", _hash(F.col(doc_id), F.col("__pass"))).where("__upto IS NULL OR __order <= __upto")
-    place = F.when(F.col("__budget") > 0, F.col("__at") / F.col("__budget")).otherwise(F.lit(0.0))
-    return met.withColumn("__place", place).drop("__src", "__b", "__budget", "__upto")
+    rows = docs.select(F.struct(*[docs[c].alias(c) for c in docs.columns]).alias("doc"))
+    mine = F.col("doc").getField(source)
+    named = F.col("doc").getField(doc_id)
+    placed = rows.join(F.broadcast(blocks), blocks["__s"].eqNullSafe(mine)).select("doc", F.pmod(_number(_hash(named)), F.col("__of")).alias("block"))
+    turns = turns.select(F.col("block").alias("b"), "src", "pass", "at", "budget", "upto")
+    met = placed.join(turns, mine.eqNullSafe(F.col("src")) & (F.col("block") == F.col("b")))
+    place = F.when(F.col("budget") > 0, F.col("at") / F.col("budget")).otherwise(F.lit(0.0))
+    met = met.select("doc", "pass", "block", "at", place.alias("place"), _hash(named, F.col("pass")).alias("order"), "upto")
+    return met.where("upto IS NULL OR order <= upto").drop("upto")
 
 
 def in_order(docs: DataFrame) -> DataFrame:
-    """The mixture's documents, with their own columns, in its order."""
-    spread = mixed(docs).repartitionByRange("__place", "__order").sortWithinPartitions("__place", "__order")
-    return spread.select(docs.columns)
+    """The mixture's documents, with their own columns whatever their names, in its order."""
+    spread = mixed(docs).repartitionByRange("place", "order").sortWithinPartitions("place", "order")
+    return spread.select("doc.*")
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "source", "text")
-    return mixed(docs).select("doc_id", "source", F.col("__pass").alias("pass"), F.col("__block").alias("block"), F.col("__at").alias("begins"))
+    return mixed(docs).select("doc.doc_id", "doc.source", "pass", "block", F.col("at").alias("begins"))
 
 
 ORACLE = f"""
@@ -185,7 +187,7 @@ WITH RECURSIVE lean AS (
   SELECT doc_id, b.source, pass, b.block, begins, begins + size > b.budget AS ends, b.budget - begins AS room, p.tokens,
     md5(concat_ws('|', coalesce(doc_id::VARCHAR, ''), pass)) AS ord
   FROM begun b JOIN placed p ON b.source IS NOT DISTINCT FROM p.source AND b.block = p.block
-  WHERE begins < b.budget OR b.total = 0
+  WHERE begins < b.budget OR b.total = 0 OR (b.size = 0 AND (pass + 1) * b.total <= b.budget)
 )
 SELECT doc_id, source, pass, block, begins
 FROM (SELECT *, sum(tokens) OVER (PARTITION BY source, pass, block ORDER BY ord) AS upto FROM met)

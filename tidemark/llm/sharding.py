@@ -6,7 +6,7 @@ thus shared out evenly, and few slots change hands when a shard comes or goes. T
 (its size is a parameter, some hundred slots per shard) and broadcast; a key's slot is a hash, so placing a row is one lookup.
 
 Defined results: a null key is placed as the empty text; repeated keys share a shard; an empty table gives no rows. Shards must be
-distinct and fewer than slots. Only the key column is read.
+distinct and fewer than slots. Columns slot and shard of the rows' own give way to those added; all others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -50,11 +50,11 @@ def place(rows: DataFrame, key: str, shards: tuple[str, ...] = SHARDS, slots: in
     listed = ",".join(map(str, lookup_table(shards, slots)))
     table = spark.range(1).select(F.posexplode(F.split(F.lit(listed), ",")).alias("__slot", "__owner"))
     names = F.array(*[F.lit(s) for s in shards])
-    table = table.select("__slot", F.element_at(names, F.col("__owner").cast("int") + 1).alias("__shard"))
-    kept = [rows[c] for c in rows.columns if c not in ("slot", "shard")]
-    slotted = rows.select(*kept, slot_of(rows[key], slots).alias("slot"))
-    found = slotted.join(F.broadcast(table), F.col("slot") == F.col("__slot"))  # at most MOST_SLOTS rows
-    return found.select(*[c for c in rows.columns if c not in ("slot", "shard")], "slot", F.col("__shard").alias("shard"))
+    table = table.select("__slot", F.element_at(names, F.col("__owner").cast("int") + 1).alias("shard"))
+    kept = [c for c in rows.columns if c not in ("slot", "shard")]
+    slotted = rows.select(*[rows[c] for c in kept], slot_of(rows[key], slots).alias("slot"))
+    found = slotted.join(F.broadcast(table), slotted["slot"] == table["__slot"])  # at most MOST_SLOTS rows
+    return found.select(*[slotted[c] for c in kept], slotted["slot"], table["shard"])
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

@@ -117,7 +117,7 @@ def _searched(k: int):
                 kept = best[i] if len(heap) < k else min(best[i], (heap[0][0] ** 2) * (1 + 1e-9))
                 near = np.flatnonzero((lower[i] <= kept) & ~own[i])
                 away = c.x[near] - q.x[at + i]
-                distance = np.sqrt((away * away).sum(1))
+                distance = np.sqrt(np.cumsum(away * away, 1)[:, -1])  # added up in order, as SQL does
                 for d, v in zip(distance.tolist(), c.ids[near].tolist()):
                     entry = (-d, -v)
                     if len(heap) < k:
@@ -163,7 +163,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = NEAREST, vec_id:
     left = materialize(numbered.withColumn("part", dense), "groups")
     left = left.select("part", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.col("width"), *[F.col(c).alias(f"q_{c}") for c in asked.columns])
     every = F.explode(F.sequence(F.lit(0), F.lit(max(parts, 1) - 1))).alias("part")
-    right = tiles.select(every, F.pmod(F.monotonically_increasing_id(), F.lit(slices)).cast("int").alias("slice"), F.col("width"), *[F.col(c).alias(f"c_{c}") for c in tiles.columns])
+    right = tiles.select(every, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(slices)).cast("int").alias("slice"), F.col("width"), *[F.col(c).alias(f"c_{c}") for c in tiles.columns])
     met = left.hint("merge").join(right, ["part", "slice", "width"])
     best = met.mapInArrow(_searched(k), "query_id long, vec_id long, score double").distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
@@ -173,3 +173,12 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = NEAREST, vec_id:
 def query(spark: SparkSession, folder: str) -> DataFrame:
     vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
     return nearest(vectors.where("vec_id % 100 = 0"), vectors)
+
+
+ORACLE = """
+WITH fit AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+far AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum(list_transform(list_zip(q.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS score
+  FROM fit q JOIN fit c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v))
+SELECT query_id, nth::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS nth FROM far) WHERE nth <= 10
+"""

@@ -186,7 +186,8 @@ def near_pairs(words: DataFrame, most: int = LIST) -> DataFrame:
         if out:
             yield flush()
 
-    dealt = lists(words, most).repartition("key").sortWithinPartitions("key", "rest")
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number given: little is read for much work
+    dealt = lists(words, most).repartition(tasks, "key").sortWithinPartitions("key", "rest")
     return dealt.mapInArrow(run, PAIRS)
 
 

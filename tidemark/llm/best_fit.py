@@ -17,6 +17,7 @@ empty table gives no rows. Other columns are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.byte_words import spelled
 from tidemark.llm.shipping import ship
 from tidemark.session import materialize
 
@@ -38,12 +40,16 @@ Configuration = tuple[tuple[int, int], ...]  # (length, how often), longest firs
 
 
 class WordIds(dict):
-    """Token ids of texts as bytes of 32-bit numbers, for a tokenizer that never joins what a space separates.
+    """Token ids of texts as bytes of 32-bit numbers, for a lower-casing tokenizer that never joins what white space separates.
 
-    Every distinct word is tokenized once; a worker process keeps one bounded table for all its tasks.
+    The tokenizer divides a text into endings after an apostrophe, runs of letters, digits and runs of marks. Where a text holds ASCII
+    and Latin letters only, the same division is made here, and the model turns each distinct run into ids once. Other words
+    go through the whole tokenizer. A worker process keeps one bounded table for all its tasks.
     """
 
-    LIMIT = 500_000
+    LIMIT = 250_000
+    PLAIN = re.compile(r"[\x20-;=-{}~\t\n\rÀ-ÖØ-öø-ÿ]*")  # without what may open a special token
+    RUNS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[!-/:;=-@\[-`{}~]+")
     kept: dict[str, WordIds] = {}
 
     def __init__(self, path: str) -> None:
@@ -51,6 +57,8 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.each = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
     @classmethod
     def at(cls, path: str) -> WordIds:
@@ -58,16 +66,28 @@ class WordIds(dict):
             cls.kept[path] = cls(path)
         return cls.kept[path]
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) < 100:
-            self[word] = found
-        return found
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def of(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.split(" ")))
+        if self.PLAIN.fullmatch(text):
+            runs = self.RUNS.findall(text.lower())
+        else:
+            runs = []
+            for word in text.split(" "):
+                runs += self.RUNS.findall(word.lower()) if self.PLAIN.fullmatch(word) else [word]
+        if len(self) > self.LIMIT:
+            self.clear()
+        return b"".join(map(self.__getitem__, runs))
+
+    def __missing__(self, run: str) -> bytes:
+        if self.RUNS.fullmatch(run):  # one word for the model
+            each = self.each
+            packed = b"".join([each[t.id] for t in self.model.tokenize(spelled(run))])
+        else:
+            packed = self.whole(run)
+        self[run] = packed
+        return packed
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -254,7 +274,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
         return docs.sparkSession.createDataFrame([], RESULT)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     based = counted.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    numbered = held.join(based, ["part", "length"]).withColumn("number", F.col("base") + F.col("nth"))
+    numbered = held.join(based.hint("merge"), ["part", "length"]).withColumn("number", F.col("base") + F.col("nth"))
     return place(numbered, slots(configurations(histogram, window)))
 
 

@@ -123,6 +123,8 @@ def test_sharding(spark):
     rows = spark.createDataFrame([(None, "a", 1), (5, "b", 2), (5, "c", 3)], "k long, slot string, shard int")
     placed = sharding.place(rows, "k")
     assert placed.columns == ["k", "slot", "shard"] and placed.count() == 3 and placed.select("k", "shard").distinct().count() == 2
+    clashing = spark.createDataFrame([(1, "x", "y", "z")], "k long, __slot string, __owner string, __shard string")
+    assert [tuple(r)[:4] for r in sharding.place(clashing, "k").collect()] == [(1, "x", "y", "z")]
     with pytest.raises(ValueError):
         sharding.lookup_table(("a", "a"), 7)
     with pytest.raises(ValueError):
@@ -153,11 +155,11 @@ def test_mixing_keeps_wordless_blocks_at_the_end_of_a_pass(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK_TOKENS", 100)
     rows = [(100 * s + i, "word " * 100 if i < 4 else "", f"src{s}") for s in range(20) for i in range(12)]
     got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
-    assert sorted(got.doc_id) == [r[0] for r in rows] and got["__place"].max() <= 1
+    assert sorted(d["doc_id"] for d in got.doc) == [r[0] for r in rows] and got["place"].max() <= 1
 
 
 def test_mixing_keeps_columns_of_any_name(spark):
-    names = ["s", "of", "budget", "upto", "src", "id", "tokens", "total", "passes", "repeats", "blocks", "pass", "block", "at", "size", "turn", "left", "order", "b", "p", "sum"]
+    names = ["s", "of", "budget", "upto", "src", "id", "tokens", "total", "passes", "repeats", "blocks", "pass", "block", "at", "size", "turn", "left", "order", "b", "p", "sum", "doc", "__order", "__pass", "__block", "__at", "__place", "__s", "__of"]
     rows = [(i, "word " * (1 + i % 7), "big" if i % 5 else "small", *(f"{n}{i}" for n in names)) for i in range(50)]
     docs = spark.createDataFrame(rows, ", ".join(["doc_id long, text string, source string", *(f"`{n}` string" for n in names)]))
     ordered = mixing.in_order(docs)

@@ -318,3 +318,21 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
     return similarity_groups(spark.read.parquet(f"{folder}/documents.parquet"))
+
+
+#: Pairs meet where they share a shingle; equal sets are one row until the end.
+ORACLE = r"""
+WITH RECURSIVE words AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (SELECT doc_id, CASE WHEN coalesce(len(w), 0) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words),
+sorted AS MATERIALIZED (SELECT doc_id, list_sort(s) AS s FROM sets),
+reps AS MATERIALIZED (SELECT min(doc_id) AS rep, len(s) AS n, s FROM sorted WHERE len(s) > 0 GROUP BY s),
+flat AS MATERIALIZED (SELECT rep, n, unnest(s) AS x FROM reps),
+links AS MATERIALIZED (SELECT a.rep AS a, b.rep AS b FROM flat a JOIN flat b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+linked AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT rep, rep FROM reps UNION SELECT r.a, l.b FROM reach r JOIN linked l ON l.a = r.b)
+SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(least, s.doc_id) AS component_id FROM sorted s LEFT JOIN reps r ON r.s = s.s
+LEFT JOIN (SELECT a, min(b) AS least FROM reach GROUP BY a) c ON c.a = r.rep
+"""

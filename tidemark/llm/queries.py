@@ -38,8 +38,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_best_fit": best_fit.query,
 }
 ORACLES: dict[str, str] = {
+    "op1_warc_bundles": warc.ORACLE,
+    "op2_lattice_dedup": lattice_dedup.ORACLE,
     "op5_mixing": mixing.ORACLE,
+    "op7_block_knn": block_knn.ORACLE,
     "op8_sharding": sharding.ORACLE,
+    "op9_suffix_dedup": suffix_dedup.ORACLE,
+    "op10_jaccard_join": jaccard_join.ORACLE,
     "op11_centroids": centroids.ORACLE,
     "op12_spelling": spelling.ORACLE,
 }

@@ -230,3 +230,18 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
     return removal_report(spark.read.parquet(f"{folder}/documents.parquet"))
+
+
+#: Strings are taken as hex text, two characters a byte; a string's first place is the least of its copies.
+ORACLE = """
+WITH texts AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS MATERIALIZED (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS s FROM (SELECT doc_id, h, unnest(range(len(h) // 2 - 99)) AS i FROM texts WHERE len(h) >= 200)),
+again AS MATERIALIZED (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS nth FROM strings) WHERE nth > 1),
+islands AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g
+  FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS fresh FROM again)) GROUP BY doc_id, g),
+gaps AS (SELECT doc_id, b AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM islands UNION ALL SELECT doc_id, 0, min(a) FROM islands GROUP BY doc_id),
+kept AS (SELECT g.doc_id, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, len(h) // 2) - a)), '' ORDER BY a) AS k FROM gaps g JOIN texts t ON t.doc_id = g.doc_id GROUP BY g.doc_id),
+runs AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed FROM islands GROUP BY doc_id)
+SELECT t.doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM texts t LEFT JOIN kept k ON k.doc_id = t.doc_id LEFT JOIN runs r ON r.doc_id = t.doc_id
+"""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import jsondoc, temporal, text
 from tidemark.operators import skew
 from tidemark.operators.filters import at
+from tidemark.sources import wire
 
 EVENT = ["project_id", "event_id"]
 MAX_ATTEMPTS = 8
@@ -88,7 +89,7 @@ def read_deliveries(messages: DataFrame, outbox: DataFrame, inbox: DataFrame, va
     """Decode delivered messages and name each failure.
 
     ``error_type`` is NULL for a sound delivery, which then carries the receipt
-    time of the inbox. A message may come many times, so equal messages are merged
+    time of the inbox. A payload with an unknown member or a member of another type is refused like broken JSON. A message may come many times, so equal messages are merged
     first; an event with very many different messages is divided over tasks.
     """
     envelope = F.from_json(value, ENVELOPE)
@@ -98,8 +99,8 @@ def read_deliveries(messages: DataFrame, outbox: DataFrame, inbox: DataFrame, va
         .withColumn("__e", envelope)
         .select("value", "__e.project_id", "__e.event_id", "__e.payload")
     )
-    valid = F.try_parse_json("payload").isNotNull()
-    checked = decoded.withColumn("__valid", F.coalesce(valid, F.lit(False))).withColumn(
+    document = F.try_parse_json("payload")
+    checked = decoded.withColumn("__json", document.isNotNull()).withColumn("__valid", wire.is_event(document)).withColumn(
         "__payload_id", F.when(F.col("__valid"), F.lower(jsondoc.text_member(F.col("payload"), "eventId")))
     )
     known = outbox.select(*EVENT, F.lit(True).alias("__known")).join(inbox.select(*EVENT, "received_at"), EVENT, "left")
@@ -112,7 +113,8 @@ def read_deliveries(messages: DataFrame, outbox: DataFrame, inbox: DataFrame, va
         )
     )
     message = (
-        F.when(~F.col("__valid"), F.lit("The message's payload is no JSON."))
+        F.when(~F.col("__json"), F.lit("The message's payload is no JSON."))
+        .when(~F.col("__valid"), F.lit("The message's payload is no event."))
         .when(
             ~F.col("__payload_id").eqNullSafe(F.lower("event_id")),
             F.lit("Envelope and payload name different events."),

@@ -269,12 +269,12 @@ BODIES: dict[str, str] = {
           WHEN 4 THEN 'batch too large' END AS batch_error FROM b)
         SELECT batch, batch_error, CAST(0 AS INTEGER) AS ordinal, CAST(NULL AS VARCHAR) AS event FROM f WHERE batch_error IS NOT NULL
         UNION ALL SELECT batch, batch_error, CAST(unnest(range(len(ids))) AS INTEGER), '{"eventId":"' || unnest(ids) || '"}' FROM f WHERE batch_error IS NULL""",
-    "saved_view_upsert": f"""SELECT CAST(n_nationkey AS VARCHAR) AS id, 'p' || CAST(n_nationkey % 3 AS VARCHAR) AS project_id,
-          CAST(n_regionkey AS VARCHAR) AS user_id, CASE WHEN n_nationkey = 3 THEN 'North' ELSE n_name END AS name,
-          CASE WHEN n_nationkey = 3 THEN '{{"eventType":"view"}}' ELSE '{{"eventType":"' || ['view', 'click', 'purchase'][CAST(n_nationkey % 3 + 1 AS INTEGER)] || '"}}' END AS definition,
-          TIMESTAMP '2024-01-01' AS created_at, CASE WHEN n_nationkey = 3 THEN {NOW} ELSE TIMESTAMP '2024-01-01' END AS updated_at FROM nation""",
-    "saved_view_list": """SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, '{"eventType":"click"}' AS definition
-        FROM nation WHERE n_nationkey % 3 = 1 AND n_regionkey = 1""",
+    "saved_view_upsert": f"""SELECT CAST(c_custkey AS VARCHAR) AS id, 'p' || CAST(c_custkey % 3 AS VARCHAR) AS project_id,
+          CAST(c_custkey % 40 AS VARCHAR) AS user_id, CASE WHEN c_custkey = 3 THEN 'North' ELSE c_name END AS name,
+          CASE WHEN c_custkey = 3 THEN '{{"eventType":"view"}}' ELSE '{{"eventType":"' || ['view', 'click', 'purchase'][CAST(c_custkey % 3 + 1 AS INTEGER)] || '"}}' END AS definition,
+          TIMESTAMP '2024-01-01' AS created_at, CASE WHEN c_custkey = 3 THEN {NOW} ELSE TIMESTAMP '2024-01-01' END AS updated_at FROM customer""",
+    "saved_view_list": """SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, '{"eventType":"click"}' AS definition
+        FROM customer WHERE c_custkey % 3 = 1 AND c_custkey % 40 = 1""",
     "schema_list": "SELECT event_type, 1 AS version, '{}' AS definition FROM registered WHERE project_id = 'p1'",
     "audit_append": f"""SELECT o_orderkey AS id, {NOW} AS occurred_at, 'operator' AS actor, 'p' || CAST(o_custkey % 3 AS VARCHAR) AS project_id,
         'order.change' AS action, substr(repeat(CAST(o_custkey AS VARCHAR), 80), 1, 200) AS target, '{{}}' AS details FROM orders""",
@@ -389,8 +389,9 @@ BODIES: dict[str, str] = {
         WHERE published_at IS NULL AND completed_at IS NULL AND dead_lettered_at IS NULL AND next_attempt_at <= {NOW}""",
     "broker_deliveries": """SELECT project_id, CASE WHEN n % 40 = 9 THEN 'x' || event_id ELSE event_id END AS event_id,
           CASE WHEN n % 40 = 9 THEN NULL ELSE received_at END AS received_at,
-          CASE n % 40 WHEN 11 THEN 'JsonException' WHEN 7 THEN 'InvalidOperationException' WHEN 9 THEN 'InvalidOperationException' END AS error_type,
-          CASE n % 40 WHEN 11 THEN 'The message''s payload is no JSON.' WHEN 7 THEN 'Envelope and payload name different events.'
+          CASE n % 40 WHEN 11 THEN 'JsonException' WHEN 13 THEN 'JsonException' WHEN 17 THEN 'JsonException' WHEN 7 THEN 'InvalidOperationException' WHEN 9 THEN 'InvalidOperationException' END AS error_type,
+          CASE n % 40 WHEN 11 THEN 'The message''s payload is no JSON.'
+            WHEN 13 THEN 'The message''s payload is no event.' WHEN 17 THEN 'The message''s payload is no event.' WHEN 7 THEN 'Envelope and payload name different events.'
             WHEN 9 THEN 'No outbox row has this event.' END AS message FROM ev""",
     "outbox_transition": """, t AS (SELECT *, n % 6 IN (0, 1, 4) AS hit, attempts + CASE WHEN n % 6 IN (0, 1, 4) THEN 1 ELSE 0 END AS tries,
             created_at + INTERVAL 1 DAY AS failed_at FROM outb),
@@ -402,8 +403,8 @@ BODIES: dict[str, str] = {
           CASE WHEN hit THEN CASE WHEN n % 5 = 0 THEN 'FormatException' ELSE 'IOException' END || ': delivery ' || CAST(n AS VARCHAR)
             ELSE last_error END AS last_error FROM d""",
     "outbox_complete": f"""SELECT project_id, event_id,
-          CASE WHEN n % 40 IN (7, 9, 11) THEN completed_at ELSE coalesce(completed_at, {NOW}) END AS completed_at,
-          CASE WHEN n % 40 IN (7, 9, 11) THEN last_error END AS last_error FROM outb""",
+          CASE WHEN n % 40 IN (7, 9, 11, 13, 17) THEN completed_at ELSE coalesce(completed_at, {NOW}) END AS completed_at,
+          CASE WHEN n % 40 IN (7, 9, 11, 13, 17) THEN last_error END AS last_error FROM outb""",
     "dead_letters": """SELECT event_id, project_id, created_at, attempts, last_error, dead_lettered_at FROM outb
         WHERE dead_lettered_at IS NOT NULL""",
     "dead_letter_replay": f""", r AS (SELECT *, dead_lettered_at IS NOT NULL AND project_id = 'p1' AS hit FROM outb)
@@ -419,8 +420,8 @@ BODIES: dict[str, str] = {
     "saved_view_run": SUMMARY.format(
         "k = 5 AND event_type = 'view' AND occurred_at >= TIMESTAMP '2024-01-03' AND occurred_at < TIMESTAMP '2024-01-20'"
     ),
-    "saved_view_counts": """, v AS (SELECT 'p' || CAST(n_nationkey % 3 AS VARCHAR) AS project_id, CAST(n_regionkey AS VARCHAR) AS user_id,
-          n_name AS name, ['view', 'click', 'purchase'][CAST(n_nationkey % 3 + 1 AS INTEGER)] AS event_type FROM nation)
+    "saved_view_counts": """, v AS (SELECT 'p' || CAST(c_custkey % 3 AS VARCHAR) AS project_id, CAST(c_custkey % 40 AS VARCHAR) AS user_id,
+          c_name AS name, ['view', 'click', 'purchase'][CAST(c_custkey % 3 + 1 AS INTEGER)] AS event_type FROM customer)
         SELECT v.project_id, v.user_id, v.name, v.event_type, count(e.event_id) AS events FROM v
         LEFT JOIN ev e ON e.project_id = v.project_id AND e.event_type = v.event_type GROUP BY ALL""",
     "project_catalog": """SELECT m.user_id, m.project_id, coalesce(nullif(p.name, ''), p.id) AS display_name, m.can_demo, m.can_manage
@@ -491,6 +492,9 @@ BODIES["stream_gauges"] = DELIVERY + """, seen AS (SELECT *, done IS NULL AND de
 BODIES["retention_in_place"] = BODIES["retention_survivors"]
 BODIES["subject_erasure_in_place"] = BODIES["subject_erasure"].split("UNION ALL SELECT 'erased'")[0]
 BODIES["membership_upsert_stored"] = BODIES["membership_upsert"]
+BODIES["timeline_cursor"] = """, page AS (SELECT event_id, occurred_at FROM ev WHERE project_id = 'p1' ORDER BY occurred_at, event_id LIMIT 1 OFFSET 49)
+        SELECT base64(encode('{"scope": "' || upper(sha256('{"end": "2024-02-01T00:00:00", "event_type": null, "project": "p1", "property_name": null, "property_value": null, "start": "2024-01-01T00:00:00", "user_id": null}'))
+          || '", "at": "' || replace(strftime(occurred_at, '%Y-%m-%dT%H:%M:%S.%f'), '.000000', '') || '", "id": "' || event_id || '"}')) AS cursor, occurred_at AS at, event_id FROM page"""
 BODIES["timeline_by_day"] = BODIES["timeline_next_page"]
 BODIES["stream_mirror_merged"] = BODIES["stream_mirror"]
 BODIES["identity_lookup_bucketed"] = BODIES["identity_lookup"]

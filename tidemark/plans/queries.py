@@ -153,6 +153,15 @@ def timeline_next_page(spark, sf):
     return explorer.timeline(td.events(spark, sf), scope, 100, after)
 
 
+@query
+def timeline_cursor(spark, sf):
+    """The cursor after the first fifty events, and the place it is read as."""
+    scope = EventFilter("p1", START, END)
+    _, cursor = explorer.timeline_page(td.events(spark, sf), scope, 50)
+    place = explorer.Cursor.decode(cursor, scope)
+    return spark.createDataFrame([(cursor, place.at, place.event_id)], "cursor STRING, at TIMESTAMP_NTZ, event_id STRING")
+
+
 @query
 def timeline_by_day(spark, sf):
     """The same page from a table in days, of which it reads one or two."""

@@ -2,7 +2,7 @@
 
 Every derivation is a fixed rule of the source row, so that the same table can be
 stated in SQL. Tables the driver does not provide are derived from ``events``,
-``customer``, ``orders`` and ``nation``.
+``customer`` and ``orders``.
 """
 
 from __future__ import annotations
@@ -200,14 +200,17 @@ def broker_failures(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def broker_deliveries(spark: SparkSession, folder: str) -> DataFrame:
-    """Delivered messages: n % 40 = 7 carries another event's payload, n % 40 = 9 names an unknown event, n % 40 = 11 is broken JSON."""
+    """Delivered messages: n % 40 = 7 carries another event's payload, n % 40 = 9 names an unknown event, n % 40 = 11 is broken JSON,
+    n % 40 = 13 has a member too many, n % 40 = 17 a version that is text."""
     return _with_payload(_base(spark, folder)).selectExpr(
         """to_json(named_struct(
             'project_id', project_id,
             'event_id', CASE WHEN n % 40 = 9 THEN concat('x', event_id) ELSE event_id END,
             'payload', CASE WHEN n % 40 = 7 THEN replace(payload, event_id, 'other')
                             WHEN n % 40 = 9 THEN replace(payload, event_id, concat('x', event_id))
-                            WHEN n % 40 = 11 THEN substr(payload, 1, 20) ELSE payload END)) AS value"""
+                            WHEN n % 40 = 11 THEN substr(payload, 1, 20)
+                            WHEN n % 40 = 13 THEN concat('{"more":1,', substr(payload, 2))
+                            WHEN n % 40 = 17 THEN replace(payload, '"schemaVersion":1', '"schemaVersion":"1"') ELSE payload END)) AS value"""
     )
 
 
@@ -229,12 +232,13 @@ def event_schemas(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def saved_views(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "nation").selectExpr(
-        "CAST(n_nationkey AS STRING) AS id",
-        "concat('p', n_nationkey % 3) AS project_id",
-        "CAST(n_regionkey AS STRING) AS user_id",
-        "n_name AS name",
-        """concat('{"eventType":"', element_at(array('view', 'click', 'purchase'), n_nationkey % 3 + 1), '"}') AS definition""",
+    """One definition per customer."""
+    return table(spark, folder, "customer").selectExpr(
+        "CAST(c_custkey AS STRING) AS id",
+        "concat('p', c_custkey % 3) AS project_id",
+        "CAST(c_custkey % 40 AS STRING) AS user_id",
+        "c_name AS name",
+        """concat('{"eventType":"', element_at(array('view', 'click', 'purchase'), CAST(c_custkey % 3 + 1 AS INT)), '"}') AS definition""",
         "TIMESTAMP_NTZ '2024-01-01 00:00:00' AS created_at",
         "TIMESTAMP_NTZ '2024-01-01 00:00:00' AS updated_at",
     )

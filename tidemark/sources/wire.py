@@ -104,6 +104,25 @@ def _typed(opened: DataFrame) -> DataFrame:
     ).drop("__occurred", *kinds, *texts)
 
 
+def is_event(document: Column) -> Column:
+    """Whether a parsed document (variant) is an event by its members alone: no unknown one, each of its type. Ids need not be GUIDs."""
+
+    def fits(entry: Column) -> Column:
+        name, value = F.lower(entry["key"]), entry["value"]
+        kind = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+        text = F.try_variant_get(value, "$", "string")
+        return (
+            F.when(name == "eventid", kind == "STRING")
+            .when(name.isin("eventtype", "userid", "anonymousid", "sessionid"), kind.isin("STRING", "VOID"))
+            .when(name == "schemaversion", (kind == "BIGINT") & text.try_cast("int").isNotNull())
+            .when(name == "occurredat", (kind == "VOID") | ((kind == "STRING") & temporal.parse_instant(text).isNotNull()))
+            .otherwise(name == "properties")
+        )
+
+    members = F.map_entries(F.try_variant_get(document, "$", "map<string,variant>"))
+    return F.coalesce(F.forall(members, fits), F.lit(False))
+
+
 def explode_batches(batches: DataFrame, value: str = "value") -> DataFrame:
     """``{"events": [...]}`` envelopes to one row per event with ``ordinal`` and the raw event text.
 

@@ -54,9 +54,9 @@ def latest(mirror: DataFrame) -> DataFrame:
 def pending(queue: DataFrame, events: DataFrame, batch_size: int | None = None) -> DataFrame:
     """Queued events not yet delivered; a bounded claim takes the oldest entries."""
     work = queue.where(F.col("completed_at").isNull()).select(*EVENT, "created_at")
-    rows = work.join(events, EVENT).orderBy("created_at", *EVENT)
+    rows = work.join(events, EVENT)
     if batch_size is not None:
-        rows = rows.limit(batch_size)
+        rows = rows.orderBy("created_at", *EVENT).limit(batch_size)
     return rows.drop("created_at")
 
 

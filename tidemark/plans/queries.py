@@ -25,7 +25,7 @@ from tidemark.operators import (
     validation,
 )
 from tidemark.operators.filters import EventFilter
-from tidemark.session import scratch_path
+from tidemark.session import scratch_path, spread
 from tidemark.sources import parts, store, stored, synthetic, wire
 from tidemark.sources import testdata as td
 from tidemark.streaming import broker, jobs
@@ -190,7 +190,7 @@ def canonical_fingerprint(spark, sf):
 
 @query
 def validate_errors(spark, sf):
-    decoded = wire.decode_events(td.wire_frames(spark, sf))
+    decoded = wire.decode_events(spread(td.wire_frames(spark, sf)))
     checked = validation.validate(decoded, F.col("received_at"))
     return (
         checked.select(
@@ -206,7 +206,7 @@ def validate_errors(spark, sf):
 @query
 def wire_canonical(spark, sf):
     """Accepted wire events with their normalised type, time and properties."""
-    decoded = wire.decode_events(td.wire_frames(spark, sf))
+    decoded = wire.decode_events(spread(td.wire_frames(spark, sf)))
     accepted, _ = validation.split_accepted(validation.validate(decoded, F.col("received_at")))
     return canonical.canonicalize(accepted, parsed=True).select(
         F.col("n").alias("source_event"), "event_id", "event_type", "occurred_at", "user_id", "properties"
@@ -216,7 +216,7 @@ def wire_canonical(spark, sf):
 @query
 def browser_policy(spark, sf):
     """Wire events against the browser rule: allowed types and source only."""
-    decoded = wire.decode_events(td.wire_frames(spark, sf))
+    decoded = wire.decode_events(spread(td.wire_frames(spark, sf)))
     checked = validation.validate(decoded, F.col("received_at"), browser_only=True)
     failed = F.filter("errors", lambda e: e["field"].isin("properties.source", "eventType"))
     return (

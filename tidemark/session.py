@@ -94,3 +94,9 @@ def child_folders(spark: SparkSession, path: str, committed: bool = False) -> li
 def remove_folder(spark: SparkSession, path: str) -> None:
     files, place = _filesystem(spark, path)
     files.delete(place, True)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores where they come in fewer partitions and each is costly to work on; as they are otherwise."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)

@@ -80,6 +80,16 @@ def test_insert_adds_absent_keys_only(spark, tmp_path):
     assert content(held.read()) == [(1, 1), (2, 1), (3, 2)]
 
 
+def test_rows_without_a_part_have_one_of_their_own(spark, tmp_path):
+    held = table(spark, tmp_path)
+    lost = spark.createDataFrame([(7, 0)], SCHEMA).withColumn(parts.PART, F.lit(None).cast("string"))
+    held.append(lost)
+    assert held.parts() == [parts.NONE]
+    assert parts.upsert(held, lost.withColumn("v", F.lit(1).cast("bigint")), ["k"]) == [parts.NONE]
+    parts.insert(held, lost, ["k"])
+    assert content(held.read()) == [(7, 1)]
+
+
 def test_buckets_are_spread(spark):
     found = spark.range(5000).select(parts.bucket(["id"], 64).alias("b")).groupBy("b").count().collect()
     assert len(found) == 64 and max(r["count"] for r in found) < 200 and all(len(r.b) == 5 for r in found)

@@ -7,7 +7,7 @@ changes) is left out. A table has one writer at a time; a reader keeps its versi
 
 Additions go beside what a part holds. Once ``MOST`` folders of one level have come together they are merged to one of the
 next level, so a part consists of few folders and a row is rewritten a logarithmic number of times. Lists have a
-row per folder of a part, never per row of data.
+row per folder of a part, never per row of data. Names of parts are plain: letters, digits, ``-`` and ``_``.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tidemark import schemas
 from tidemark.session import child_folders, remove_folder
 
-PART = "__part"
+PART, NONE = "__part", "none"
 LISTED = "part STRING, version BIGINT, level INT, writer STRING, number BIGINT"
 MOST, KEPT = 8, 2
 Folders = dict[str, list[tuple[int, int]]]  # part to (version, level)
@@ -32,6 +32,11 @@ def bucket(keys: list[str], buckets: int) -> Column:
     return F.lpad(F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("string"), 5, "0")
 
 
+def named(rows: DataFrame) -> DataFrame:
+    """Rows without a part belong to one of that name."""
+    return rows.withColumn(PART, F.coalesce(F.col(PART), F.lit(NONE)))
+
+
 class Parts:
     def __init__(
         self, spark: SparkSession, root: str, schema: str, combine: Callable[[DataFrame], DataFrame] | None = None, options: dict[str, str] | None = None, kept: int = KEPT
@@ -111,7 +116,7 @@ class Parts:
             full = [level for level in set(levels) if levels.count(level) >= MOST]
             if full:
                 merged[part] = min(full)
-        rows = rows.select(*self.columns, PART)
+        rows = named(rows.select(*self.columns, PART))
         if merged:
             rows = rows.unionByName(self._rows((p, v) for p, level in merged.items() for v, at in held[p] if at == level))
             rows = self.combine(rows).select(*self.columns, PART) if self.combine else rows
@@ -163,7 +168,7 @@ class Parts:
 
 def touched(rows: DataFrame) -> list[str]:
     """The parts of some rows: as many as the table has parts at most."""
-    return [r[PART] for r in rows.select(PART).distinct().collect()]
+    return [r[PART] for r in named(rows.select(PART)).distinct().collect()]
 
 
 def upsert(table: Parts, changes: DataFrame, keys: list[str], writer: str | None = None, number: int = 0) -> list[str]:
@@ -171,6 +176,7 @@ def upsert(table: Parts, changes: DataFrame, keys: list[str], writer: str | None
 
     ``changes`` carries ``__part``, a function of the keys, and each key once.
     """
+    changes = named(changes)
     parts = touched(changes)
     kept = table.read(parts).join(changes.select(*keys, PART), [*keys, PART], "left_anti")
     table.rewrite(kept.unionByName(changes.select(*table.columns, PART)), parts, writer, number)
@@ -179,5 +185,6 @@ def upsert(table: Parts, changes: DataFrame, keys: list[str], writer: str | None
 
 def insert(table: Parts, rows: DataFrame, keys: list[str], writer: str | None = None, number: int = 0) -> None:
     """Rows whose keys the table does not hold are added. Only parts with new rows are read; ``rows`` carries ``__part`` and each key once."""
+    rows = named(rows)
     known = table.read(touched(rows)).select(*keys, PART)
     table.append(rows.join(known, [*keys, PART], "left_anti"), writer, number)

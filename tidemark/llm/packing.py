@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.byte_words import SPACE, spelled
 from tidemark.llm.shipping import ship
 
 WINDOW = 2048
@@ -36,12 +37,13 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class Ids(dict):
     """Token ids of texts, as bytes of 32-bit numbers; each distinct word is tokenized once.
 
-    Between words that one space separates the tokenizer's splits are independent, so the ids of a text are those of its words.
-    A text's new words are tokenized together. A text with adjoining white space, or with what may be a special token, goes
-    through the tokenizer as a whole. A worker process keeps one bounded table for all its tasks.
+    Between words that one space separates the tokenizer's splits are independent, so the ids of a text are those of its words; a single
+    line break inside a word is a split of its own. A word of letters, or of letters and a mark, is one split or two, which the model turns into ids.
+    Other words go through the tokenizer, and so does, as a whole, a text with adjoining white space or with what may be a special token.
+    A worker process keeps one bounded table for all its tasks.
     """
 
-    LIMIT = 700_000
+    LIMIT = 300_000
     kept: dict[str, Ids] = {}
 
     def __init__(self, path: str) -> None:
@@ -49,7 +51,10 @@ class Ids(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.each = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.marks = {m: self.whole(m) for m in ",."}
+        self.line = self.whole("\n")
         self._odd = re.compile(r"\s\s|<\|")
 
     @classmethod
@@ -61,24 +66,30 @@ class Ids(dict):
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        """Tokenize words as they follow a space, and remember them."""
-        split = [(w, w[:-1], w[-1]) for w in words if w[-1:] in (",", ".") and w[:-1].isalpha()]  # letters and a mark are two splits
-        plain = {base for _, base, _ in split if base not in self}
-        plain.update(w for w in words if w and not (w[0].isspace() or w[-1].isspace() or w[-1] in ",." and w[:-1].isalpha()))
-        plain = list(plain)
-        if plain:
-            found = self.tokenizer.encode(" " + " ".join(plain), add_special_tokens=False)
-            packed = np.array(found.ids, "<u4").tobytes()
-            begins = np.array([a for a, _ in found.offsets])
-            ends = np.cumsum([len(w) + 1 for w in plain])
-            upto = (4 * np.searchsorted(begins, ends)).tolist()
-            self.update(zip(plain, (packed[a:b] for a, b in zip([0, *upto], upto))))
-        for w, base, mark in split:
-            self[w] = self[base] + self.marks[mark]
-        for w in words:
-            if w not in self:
-                self[w] = self.whole(" " + w)
+    def spelt(self, word: str) -> bytes:
+        """Ids of a single split, written in the vocabulary's alphabet."""
+        each = self.each
+        return b"".join([each[t.id] for t in self.model.tokenize(word)])
+
+    def made(self, word: str, space: bool) -> bytes:
+        """Ids of a word that a space comes before, or none."""
+        mark = word[-1:]
+        base = word[:-1] if mark in self.marks else word
+        if base.isalpha():
+            found = self.spelt(SPACE + spelled(base) if space else spelled(base))
+            return found if base is word else found + self.marks[mark]
+        return self.whole(" " + word if space else word)
+
+    def __missing__(self, word: str) -> bytes:
+        if word.isalpha():
+            found = self.spelt(SPACE + spelled(word))
+        elif "\n" in word and all(lines := word.split("\n")):
+            first, *rest = lines
+            found = self.made(first, True) + b"".join([self.line + self.made(line, False) for line in rest])
+        else:
+            found = self.made(word, True)
+        self[word] = found
+        return found
 
     def of(self, text: str) -> np.ndarray:
         if self._odd.search(text):
@@ -86,9 +97,6 @@ class Ids(dict):
         first, *rest = text.split(" ")
         if len(self) > self.LIMIT:
             self.clear()
-        new = [w for w in set(rest) if w not in self]
-        if new:
-            self.learn(new)
         return np.frombuffer(self.whole(first) + b"".join(map(self.__getitem__, rest)), "<u4")
 
     def ends_sentence(self) -> np.ndarray:

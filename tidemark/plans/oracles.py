@@ -159,7 +159,7 @@ WIRE = """,
 w AS (SELECT *, n % 20 AS fault, '00000000-0000-4000-8000-' || event_id AS guid,
    (received_at - INTERVAL 7 DAY) > occurred_at AS late FROM ev),
 wv AS (SELECT *,
-   CASE WHEN fault IN (2, 7, 10, 13) THEN 'malformed'
+   CASE WHEN n % 400 = 14 THEN 'size' WHEN fault IN (2, 7, 10, 13) THEN 'malformed'
         WHEN late OR fault IN (1, 3, 5, 6, 11, 12) THEN 'validation' END AS reject_reason FROM w)"""
 
 BODIES: dict[str, str] = {
@@ -224,6 +224,8 @@ BODIES: dict[str, str] = {
           CASE WHEN fault = 12 THEN 'userId' END, CASE WHEN fault IN (3, 5, 6) THEN 'properties' END) AS fields
         FROM wv WHERE reject_reason = 'validation'
         UNION ALL
+        SELECT n, reject_reason, CASE WHEN late THEN 'occurredAt' ELSE '' END FROM wv WHERE reject_reason = 'size'
+        UNION ALL
         SELECT n, reject_reason, CASE fault
           WHEN 2 THEN CASE WHEN late THEN 'occurredAt' ELSE '' END
           WHEN 10 THEN CASE WHEN late THEN 'occurredAt' ELSE '' END

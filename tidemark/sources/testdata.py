@@ -353,7 +353,7 @@ def deliveries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def wire_frames(spark: SparkSession, folder: str) -> DataFrame:
-    """Raw JSON events with planted faults by n % 20, received with the event's receipt time."""
+    """Raw JSON events with planted faults by n % 20, received with the event's receipt time; n % 400 = 14 is too large."""
     base = _base(spark, folder).withColumn(
         "guid",
         F.expr("concat('00000000-0000-4000-8000-', event_id)"),
@@ -384,6 +384,7 @@ def wire_frames(spark: SparkSession, folder: str) -> DataFrame:
             F.lit(',"userId":'), F.when(fault == 12, F.lit('""')).otherwise(F.expr("""coalesce(concat('"', user_id, '"'), 'null')""")),
             F.lit(',"properties":'), properties,
             F.when(fault == 13, F.lit("")).otherwise(F.lit("}")),
+            F.when(F.col("n") % 400 == 14, F.repeat(F.lit(" "), F.lit(33_000))).otherwise(F.lit("")),
         ).alias("value"),
     )
 

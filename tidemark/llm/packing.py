@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.byte_words import SPACE, spelled
+from tidemark.llm.byte_words import ALPHABET, spelled
 from tidemark.llm.shipping import ship
 
 WINDOW = 2048
@@ -43,7 +43,7 @@ class Ids(dict):
     A worker process keeps one bounded table for all its tasks.
     """
 
-    LIMIT = 300_000
+    LIMIT = 700_000
     kept: dict[str, Ids] = {}
 
     def __init__(self, path: str) -> None:
@@ -52,9 +52,7 @@ class Ids(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.each = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.marks = {m: self.whole(m) for m in ",."}
-        self.line = self.whole("\n")
+        self.marks = {m: self.whole(m) for m in ",.\n"}
         self._odd = re.compile(r"\s\s|<\|")
 
     @classmethod
@@ -66,26 +64,19 @@ class Ids(dict):
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def spelt(self, word: str) -> bytes:
-        """Ids of a single split, written in the vocabulary's alphabet."""
-        each = self.each
-        return b"".join([each[t.id] for t in self.model.tokenize(word)])
-
     def made(self, word: str, space: bool) -> bytes:
         """Ids of a word that a space comes before, or none."""
-        mark = word[-1:]
-        base = word[:-1] if mark in self.marks else word
+        mark = self.marks[word[-1]] if word[-1:] in (",", ".") else b""
+        base = word[:-1] if mark else word
         if base.isalpha():
-            found = self.spelt(SPACE + spelled(base) if space else spelled(base))
-            return found if base is word else found + self.marks[mark]
+            spelt = ALPHABET[32] + spelled(base) if space else spelled(base)
+            return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelt)]) + mark
         return self.whole(" " + word if space else word)
 
     def __missing__(self, word: str) -> bytes:
-        if word.isalpha():
-            found = self.spelt(SPACE + spelled(word))
-        elif "\n" in word and all(lines := word.split("\n")):
-            first, *rest = lines
-            found = self.made(first, True) + b"".join([self.line + self.made(line, False) for line in rest])
+        first, *rest = word.split("\n")
+        if rest and first and all(rest):
+            found = self.made(first, True) + b"".join([self.marks["\n"] + self.made(line, False) for line in rest])
         else:
             found = self.made(word, True)
         self[word] = found
@@ -97,7 +88,10 @@ class Ids(dict):
         first, *rest = text.split(" ")
         if len(self) > self.LIMIT:
             self.clear()
-        return np.frombuffer(self.whole(first) + b"".join(map(self.__getitem__, rest)), "<u4")
+        found = list(map(self.get, rest))
+        if None in found:
+            found = [self[w] if x is None else x for w, x in zip(rest, found)]
+        return np.frombuffer(self.whole(first) + b"".join(found), "<u4")
 
     def ends_sentence(self) -> np.ndarray:
         names = (self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size()))

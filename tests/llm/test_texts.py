@@ -65,6 +65,58 @@ def test_similarity_groups(documents, k, num):
     assert sorted(zip(got.doc_id.fillna(-1).astype(int), got.n_shingles, got.component_id.astype(int))) == want
 
 
+def stock_texts(n, seed=4):
+    """Texts mixed from the same stock lines, and for every tenth a text that differs in one line or a few words."""
+    pick = random.Random(seed)
+    lines = [prose(500 + i, 12) for i in range(40)]
+    pairs = []
+    for i in range(n):
+        if i % 10 == 9:
+            words = pairs[-1][1].split()
+            for _ in range(pick.randrange(6)):
+                words[pick.randrange(len(words))] = f"new{i}"
+            pairs.append((i, " ".join(words)))
+        else:
+            pairs.append((i, " ".join(pick.choice(lines) for _ in range(pick.randrange(1, 14)))))
+    return pairs
+
+
+@pytest.mark.parametrize("k,num", [(3, 90), (5, 80), (1, 60)])
+def test_stock_lines_link_whole_and_without_all_pairs(documents, k, num, monkeypatch):
+    pairs, compared = stock_texts(300), []
+    verify = jaccard_join._verify
+    monkeypatch.setattr(jaccard_join, "_verify", lambda p, *rest: compared.append(p.count()) or verify(p, *rest))
+    got = jaccard_join.similarity_groups(documents(pairs), k, num, 100).toPandas()
+    sets = [shingle_sets(t, k) for _, t in pairs]
+    parent = list(range(len(pairs)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(pairs)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    assert sorted(zip(got.doc_id, got.n_shingles, got.component_id)) == [(i, len(s), root(i)) for i, s in enumerate(sets)]
+    if num >= 80:
+        assert sum(compared[1:]) < len(pairs) ** 2 / 2 * 0.05, compared
+
+
+@pytest.mark.parametrize("num", [50, 80, 90, 100])
+def test_similar_sets_are_equal_in_a_range(num):
+    rule = jaccard_join.Rule(3, num, 100)
+    for n in range(1, 200):
+        for m in range(n, n * 100 // num + 1):
+            ours, theirs = ({band: (count, spare) for band, count, spare, _ in rule.ranges(x)} for x in (n, m))
+            band = max(ours)
+            assert ours[band] == theirs[band]
+            count, spare = ours[band]
+            assert count - spare > (n + m) * (100 - num) // (100 + num)
+
+
 def test_one_of_each_keeps_columns(documents):
     pairs = corpus()
     table = documents(pairs)

@@ -6,12 +6,16 @@ Two sets that are similar enough share a token within a short prefix of each, un
    text as any similar pair must share. A common passage that is a small part of a text does not keep it.
 2. Order by document frequency among the texts that stay, rare first: their prefixes give the candidates, and tokens that
    occur once give none. A popular token stands in a prefix only if nearly the whole text is as popular.
-3. Order by another hash: candidates must share a prefix token there as well before their sets are compared.
+3. Order by another hash: candidates must share a prefix token there as well. Only these prefixes, a few numbers a text, are
+   brought together; the texts move for the pairs that remain.
 
 Only components are asked for: in the group of a token every text is first compared with one leader (the text with the fewest
-tokens of its own). Groups that still hold several components are then completed: the members outside the group's largest
-component are compared with all others, by the bound that the places of the token give. If the G texts of a token hardly link
-(texts mixed from the same stock lines), up to G * G / 2 pairs pass these bounds, each shipped with both texts.
+tokens of its own). Groups that still hold several components are then completed, but not pair by pair, as texts mixed from the same
+stock lines share tokens without being similar. The tokens of their texts are cut into ranges of a fourth hash, some more than the tokens
+in which two similar sets of about this size can differ, so similar sets are equal in several ranges. A set with no more empty ranges
+than there are ranges to spare is equal to any similar one in a range that is not empty, so it sends these only; another set also
+sends its empty ranges, each with every prefix token of the second order. Texts of several components that meet in a range, and share a prefix
+token under the second order at places that leave room for the overlap, are candidates.
 
 Equal texts are one text from the start. Texts with fewer words than a shingle are one shingle; texts without words, null
 and empty ones link with nothing. A null doc_id counts as a document of its own and is no component's id unless all its ids are null;
@@ -20,6 +24,7 @@ rows that share a doc_id are separate rows. An empty table gives no rows. Column
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -59,6 +64,26 @@ class Rule:
         both = len(np.intersect1d(x, y, assume_unique=True))
         return self.den * both >= self.num * (len(x) + len(y) - both)
 
+    def bands(self, n: int) -> list[int]:
+        """Where bands of sizes begin, up to the first beyond n."""
+        begins = [1]
+        while begins[-1] <= n:
+            begins.append(max(begins[-1] + 1, math.ceil(begins[-1] * (self.den / self.num) ** 0.25)))
+        return begins
+
+    def ranges(self, n: int) -> list[tuple[int, int, int, bool]]:
+        """The bands in which a set of n meets similar ones: the band of the smaller set, into how many ranges of tokens
+        its sets are cut, how many of these may be empty on both sides, and whether the set is of this band itself."""
+        begins, found = self.bands(n), []
+        for band in range(len(begins) - 2, -1, -1):
+            small = begins[band + 1] - 1
+            if small * self.den < n * self.num:
+                break
+            differ = (small + small * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
+            spare = differ // 8 + 1 if differ else 0
+            found.append((band, differ + 1 + spare, spare, band == len(begins) - 2))
+        return found
+
     def overlap(self, n: Column, m: Column) -> Column:
         """Tokens that similar sets of these sizes share at least."""
         return F.ceil((n + m) * F.lit(self.num) / F.lit(self.num + self.den) - F.lit(1e-9))
@@ -126,8 +151,13 @@ def _second(rule: Rule, buckets: int):
     return run
 
 
+def _third_prefix(rule: Rule, s: np.ndarray) -> np.ndarray:
+    """The high halves of a set's prefix under the third order, ascending."""
+    return (np.sort(mixed(s, 3))[: rule.slack(len(s)) + 1] >> np.uint64(32)).astype("<u4")
+
+
 def _third(rule: Rule):
-    """Prefixes under the order by frequency."""
+    """Prefixes under the order by frequency; with the first token of each text its prefix under the third order."""
 
     def run(batches):
         for block, x, sets in _each(batches, rule):
@@ -136,7 +166,7 @@ def _third(rule: Rule):
             classes = np.frombuffer(b"".join(x["often"] or []), np.uint8)
             if len(classes) != len(keys):
                 raise ValueError(f"{len(classes)} answers for {len(keys)} tokens")
-            at, columns = 0, [[] for _ in range(5)]
+            at, columns, thirds = 0, [[] for _ in range(5)], []
             for d, s in sets:
                 n, own = len(s), classes[inverse[at : at + len(s)]]
                 at += n
@@ -146,11 +176,12 @@ def _third(rule: Rule):
                     alone = int((own == 0).sum())
                     for c, v in zip(columns, (s[order].view(np.int64), (block.number << B.ROW_BITS) + d, n, alone + np.arange(len(order)), alone)):
                         c.append(np.broadcast_to(v, len(order)))
+                    thirds += [_third_prefix(rule, s).tobytes()] + [None] * (len(order) - 1)
             if columns[0]:
                 token, row, n, place, alone = map(np.concatenate, columns)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(token), pa.array(row.astype(np.int64)), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(alone.astype(np.int32))],
-                    ["token", "row", "n", "place", "alone"],
+                    [pa.array(token), pa.array(row.astype(np.int64)), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(alone.astype(np.int32)), pa.array(thirds, pa.binary())],
+                    ["token", "row", "n", "place", "alone", "third"],
                 )
 
     return run
@@ -186,16 +217,23 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """Those of the candidate pairs (a, b) that link."""
+def _sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose prefixes under the third order share a token."""
+    for batch in batches:
+        thirds = zip(batch.column("third_a").to_pylist(), batch.column("third_b").to_pylist())
+        found = pa.array([len(np.intersect1d(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"))) > 0 for x, y in thirds], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(found), batch.column("b").filter(found)], ["a", "b"])
+
+
+def _verify(pairs: DataFrame, postings: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """Those of the candidate pairs (a, b) that link; no text moves for pairs that share no prefix token under the third order."""
 
     def check(batches):
         words, held = Words(), OrderedDict()
 
-        def sets(row: int, body: bytes) -> tuple[np.ndarray, np.ndarray]:
+        def tokens(row: int, body: bytes) -> np.ndarray:
             if row not in held:
-                s = shingles(words.of(body), rule.k)
-                held[row] = s, np.sort(mixed(s, 3))[: rule.slack(len(s)) + 1]
+                held[row] = shingles(words.of(body), rule.k)
                 if len(held) > 64:
                     held.popitem(last=False)
             held.move_to_end(row)
@@ -205,14 +243,72 @@ def _verify(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             linked = []
             for i in range(len(batch)):
-                (x, px), (y, py) = sets(a[i], batch.column("body_a")[i].as_py()), sets(b[i], batch.column("body_b")[i].as_py())
-                linked.append(len(np.intersect1d(px, py, assume_unique=True)) > 0 and rule.similar(x, y))
+                linked.append(rule.similar(tokens(a[i], batch.column("body_a")[i].as_py()), tokens(b[i], batch.column("body_b")[i].as_py())))
             found = pa.array(linked, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(found), batch.column("b").filter(found)], ["a", "b"])
 
-    beside_b = pairs.join(texts.select(F.col("row").alias("b"), F.col("body").alias("body_b")), "b")
-    both = beside_b.join(texts.select(F.col("row").alias("a"), F.col("body").alias("body_a")), "a")
-    return materialize(both.select("a", "b", "body_a", "body_b").mapInArrow(check, "a long, b long"), "links")
+    def beside(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+        for side in ("b", "a"):
+            pairs = pairs.join(table.select(F.col("row").alias(side), F.col(column).alias(f"{column}_{side}")), side)
+        return pairs.select("a", "b", f"{column}_a", f"{column}_b")
+
+    thirds = postings.where("third IS NOT NULL")
+    sharing = materialize(beside(pairs, thirds, "third").mapInArrow(_sharing, "a long, b long"), "sharing")
+    return materialize(beside(sharing, texts, "body").mapInArrow(check, "a long, b long"), "links")
+
+
+def _range_keys(rule: Rule):
+    """For each range of tokens of each text a key that stands for the tokens in it."""
+
+    def run(batches):
+        words = Words()
+        for batch in batches:
+            for i in range(len(batch)):
+                s = shingles(words.of(batch.column("body")[i].as_py()), rule.k)
+                h = np.sort(mixed(s, 4))
+                upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h, 5), dtype=np.uint64)])
+                prefix = mixed(np.array(batch.column("tokens")[i].as_py(), np.int64).view(np.uint64), 7)
+                keys, own = [], []
+                for band, count, spare, small in rule.ranges(len(s)):
+                    which = ((h >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
+                    at = np.searchsorted(which, np.arange(count + 1, dtype=np.uint64))
+                    key = mixed(upto[at[1:]] - upto[at[:-1]] + mixed(np.arange(count, dtype=np.uint64), band), 6)
+                    empty = at[1:] == at[:-1]
+                    keys.append(key[~empty])
+                    if empty.sum() > spare:
+                        keys.append((key[empty][:, None] + prefix).ravel())
+                    own.append(np.full(sum(map(len, keys)) - sum(map(len, own)), small))
+                keys, own = np.concatenate(keys), np.concatenate(own)
+                row, component = (np.full(len(keys), batch.column(c)[i].as_py(), np.int64) for c in ("row", "component"))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(row), pa.array(component), pa.array(own)], ["key", "row", "component", "small"])
+
+    return run
+
+
+def _open_pairs(placed: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """Candidates of different components. ``placed``: the postings with the component found so far."""
+    several = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    rows = placed.join(several.select("token"), "token").groupBy("row", "component").agg(F.collect_list("token").alias("tokens"))
+    keys = materialize(texts.join(rows, "row").select("row", "component", "tokens", "body").mapInArrow(_range_keys(rule), "key long, row long, component long, small boolean"), "ranges")
+    largest = (
+        keys.groupBy("key", "component").agg(F.count("*").alias("size"))
+        .groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
+    )
+    met = materialize(keys.join(largest.select("key", F.col("top.component").alias("top")), "key"), "met")
+    few = met.where("component <> top").select("key", F.col("row").alias("a"), F.col("component").alias("other"), F.col("small").alias("less"))
+    near = (
+        met.join(few, "key")
+        .where((F.col("component") != F.col("other")) & ((F.col("component") == F.col("top")) | (F.col("row") < F.col("a"))))
+        .where(F.col("small") | F.col("less")).select("a", F.col("row").alias("b")).distinct()
+    )
+    bound = rule.overlap(F.col("n"), F.col("m"))
+    return (
+        near.join(placed.select(F.col("row").alias("a"), "token", F.col("n").alias("m"), F.col("place").alias("at")), "a")
+        .join(placed.select(F.col("row").alias("b"), "token", "n", "place"), ["b", "token"])
+        .where(rule.sizes_fit(F.col("n"), F.col("m")))
+        .where((F.col("n") - F.col("place") >= bound) & (F.col("m") - F.col("at") >= bound))
+        .select("a", "b").distinct()
+    )
 
 
 def _links(postings: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
@@ -222,27 +318,15 @@ def _links(postings: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
         .select("token", F.col("l.row").alias("a"), F.col("l.n").alias("m"))
     )
     star = postings.join(leaders, "token").where(F.col("row") != F.col("a")).where(rule.sizes_fit(F.col("n"), F.col("m")))
-    links = _verify(materialize(star.select("a", F.col("row").alias("b")).distinct(), "pairs"), texts, rule)
+    links = _verify(materialize(star.select("a", F.col("row").alias("b")).distinct(), "pairs"), postings, texts, rule)
     found = components(links)
 
-    placed = materialize(
-        postings.join(found.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row")), "placed"
-    )
-    by_component = placed.groupBy("token", "component").agg(F.count("*").alias("size"))
-    largest = by_component.groupBy("token").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
-    opened = placed.join(largest.select("token", F.col("top.component").alias("top")), "token")
-    few = opened.where("component <> top").select("token", F.col("row").alias("a"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("component").alias("other"))
-    bound = rule.overlap(F.col("n"), F.col("m"))
-    pairs = (
-        opened.join(few, "token")
-        .where((F.col("component") != F.col("other")) & ((F.col("component") == F.col("top")) | (F.col("row") < F.col("a"))))
-        .where(rule.sizes_fit(F.col("n"), F.col("m")))
-        .where((F.col("n") - F.col("place") >= bound) & (F.col("m") - F.col("at") >= bound))
-    )
-    pairs = materialize(pairs.select("a", F.col("row").alias("b")).distinct(), "pairs")
+    placed = postings.select("token", "row", "n", "place").join(found.withColumnRenamed("node", "row"), "row", "left")
+    placed = materialize(placed.withColumn("component", F.coalesce("component", "row")), "placed")
+    pairs = materialize(_open_pairs(placed, texts, rule), "pairs")
     if pairs.isEmpty():
         return links
-    return links.union(_verify(pairs, texts, rule))
+    return links.union(_verify(pairs, postings, texts, rule))
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +348,7 @@ def members(blocks: DataFrame, rule: Rule) -> DataFrame:
     sent = materialize(B.beside(blocks, answers).mapInArrow(_first(rule, buckets), B.blob_schema()), "prefixes")
     answers.append(B.exchange(sent.where("bucket >= 0"), _met, "met"))
     answers.append(B.exchange(B.beside(blocks, answers).mapInArrow(_second(rule, buckets), B.blob_schema()), _often, "often"))
-    schema = "token long, row long, n int, place int, alone int"
+    schema = "token long, row long, n int, place int, alone int, third binary"
     postings = materialize(B.beside(blocks, answers).mapInArrow(_third(rule), schema), "postings")
     wanted = (
         postings.select("row").distinct()

@@ -13,7 +13,7 @@ All bytes of repeating strings are removed; strings are judged on the input.
 
 A bucket holds a fixed share of the text whatever its size. Blocks send each distinct string once, so a passage in a
 third of all documents costs a bucket one entry per block. Whole copies of a text of at least 100 bytes are settled by
-their SHA-256 before. Strings are compared by 64 hash bits beside the bits that choose the bucket.
+their SHA-256 before. Strings are compared by 64 hash bits, the bits that choose the bucket among them; no bytes are compared.
 
 Defined results: null text is empty; a null doc_id is the smallest; rows that share a doc_id are ordered as stored, and
 of repeated rows only the first keeps its text. An empty table gives no rows. Columns besides doc_id and text are not read.

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import html_blocks, html_extract, jaccard_join, packing, suffix_dedup, toxicity, warc
@@ -172,6 +173,36 @@ def test_packing(documents):
     assert padding < 0.03 * sums.sum()
 
 
+def test_packing_tokenizes_a_word_once():
+    """With marks, beside line breaks and in other texts a word costs no further call; texts whose words depend on each other stay right."""
+    ids = packing.Ids(packing.vocabulary_path())
+
+    class Counting:
+        def __init__(self, of, name):
+            self.of, self.name, self.calls = of, name, []
+
+        def __getattr__(self, name):
+            def called(text, **more):
+                self.calls.append(text)
+                return getattr(self.of, name)(text, **more)
+
+            return called if name == self.name else getattr(self.of, name)
+
+    ids.model, ids.tokenizer = Counting(ids.model, "tokenize"), Counting(ids.tokenizer, "encode")
+    plain = ["tree tree, tree.", "tree tree,\ntree*** tree.***\ntree***\n", "", "tree\ntree tree***"]
+    texts = [*plain, "a  b tree", " tree", "tree ", "\n", "\n\ntree", "tree \ntree", "tree\n tree", "tree\t\ntree", "tree\n\n", "tree\t\n"]
+    texts += ["tree\u3000 tree", "a\ttree tree's don't' 's", "\0tree", "tree \0\n \0tree", "<|endoftext|> tree", "tree<|", "größe größe, Ελλάς.", "x" * 100 + ","]
+    got = ids.of(pa.array(plain, pa.large_string()))
+    assert len(ids.model.calls) == len(set(ids.model.calls)) == 2
+    assert sorted(ids.tokenizer.calls) == ["***", ",", ".", ".***"]
+    got += ids.of(pa.array(texts[len(plain) :], pa.large_string()))
+    for text, found in zip(texts, got, strict=True):
+        assert found.tolist() == ids.tokenizer.of.encode(text, add_special_tokens=False).ids, text
+    assert max(map(len, ids)) <= ids.LONGEST
+    ids.LIMIT = 0
+    assert [ids.of(pa.array([t], pa.large_string()))[0].tolist() for t in texts] == [x.tolist() for x in got]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_cuts_are_cheapest(seed):
     pick = random.Random(seed)

@@ -6,7 +6,7 @@ Cuts are free after a document, cost little after a sentence and more anywhere e
 (padding plus penalties) are found exactly: the padding of the window ending at a cut is linear in where it begins,
 so the best beginning is the front of a monotone queue; lengths that are a power of two are single transitions beside it (those below
 a sixteenth of the window only within a stretch's last window).
-No row is shuffled, and a task holds one stretch of tokens at a time.
+No row is shuffled, and a task holds one stretch of tokens and some megabytes of text at a time, up to the end of a document.
 
 Defined results: null and empty texts are one end id; a long document spans sequences; repeated rows, and rows without a
 doc_id, are packed as they stand; an empty table gives no rows. Other columns are not read.
@@ -14,20 +14,21 @@ doc_id, are packed as they stand; an empty table gives no rows. Other columns ar
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.byte_words import ALPHABET, spelled
+from tidemark.llm.byte_words import SPACE, spelled
 from tidemark.llm.shipping import ship
 
 WINDOW = 2048
 END_ID = 1
+TOGETHER = 1 << 22  # bytes of text whose words are looked up together, up to the end of a document
 STRETCH = 1 << 19  # ids that are cut together, up to the end of a document
 AFTER_SENTENCE, ANYWHERE, EACH = 4, 48, 1  # penalties in tokens, and a sequence's own
 VOCABULARY = "byte_bpe_50k.json"
@@ -37,13 +38,18 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class Ids(dict):
     """Token ids of texts, as bytes of 32-bit numbers; each distinct word is tokenized once.
 
-    Between words that one space separates the tokenizer's splits are independent, so the ids of a text are those of its words; a single
-    line break inside a word is a split of its own. A word of letters, or of letters and a mark, is one split or two, which the model turns into ids.
-    Other words go through the tokenizer, and so does, as a whole, a text with adjoining white space or with what may be a special token.
-    A worker process keeps one bounded table for all its tasks.
+    Between words that one space or one line break separates the tokenizer's splits are independent, so the ids of a text are those of its
+    words. Words are kept as they follow a space; ``BARE`` stands before a line break and before a word that follows one or begins the text.
+    Letters are one split, and so are marks after them; letters are turned into ids by the model directly. Other words go through the
+    tokenizer. Words without ids depend on what stands beside them (adjoining white space, what may be a special token): their texts go
+    through the tokenizer as a whole.
+    A worker process keeps one bounded table for all its tasks: a word not met while ``LIMIT`` others came leaves it.
     """
 
-    LIMIT = 700_000
+    LIMIT = 450_000
+    LONGEST = 64  # characters of a word that is kept
+    BARE = "\0"
+    LINE = f" {BARE}\n {BARE}"
     kept: dict[str, Ids] = {}
 
     def __init__(self, path: str) -> None:
@@ -52,8 +58,8 @@ class Ids(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.marks = {m: self.whole(m) for m in ",.\n"}
-        self._odd = re.compile(r"\s\s|<\|")
+        self.line = self.whole("\n")
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def at(cls, path: str) -> Ids:
@@ -64,34 +70,59 @@ class Ids(dict):
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def made(self, word: str, space: bool) -> bytes:
-        """Ids of a word that a space comes before, or none."""
-        mark = self.marks[word[-1]] if word[-1:] in (",", ".") else b""
-        base = word[:-1] if mark else word
-        if base.isalpha():
-            spelt = ALPHABET[32] + spelled(base) if space else spelled(base)
-            return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelt)]) + mark
-        return self.whole(" " + word if space else word)
+    def made(self, word: str) -> bytes:
+        """Ids of a word that is not in the table."""
+        bare = word[:1] == self.BARE
+        shown = word[1:] if bare else word
+        if shown == "\n":
+            return self.line
+        if not shown or "<|" in shown or shown[0].isspace() or shown[-1].isspace():
+            return b""
+        letters = shown.rstrip(punctuation)
+        if letters.isalpha():
+            if len(letters) < len(shown):
+                marks = shown[len(letters) :]
+                return self[word[: -len(marks)]] + self[self.BARE + marks]
+            spelt = spelled(letters) if bare else SPACE + spelled(letters)
+            return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelt)])
+        return self.whole(shown if bare else " " + shown)
 
     def __missing__(self, word: str) -> bytes:
-        first, *rest = word.split("\n")
-        if rest and first and all(rest):
-            found = self.made(first, True) + b"".join([self.marks["\n"] + self.made(line, False) for line in rest])
-        else:
-            found = self.made(word, True)
-        self[word] = found
+        found = self.older.get(word)
+        if found is None:
+            found = self.made(word)
+        if len(word) <= self.LONGEST:
+            self[word] = found
         return found
 
-    def of(self, text: str) -> np.ndarray:
-        if self._odd.search(text):
-            return np.frombuffer(self.whole(text), "<u4")
-        first, *rest = text.split(" ")
+    def of(self, texts: pa.LargeStringArray) -> list[np.ndarray]:
+        """Ids of each text. The distinct words of all are looked up once."""
+        if not len(texts):
+            return []
         if len(self) > self.LIMIT:
+            self.older = dict(self)
             self.clear()
-        found = list(map(self.get, rest))
-        if None in found:
-            found = [self[w] if x is None else x for w, x in zip(rest, found)]
-        return np.frombuffer(self.whole(first) + b"".join(found), "<u4")
+        bare, nothing, space = (pa.scalar(x, pa.large_string()) for x in (self.BARE, "", " "))
+        lines = pc.replace_substring(pc.binary_join_element_wise(bare, texts, nothing), "\n", self.LINE)
+        words = pc.split_pattern(lines, " ")
+        coded = words.flatten().dictionary_encode()
+        distinct = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), space)[0].as_py().split(" ")
+        found = list(map(self.__getitem__, distinct))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        word = coded.indices.to_numpy()
+        size, bounds = sizes[word], words.offsets.to_numpy()
+        ends = np.cumsum(size)
+        place = np.repeat((np.cumsum(sizes) - sizes)[word] - (ends - size), size)
+        place += np.arange(len(place))
+        ids = np.frombuffer(b"".join(found), "<u4")[place]
+        last = bounds[1:] - 1
+        closed = [not size[i] and distinct[word[i]] == self.BARE for i in last.tolist()]  # empty, or a line break ends it
+        odd = np.add.reduceat((size == 0).astype(np.int64), bounds[:-1]) > closed
+        odd |= pc.match_substring(texts, self.BARE).to_numpy(zero_copy_only=False)
+        parts = np.split(ids, ends[last[:-1]])
+        for i in np.flatnonzero(odd).tolist():
+            parts[i] = np.frombuffer(self.whole(texts[i].as_py()), "<u4")
+        return parts
 
     def ends_sentence(self) -> np.ndarray:
         names = (self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size()))
@@ -111,24 +142,26 @@ def cuts(places: np.ndarray, penalties: np.ndarray, window: int = WINDOW) -> lis
         for j, i in zip(np.flatnonzero(met).tolist(), at[met].tolist()):
             before[j].append(i)
     place, penalty = places.tolist(), penalties.tolist()
-    cost, came = [0.0] * n, [0] * n
-    ready = [0.0] * n  # cost with the penalty of cutting there
-    queue = deque([(0, 0)])  # (cost of beginning + its place, index), increasing
+    came, ready = [0] * n, [0.0] * n  # ready: cost with the penalty of cutting there
+    keys, begins, front = [0.0], [0], 0  # a queue: cost of beginning + its place, increasing, and the index
     for j in range(1, n):
         end = place[j]
-        while place[queue[0][1]] < end - window:
-            queue.popleft()
-        value, best = queue[0]
-        value += window - end
+        lowest = end - window
+        while place[begins[front]] < lowest:
+            front += 1
+        value, best = keys[front] - lowest, begins[front]
         for i in before[j]:
             if ready[i] < value:
                 value, best = ready[i], i
-        cost[j], came[j] = value + EACH, best
-        ready[j] = cost[j] + penalty[j]
-        key = ready[j] + end
-        while queue and queue[-1][0] >= key:
-            queue.pop()
-        queue.append((key, j))
+        value += EACH
+        came[j] = best
+        ready[j] = value = value + penalty[j]
+        value += end
+        while len(keys) > front and keys[-1] >= value:
+            keys.pop()
+            begins.pop()
+        keys.append(value)
+        begins.append(j)
     chosen, j = [], n - 1
     while j:
         chosen.append(place[j])
@@ -152,6 +185,14 @@ def _candidates(ids: np.ndarray, ends: np.ndarray, closing: np.ndarray, window:
     return places, penalties[places]
 
 
+def _together(texts: pa.LargeStringArray) -> list[int]:
+    """Where runs of some ``TOGETHER`` bytes of text end."""
+    if not len(texts):
+        return []
+    run = np.cumsum(pc.binary_length(texts).to_numpy()) // TOGETHER
+    return [*(np.flatnonzero(np.diff(run)) + 1).tolist(), len(texts)]
+
+
 class Packer:
     """Turns documents into pieces, stretch by stretch."""
 
@@ -160,13 +201,13 @@ class Packer:
         self.closing, self.end = tokenizer.ends_sentence(), np.array([end_id], "<u4")
         self.docs, self.parts, self.size = [], [], 0
 
-    def add(self, doc_id: int | None, text: str | None) -> Iterator[pa.RecordBatch]:
-        ids = self.tokenizer.of(text) if text else self.end[:0]
-        self.docs.append((doc_id, len(ids) + 1))
-        self.parts += [ids, self.end]
-        self.size += len(ids) + 1
-        if self.size >= STRETCH:
-            yield self.close()
+    def add(self, doc_ids: pa.Array, texts: pa.LargeStringArray) -> Iterator[pa.RecordBatch]:
+        for doc_id, ids in zip(doc_ids.to_pylist(), self.tokenizer.of(texts)):
+            self.docs.append((doc_id, len(ids) + 1))
+            self.parts += [ids, self.end]
+            self.size += len(ids) + 1
+            if self.size >= STRETCH:
+                yield self.close()
 
     def close(self) -> pa.RecordBatch:
         ids, sizes = np.concatenate(self.parts), np.array([n for _, n in self.docs], np.int64)
@@ -200,8 +241,11 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
 
         packer = Packer(Ids.at(tokenizer_path), TaskContext.get().partitionId() << 33, window, end_id, with_ids)
         for batch in batches:
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                yield from packer.add(d, t.as_py())
+            texts = batch.column(1).cast(pa.large_string()).fill_null("")
+            first = 0
+            for end in _together(texts):
+                yield from packer.add(batch.column(0)[first:end], texts[first:end])
+                first = end
         if packer.docs:
             yield packer.close()
 

@@ -74,17 +74,17 @@ class Ids(dict):
         """Ids of a word that is not in the table."""
         bare = word[:1] == self.BARE
         shown = word[1:] if bare else word
+        if shown.isalpha():
+            spelt = spelled(shown) if bare else SPACE + spelled(shown)
+            return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelt)])
+        letters = shown.rstrip(punctuation)
+        if letters.isalpha():
+            marks = self[self.BARE + shown[len(letters) :]]
+            return marks and self[word[: len(letters) - len(shown)]] + marks
         if shown == "\n":
             return self.line
         if not shown or "<|" in shown or shown[0].isspace() or shown[-1].isspace():
             return b""
-        letters = shown.rstrip(punctuation)
-        if letters.isalpha():
-            if len(letters) < len(shown):
-                marks = shown[len(letters) :]
-                return self[word[: -len(marks)]] + self[self.BARE + marks]
-            spelt = spelled(letters) if bare else SPACE + spelled(letters)
-            return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelt)])
         return self.whole(shown if bare else " " + shown)
 
     def __missing__(self, word: str) -> bytes:
@@ -132,31 +132,31 @@ class Ids(dict):
 def cuts(places: np.ndarray, penalties: np.ndarray, window: int = WINDOW) -> list[int]:
     """Which of the places (the first is 0, gaps of at most a window) end a sequence, at least total cost."""
     n = len(places)
-    before: list[list[int]] = [[] for _ in range(n)]
+    steps = []  # from place to place, a power of two apart
     for power in (1 << p for p in range(window.bit_length())):
         wanted = places - power
         at = np.searchsorted(places, wanted)
         met = places[at] == wanted
         if power < window // 16:  # so short only near the end, where the last window may be made of them
             met &= wanted >= places[-1] - window
-        for j, i in zip(np.flatnonzero(met).tolist(), at[met].tolist()):
-            before[j].append(i)
-    place, penalty = places.tolist(), penalties.tolist()
+        steps.append((np.flatnonzero(met), at[met]))
+    to, since = (np.concatenate(x) for x in zip(*steps))
+    order = np.argsort(to, kind="stable")
+    first, since = np.searchsorted(to[order], np.arange(n + 1)).tolist(), since[order].tolist()
+    place = places.tolist()
     came, ready = [0] * n, [0.0] * n  # ready: cost with the penalty of cutting there
+    spent, lowest = (penalties + EACH).tolist(), (places - window).tolist()
     keys, begins, front = [0.0], [0], 0  # a queue: cost of beginning + its place, increasing, and the index
     for j in range(1, n):
-        end = place[j]
-        lowest = end - window
-        while place[begins[front]] < lowest:
+        while place[begins[front]] < lowest[j]:
             front += 1
-        value, best = keys[front] - lowest, begins[front]
-        for i in before[j]:
+        value, best = keys[front] - lowest[j], begins[front]
+        for i in since[first[j] : first[j + 1]]:
             if ready[i] < value:
                 value, best = ready[i], i
-        value += EACH
         came[j] = best
-        ready[j] = value = value + penalty[j]
-        value += end
+        ready[j] = value = value + spent[j]
+        value += place[j]
         while len(keys) > front and keys[-1] >= value:
             keys.pop()
             begins.pop()

@@ -173,6 +173,20 @@ def test_packing(documents):
     assert padding < 0.03 * sums.sum()
 
 
+def test_packing_leaves_no_words_in_its_worker(spark, documents):
+    """Workers live on between stages: what they keep stands beside the memory of whatever runs next."""
+    assert packing.pack(documents(corpus()).coalesce(1), packing.vocabulary_path()).count()
+
+    def held(batches):
+        for batch in batches:
+            kept = packing.Ids.kept.values()
+            yield pa.RecordBatch.from_pydict({"tokenizers": [len(kept)], "words": [sum(len(x) + len(x.older) for x in kept)]})
+
+    workers = spark.range(0, 64, 1, 64).mapInArrow(held, "tokenizers long, words long").toPandas()
+    assert workers.tokenizers.sum() > 0  # workers that have packed are among them
+    assert workers.words.sum() == 0
+
+
 def test_packing_tokenizes_a_word_once():
     """With marks, beside line breaks and in other texts a word costs no further call; texts whose words depend on each other stay right."""
     ids = packing.Ids(packing.vocabulary_path())

@@ -43,7 +43,8 @@ class Ids(dict):
     Letters are one split, and so are marks after them; letters are turned into ids by the model directly. Other words go through the
     tokenizer. Words without ids depend on what stands beside them (adjoining white space, what may be a special token): their texts go
     through the tokenizer as a whole.
-    A worker process keeps one bounded table for all its tasks: a word not met while ``LIMIT`` others came leaves it.
+    A task keeps one bounded table: a word not met while ``LIMIT`` others came leaves it. A worker process keeps the tokenizer for all its
+    tasks and no words, since an idle worker's table would stand beside the memory of the stages that follow.
     """
 
     LIMIT = 450_000
@@ -124,6 +125,12 @@ class Ids(dict):
             parts[i] = np.frombuffer(self.whole(texts[i].as_py()), "<u4")
         return parts
 
+    def forget(self) -> None:
+        """Give back the words, and what Arrow holds for later."""
+        self.clear()
+        self.older = {}
+        pa.default_memory_pool().release_unused()
+
     def ends_sentence(self) -> np.ndarray:
         names = (self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size()))
         return np.array([x.endswith((".", "!", "?", "Ċ")) for x in names])
@@ -236,10 +243,10 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     """Pieces of documents placed in sequences; with their token ids if asked for."""
     ship(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch], ids: Ids) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        packer = Packer(Ids.at(tokenizer_path), TaskContext.get().partitionId() << 33, window, end_id, with_ids)
+        packer = Packer(ids, TaskContext.get().partitionId() << 33, window, end_id, with_ids)
         for batch in batches:
             texts = batch.column(1).cast(pa.large_string()).fill_null("")
             first = 0
@@ -249,6 +256,13 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
         if packer.docs:
             yield packer.close()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = Ids.at(tokenizer_path)
+        try:
+            yield from pieces(batches, ids)
+        finally:  # its batches are gone by now
+            ids.forget()
+
     shown = docs.select(docs[doc_id].cast("long").alias("d"), docs[text].alias("t"))
     return shown.mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))
 
